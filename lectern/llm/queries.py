@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
+from lectern.llm import exact_dedup, mixing, near_dedup, page_text, pieces, prefix_prints, records, toxicity
 from lectern.llm.common import table
 
 
@@ -17,6 +17,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        return records.round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -38,13 +43,21 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pieces.encode_documents(table(spark, sf_dir, "documents"), f.read())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, pipeline)
+_ALL = (op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
