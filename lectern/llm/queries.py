@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, mixing, near_dedup, page_text, pieces, prefix_prints, records, toxicity
+from lectern.llm import exact_dedup, lang_id, mixing, near_dedup, page_text, pieces, ppm, prefix_prints, records, toxicity
 from lectern.llm.common import table
 
 
@@ -17,6 +17,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return lang_id.identify(lang_id.document_rows(docs).unionByName(lang_id.page_rows(pages)), *lang_id.fit(docs))
+
+
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
         return records.round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1)
@@ -57,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, pipeline)
+_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
