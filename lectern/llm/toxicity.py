@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import as_bytes, cut, fold_of, restrict, slices
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
-SAMPLE = 8000
-#: Entries of the lexicon, at most.
-TERMS = 6000
+SAMPLE = 3000
+#: Entries of the lexicon, and terms of toxic rows looked at for it, at most.
+TERMS, CANDIDATES = 6000, 40_000
 CROSS = 4
 PREFIXES = (3, 4, 5, 6)
 
@@ -227,13 +227,19 @@ def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) ->
     return Trees().fit(x, y, weight), xs, ys
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in slices(batches, "text"):
-        for text, toxic, part in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
-            counts.update((t, toxic, part) for t in {t for w in set((text or "").split()) for t in terms_of(w)})
-    keys = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "toxic", "part", "n"])
+def _count(only: frozenset[str] | None = None):
+    """Documents that hold each term, by label and part; of all terms or of some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in slices(batches, "text"):
+            for text, toxic, part in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                terms = {t for w in set((text or "").split()) for t in terms_of(w)}
+                counts.update((t, toxic, part) for t in (terms if only is None else terms & only))
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "toxic", "part", "n"])
+
+    return run
 
 
 def odds(tox: np.ndarray, non: np.ndarray, n_tox: float, n_non: float) -> np.ndarray:
@@ -282,8 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int
     picked = F.broadcast(picked)
     rows = cut(docs.join(picked, "doc_id").withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(CROSS)).cast("int")))
     sizes = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
+    kinds = "term string, toxic int, part int, n long"
+    first = rows.where("toxic = 1").mapInArrow(_count(), kinds).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
+    only = frozenset(r["term"] for r in first.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
     each = [F.sum(F.when((F.col("part") == k) & (F.col("toxic") == t), F.col("n"))).alias(f"n{k}_{t}") for k in range(CROSS) for t in (0, 1)]
-    counted = rows.mapInArrow(_count, "term string, toxic int, part int, n long").groupBy("term").agg(*each, F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("non"))
+    counted = rows.mapInArrow(_count(only), kinds).groupBy("term").agg(*each, F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("non"))
     n_tox, n_non = (sum(n for (_, t), n in sizes.items() if t == label) for label in (1, 0))
     lean = F.log((F.col("tox") + 0.5) / (n_tox + 1)) - F.log((F.col("non") + 0.5) / (n_non + 1))
     best = counted.where("tox >= 3").withColumn("lean", lean).where("lean > 0.7").orderBy(F.desc(F.col("lean") * F.sqrt("tox")), "term").limit(TERMS).collect()
