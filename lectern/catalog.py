@@ -1,21 +1,23 @@
-"""All registered queries of the library and their SQL, gathered from the modules that define them."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lectern import registry
+from lectern.plans import aggregates, dates, joins, lookup, matching, search, state, texts, transforms, windows  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+def queries() -> dict:
+    return dict(registry.QUERIES)
 
 
-def _modules() -> list:
-    return []
-
-
-def queries() -> dict[str, Query]:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+def covered() -> dict[str, list[str]]:
+    """Which queries cover each row of the operator inventory."""
+    out: dict[str, list[str]] = {}
+    for name, rows in registry.COVERS.items():
+        for row in rows:
+            out.setdefault(row, []).append(name)
+    return out
