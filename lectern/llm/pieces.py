@@ -136,7 +136,7 @@ def build(model: Model):
 class Encoder:
     """Encodes whole texts; ``reference`` is the SentencePiece processor that parity is checked against."""
 
-    def __init__(self, data: bytes, room: int = 150_000, reference: bool = True):
+    def __init__(self, data: bytes, room: int = 300_000, reference: bool = True):
         self.model = Model.parse(data)
         self.tokenizer, self.room = build(self.model), room
         self.known = self._empty()
@@ -176,6 +176,16 @@ class Encoder:
             out.append((b"".join([p[0] for p in parts]), all([p[1] for p in parts]), all([p[2] for p in parts])))
         return out
 
+    _kept: dict[tuple[int, int], Encoder] = {}
+
+    @classmethod
+    def kept(cls, data: bytes) -> Encoder:
+        """The encoder of a model in this process; tasks that follow each other share what it knows."""
+        key = (len(data), zlib.crc32(data))
+        if key not in cls._kept:
+            cls._kept = {key: cls(data)}
+        return cls._kept[key]
+
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
@@ -202,7 +212,7 @@ def encode_documents(docs: DataFrame, model: bytes, threads: int = 2) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        encoder = Encoder(model)
+        encoder = Encoder.kept(model)
         for batch in slices(batches, "text"):
             got = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +228,7 @@ def encoded(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        encoder = Encoder(model)
+        encoder = Encoder.kept(model)
         for batch in slices(batches, "text"):
             got = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array([np.frombuffer(g[0], dtype="<u4").astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] and g[2] for g in got])], names=["doc_id", "source", "ids", "verified"])

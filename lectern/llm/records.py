@@ -136,11 +136,21 @@ def unframe(data: bytes, offsets: list[int], lengths: list[int]) -> list[bytes]:
 class WordCache:
     """Encodes texts through a tokenizer whose words never reach over white space; each word is encoded once."""
 
-    def __init__(self, data: str, room: int = 200_000):
+    def __init__(self, data: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_str(data), room, {}
 
+    _kept: dict[tuple[int, int], WordCache] = {}
+
+    @classmethod
+    def kept(cls, data: str) -> WordCache:
+        """The cache of a tokenizer in this process; tasks that follow each other share it."""
+        key = (len(data), zlib.crc32(data.encode()))
+        if key not in cls._kept:
+            cls._kept = {key: cls(data)}
+        return cls._kept[key]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, little-endian 32-bit."""
         if len(self.known) > self.room:
@@ -168,7 +178,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sink, index, at, seen, records, lowest = WordCache(tokenizer), None, None, 0, 0, 0, None
+        cache, sink, index, at, seen, records, lowest = WordCache.kept(tokenizer), None, None, 0, 0, 0, None
         system = path = name = None
         try:
             for batch in slices(batches, "text"):
