@@ -1 +1,61 @@
-"""."""
+"""Time, places on the globe, calendars as rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import dates as D
+from lectern.registry import query
+
+
+@query("event_times", "D1 D2 D6", "SELECT event_id, CAST(ts AS DATE) AS day, strftime(ts, '%H:%M') AS clock, date_trunc('hour', ts) AS hour FROM events")
+def event_times(t):
+    return t("events").select("event_id", F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("clock"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+
+
+@query("noon_in_zone", "D3", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 10 HOUR AS noon FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'")
+def noon(t):
+    """Noon at a fixed offset of two hours, as UTC."""
+    o = t("orders").where(F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp_ntz"))
+    at = F.to_date("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
+    return o.select("o_orderkey", F.convert_timezone(F.lit("+02:00"), F.lit("UTC"), at).alias("noon"))
+
+
+@query("date_buckets", "D4 D5", """
+WITH n AS (SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-28') AS d, floor((epoch(TIMESTAMP '2024-01-28 12:00:00') - floor(epoch(ts))) / 86400) AS a FROM events)
+SELECT event_id, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN 'This week' ELSE 'Earlier' END AS bucket, CASE WHEN a <= 0 THEN 'today' WHEN a = 1 THEN 'yesterday' WHEN a < 30 THEN a::BIGINT || ' days ago' ELSE floor(a / 30)::BIGINT || ' months ago' END AS ago FROM n""")
+def buckets(t):
+    now = F.lit("2024-01-28 12:00:00").cast("timestamp")
+    return t("events").select("event_id", D.bucket(F.to_date("ts"), F.to_date(now)).alias("bucket"), D.ago(F.col("ts").cast("timestamp"), now).alias("ago"))
+
+
+@query("bearings", "D7 D8 D9", """
+WITH p AS (SELECT s_suppkey, -60.0::DOUBLE + (s_suppkey * 37 % 120) AS lat, -180.0::DOUBLE + (s_suppkey * 53 % 360) AS lon FROM supplier),
+b AS (SELECT s_suppkey, fmod(degrees(atan2(sin(radians(35.235 - lon)) * cos(radians(31.778)), cos(radians(lat)) * sin(radians(31.778)) - sin(radians(lat)) * cos(radians(31.778)) * cos(radians(35.235 - lon)))) + 360, 360) AS d FROM p)
+SELECT s_suppkey, round(d, 4) AS d, (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[(round(d / 22.5) % 16 + 1)::INT] AS words FROM b""")
+def bearings(t):
+    lat, lon = F.lit(-60.0) + F.col("s_suppkey") * 37 % 120, F.lit(-180.0) + F.col("s_suppkey") * 53 % 360
+    d = D.bearing(lat, lon, F.lit(31.778), F.lit(35.235))
+    return t("supplier").select("s_suppkey", F.round(d, 4).alias("d"), D.compass(d).alias("words"))
+
+
+@query("month_grid", "D12 D13 D15", "SELECT d::DATE AS day, count(event_id) AS n FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) g(d) LEFT JOIN events ON CAST(ts AS DATE) = d::DATE GROUP BY 1")
+def month_grid(t):
+    """Every day of a span with its events, days without any too."""
+    days = t.spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-02-10").cast("date"))).alias("day"))
+    own = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(own, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("portions_by_day", "D14 D19 D20 D21 D22", """
+WITH p(d, portion) AS (VALUES (0, '1-9'), (1, '10-17'), (2, '18-22'), (3, '23-28'), (4, '29-34'))
+SELECT o_orderkey, portion, CASE WHEN extract(hour FROM o_orderdate) < 12 THEN 'morning' ELSE 'evening' END AS service FROM orders JOIN p ON extract(day FROM o_orderdate) % 5 = d""")
+def portions(t):
+    p = t.values([(0, "1-9"), (1, "10-17"), (2, "18-22"), (3, "23-28"), (4, "29-34")], "d int, portion string")
+    o = t("orders").select("o_orderkey", (F.dayofmonth("o_orderdate") % 5).alias("d"), F.when(F.hour("o_orderdate") < 12, "morning").otherwise("evening").alias("service"))
+    return o.join(F.broadcast(p), "d").select("o_orderkey", "portion", "service")
+
+
+@query("printed_early", "D23", "SELECT o_orderkey, extract(year FROM o_orderdate) <= 1998 - 5 AS ok FROM orders")
+def printed(t):
+    return t("orders").select("o_orderkey", (F.year("o_orderdate") <= 1998 - 5).alias("ok"))

@@ -1 +1,149 @@
-"""."""
+"""Scalar text functions, over whole tables where they apply and over listed values where the corpus has none."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import refs as R
+from lectern.functions import text as X
+from lectern.functions.udfs import clean_html, fnv1a, fold_name, nested_footnotes, paragraphs
+from lectern.plans.views import PASSAGES, passages
+from lectern.registry import query
+
+
+@query("plain_forms", "F4 F5 F6 F57", """
+SELECT v, lower(regexp_replace(regexp_replace(v, '[־׀׃׳״]', ' ', 'g'), '[֑-ׇֽֿׁׂׅׄ]', '', 'g')) AS plain, translate(regexp_replace(v, '[^א-ת]', '', 'g'), 'ךםןףץ', 'כמנפצ') AS letters
+FROM (VALUES ('בְּרֵאשִׁית־בָּרָא'), ('שָׁלוֹם׃'), ('Plain TEXT'), ('מלך ארץ')) s(v)""")
+def plain_forms(t):
+    rows = t.values([("בְּרֵאשִׁית־בָּרָא",), ("שָׁלוֹם׃",), ("Plain TEXT",), ("מלך ארץ",)], "v string")
+    return rows.select("v", X.plain(F.col("v")).alias("plain"), X.letters(F.col("v")).alias("letters"))
+
+
+@query("normal_refs", "F7 M56 M55", "SELECT c_custkey, trim(regexp_replace(lower('  ' || c_name || '  X '), '\\s+', ' ', 'g')) AS ref FROM customer")
+def normal_refs(t):
+    return t("customer").select("c_custkey", R.normal_ref(F.concat(F.lit("  "), "c_name", F.lit("  X "))).alias("ref"))
+
+
+@query("stems", "F8 F9", r"""
+WITH w AS (SELECT DISTINCT lower(x) AS w FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents WHERE lang = 'en') WHERE regexp_matches(lower(x), '^[a-z]{3,9}$'))
+SELECT w, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(ch|sh|s|x|z)es$') THEN substr(w, 1, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END AS stem FROM w""")
+def stems(t):
+    w = t("documents").where("lang = 'en'").select(F.explode(F.split("text", " ")).alias("x")).select(F.lower("x").alias("w")).where(F.col("w").rlike("^[a-z]{3,9}$")).distinct()
+    return w.select("w", X.stem(F.col("w")).alias("stem"))
+
+
+@query("clipped", "F10 F11", """
+WITH c AS (SELECT doc_id, text, substr(text, 1, 900) AS cut FROM documents), e AS (SELECT *, greatest(CASE WHEN instr(reverse(cut), ' .') = 0 THEN -1 ELSE length(cut) - instr(reverse(cut), ' .') - 1 END, CASE WHEN instr(reverse(cut), ' ;') = 0 THEN -1 ELSE length(cut) - instr(reverse(cut), ' ;') - 1 END) AS stop FROM c)
+SELECT doc_id, CASE WHEN length(text) <= 900 THEN text WHEN stop > 450 THEN substr(cut, 1, stop + 1) || ' …' ELSE cut || ' …' END AS clip FROM e""")
+def clipped(t):
+    return t("documents").select("doc_id", X.clip(F.col("text"), 900, 0.5, (". ", "; ")).alias("clip"))
+
+
+@query("ref_parts", "F12 F14 M24 M25", f"""
+SELECT ref, regexp_extract(ref, '^(.+):', 1) AS section, regexp_extract(ref, '^(.*?) ([0-9]+[ab]?(?::[0-9]+)*)$', 1) AS book, regexp_extract(ref, '^(.*?) ([0-9]+[ab]?(?::[0-9]+)*)$', 2) AS place, regexp_replace(ref, '[0-9]+$', '') || (CAST(regexp_extract(ref, '([0-9]+)$', 1) AS BIGINT) + 1) AS next FROM {PASSAGES}""")
+def ref_parts(t):
+    ref = F.col("ref")
+    nxt = F.concat(F.regexp_replace(ref, "[0-9]+$", ""), (F.regexp_extract(ref, "([0-9]+)$", 1).cast("long") + 1).cast("string"))
+    return passages(t).select("ref", R.section_of(ref).alias("section"), R.book_of(ref).alias("book"), R.place_of(ref).alias("place"), nxt.alias("next"))
+
+
+@query("ref_ranges", "F13 F15", """
+SELECT * FROM (VALUES ('Genesis 1:1-5', 'Genesis 1:1', 'Genesis 1:5', 'Genesis 1:1'), ('Genesis 1:1-2:3', 'Genesis 1:1', 'Genesis 2:3', 'Genesis 1:1'), ('Berakhot 2a:3–4', 'Berakhot 2a:3', 'Berakhot 2a:4', 'Berakhot 2a:3–4'), ('Genesis 1', 'Genesis 1', NULL, 'Genesis 1'), ('Exodus 1:1-6:1', 'Exodus 1:1', 'Exodus 6:1', 'Exodus 1:1'), ('Tanya', 'Tanya', NULL, 'Tanya')) v(ref, first, last, link)""")
+def ref_ranges(t):
+    rows = t.values([(r,) for r in ("Genesis 1:1-5", "Genesis 1:1-2:3", "Berakhot 2a:3–4", "Genesis 1", "Exodus 1:1-6:1", "Tanya")], "ref string")
+    return rows.select("ref", R.range_start(F.col("ref")).alias("first"), R.range_end(F.col("ref")).alias("last"), R.link_start(F.col("ref")).alias("link"))
+
+
+@query("addresses", "F16 W10 M12", """
+SELECT p_partkey, kind, CASE kind WHEN 'Talmud' THEN (n // 2 + 1) || substr('ab', (n % 2 + 1)::INT, 1) WHEN 'Folio' THEN (n // 4 + 1) || substr('abcd', (n % 4 + 1)::INT, 1) ELSE (n + 1)::VARCHAR END AS address
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Talmud' WHEN 1 THEN 'Folio' ELSE 'Integer' END AS kind, p_partkey + p_size AS n FROM part)""")
+def addresses(t):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Talmud").when(F.col("p_partkey") % 3 == 1, "Folio").otherwise("Integer")
+    return t("part").select("p_partkey", kind.alias("kind"), R.address(kind, F.col("p_partkey"), F.col("p_size")).alias("address"))
+
+
+@query("hebrew_numbers", "F23 F24 F22", "SELECT * FROM (VALUES (2, 'ב', 2), (15, 'טו', 15), (16, 'טז', 16), (34, 'לד', 34), (176, 'קעו', 176), (415, 'תטו', 415), (500, '500', NULL)) v(n, letters, back)")
+def hebrew(t):
+    rows = t.values([(n,) for n in (2, 15, 16, 34, 176, 415, 500)], "n int")
+    he = X.hebrew_numeral(F.col("n"))
+    return rows.select("n", he.alias("letters"), X.hebrew_number(he).alias("back"))
+
+
+@query("skeleton_keys", "F25 F27", "SELECT * FROM (VALUES ('Kiddushin', 'kd$n'), ('Kedushin', 'kd$n'), ('Berakhot', 'brht'), ('Brachos', 'brht'), ('Shabbat', '$bt'), ('Shabbos', '$bt'), ('Ketubot', 'ktbt'), ('Kesubos', 'ktbt')) v(word, key)")
+def skeletons(t):
+    rows = t.values([(w,) for w in ("Kiddushin", "Kedushin", "Berakhot", "Brachos", "Shabbat", "Shabbos", "Ketubot", "Kesubos")], "word string")
+    return rows.select("word", X.skeleton(F.col("word")).alias("key"))
+
+
+@query("edit_distances", "F26 F27 F28 L13", "SELECT a.n_name AS a, b.n_name AS b, least(levenshtein(a.n_name, b.n_name), 6) AS d, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def distances(t):
+    n = t("nation").select("n_regionkey", "n_name")
+    pairs = n.withColumnRenamed("n_name", "a").join(n.withColumnRenamed("n_name", "b"), "n_regionkey")
+    return pairs.select("a", "b", X.edit_distance(F.col("a"), F.col("b"), 5).alias("d"), F.round(X.likeness(F.col("a"), F.col("b")), 6).alias("likeness"))
+
+
+@query("angle_brackets", "F3", "SELECT * FROM (VALUES ('a <b> c.', 'a c.'), ('a < b', NULL), ('x <y>. , z', 'x. z'), ('<all>', NULL), ('plain', 'plain')) v(v, out)")
+def angle(t):
+    rows = t.values([(v,) for v in ("a <b> c.", "a < b", "x <y>. , z", "<all>", "plain")], "v string")
+    return rows.select("v", X.strip_angle(F.col("v")).alias("out"))
+
+
+@query("safe_titles", "F32", r"""
+SELECT page_id, CASE WHEN x = '' THEN 'Untitled' ELSE x END AS title FROM (SELECT page_id, trim(substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), ''), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '\s*:\s*', ' - ', 'g'), '\s+-+\s+', ' - ', 'g'), 1, 180)) AS x FROM pages)""")
+def titles(t):
+    return t("pages").select("page_id", X.clean_title(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query("url_parts", "F54 F55 U8 P19", r"""
+SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, array_to_string((list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> ''))[1:2], '/') AS section FROM pages""")
+def url_parts(t):
+    u = F.col("url")
+    return t("pages").select("page_id", X.host_of(u).alias("host"), X.url_section(u, 2).alias("section"))
+
+
+@query("speech_text", "F40 F48 F50", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[*_#>`]+', '', 'g'), '\s+', ' ', 'g')) AS said, substr(text, 1, 48) AS title FROM conversations")
+def speech(t):
+    said = F.trim(F.regexp_replace(F.regexp_replace("text", "[*_#>`]+", ""), r"\s+", " "))
+    return t("conversations").select("conv_id", "turn", said.alias("said"), F.substring("text", 1, 48).alias("title"))
+
+
+@query("labels_split", "F53 J28 M20", "SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda x: trim(x))[1] AS head, len(string_split(p_type, ' ')) AS n FROM part")
+def labels(t):
+    parts = F.transform(F.split("p_type", " "), lambda x: F.trim(x))
+    return t("part").select("p_partkey", parts[0].alias("head"), F.size(parts).cast("long").alias("n"))
+
+
+@query("js_words", "F58", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS n FROM documents")
+def js_words(t):
+    """White space as the reference's platform counts it: also U+3000 and U+FEFF, not U+200B."""
+    space = "[\\t\\n\\x0b\\f\\r    -     　﻿]+"
+    return t("documents").select("doc_id", F.size(F.filter(F.split("text", space), lambda x: x != "")).cast("long").alias("n"))
+
+
+@query("conditions_by_rules", "F52 D18 M78 M79 M35 M36", """
+WITH r(n, pattern, label) AS (VALUES (1, 'version', 'licence'), (2, '\\|', 'table'), (3, 'the', 'english'), (4, ' de ', 'romance'))
+SELECT doc_id, coalesce((SELECT arg_min(label, n) FROM r WHERE regexp_matches(lower(text), pattern)), 'unknown') AS label FROM documents""")
+def conditions(t):
+    """Rules as rows, the first that fits; unknown is a value of its own."""
+    text, label = F.lower("text"), F.lit("unknown")
+    for pattern, name in reversed([("version", "licence"), (r"\|", "table"), ("the", "english"), (" de ", "romance")]):
+        label = F.when(text.rlike(pattern), name).otherwise(label)
+    return t("documents").select("doc_id", label.alias("label"))
+
+
+@query("article_paragraphs", "F33 F34 F35 F36 S13 S14", None)
+def article_paragraphs(t):
+    p = t("pages").select("page_id", paragraphs("html").alias("p"))
+    return p.select("page_id", F.posexplode("p").alias("n", "text"))
+
+
+@query("cleaned_html", "F1 F2", None)
+def cleaned(t):
+    return t("pages").select("page_id", clean_html(nested_footnotes("html")).alias("text"))
+
+
+@query("word_fingerprints", "F38 F29 F30", None)
+def fingerprints(t):
+    return t("documents").select("doc_id", fnv1a("text").alias("fnv"), fold_name(F.substring("text", 1, 200)).alias("fold"))
+
+
