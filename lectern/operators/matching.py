@@ -11,7 +11,7 @@ def squash(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """All runs of n words, joined by spaces."""
+    """All runs of n words, joined by spaces. ``words`` should be a column: an expression would be split anew for each run."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
@@ -27,7 +27,7 @@ def quotes_in(quotes: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFra
     keyed = q.where(F.size("w") >= key_words + 2).select("item_id", "quote", F.array_join(F.slice("w", 2, key_words), " ").alias("key"))
     short = q.where(F.size("w") < key_words + 2).select("item_id", "quote")
     d = docs.select("doc_id", squash(F.col("text")).alias("text"))
-    runs = d.select("doc_id", F.explode(F.array_distinct(grams(F.split("text", " "), key_words))).alias("key"))
+    runs = d.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), key_words))).alias("key"))
     hits = runs.join(F.broadcast(keyed.select("key").distinct()) if _small(keyed) else keyed.select("key").distinct(), "key", "left_semi").join(keyed, "key").select("doc_id", "item_id", "quote").distinct()
     found = hits.join(d, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
     return found.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id")).distinct()

@@ -1 +1,129 @@
-"""."""
+"""Nested data, trees, validation and the smaller transforms; sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lectern.operators import tree as T
+from lectern.plans.views import TALKS, edges, talks
+from lectern.registry import query
+from lectern.sources import files as S
+
+
+@query("jagged_flattened", "N1 N2 N4 F16", "SELECT * FROM (VALUES ('Book 1:1', 'a'), ('Book 1:2', 'b'), ('Book 2:1:1', 'c'), ('Book 2:1:2', 'd'), ('Book 3:2', 'e')) v(ref, text)")
+def jagged(t):
+    """Arrays of any depth to references; empty places count but give no row."""
+    rows = t.values([("Book", '[["a","b"],[["c","d"]],["","e"]]')], "title string, body string")
+    return T.flatten(rows)
+
+
+@query("contents_tree", "N14 J28 M80", "SELECT * FROM (VALUES ('root', 0, 'root'), ('a', 1, 'root/a'), ('b', 1, 'root/b'), ('c', 2, 'root/a/c'), ('d', 3, 'root/a/c/d')) v(node, depth, path)")
+def contents(t):
+    """A table of contents walked level by level with a recursive query."""
+    t.values([("a", "root"), ("b", "root"), ("c", "a"), ("d", "c")], "node string, parent string").createOrReplaceTempView("lectern_toc")
+    return t.spark.sql("WITH RECURSIVE w(node, depth, path) AS (SELECT 'root', 0, 'root' UNION ALL SELECT c.node, w.depth + 1, concat(w.path, '/', c.node) FROM lectern_toc c JOIN w ON c.parent = w.node) SELECT node, depth, path FROM w")
+
+
+@query("profile_clamped", "N6 M60 M86", "SELECT event_id, greatest(0, least(50, (props->>'$.k')::BIGINT)) AS k, (props->>'$.k')::BIGINT BETWEEN 0 AND 50 AS ok FROM events")
+def clamped(t):
+    k = F.from_json("props", "k long")["k"]
+    return t("events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(50), k)).cast("long").alias("k"), k.between(0, 50).alias("ok"))
+
+
+@query("json_columns", "N9 N10 N13 F56 N5", "SELECT * FROM (VALUES ('[\"a\",\"b\"]', 2), ('not json', 0), (NULL, 0), ('[]', 0)) v(raw, n)")
+def json_columns(t):
+    """Lists kept as JSON; what cannot be read is empty."""
+    rows = t.values([('["a","b"]',), ("not json",), (None,), ("[]",)], "raw string")
+    return rows.select("raw", F.size(F.coalesce(F.from_json("raw", "array<string>"), F.array().cast("array<string>"))).alias("n"))
+
+
+@query("files_by_folder", "N13 S2 M71", "SELECT source || '/' || lang AS folder, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1")
+def by_folder(t):
+    name = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return t("documents").select(F.substring_index(name, "/", 2).alias("folder"), "n_chars").groupBy("folder").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"))
+
+
+@query("code_families", "M1 M2 M10 M11", """
+SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'oc' WHEN p_brand = 'Brand#12' THEN 'yd' WHEN starts_with(p_type, 'STANDARD') THEN 'mt' ELSE 'plain' END AS family, p_brand || CASE WHEN p_size > 20 THEN ' ' || p_size ELSE '' END AS ref FROM part""")
+def families(t):
+    known = F.create_map(F.lit("Brand#11"), F.lit("oc"), F.lit("Brand#12"), F.lit("yd"))
+    family = F.coalesce(known[F.col("p_brand")], F.when(F.col("p_type").startswith("STANDARD"), "mt"), F.lit("plain"))
+    return t("part").select("p_partkey", family.alias("family"), F.concat("p_brand", F.when(F.col("p_size") > 20, F.concat(F.lit(" "), F.col("p_size"))).otherwise("")).alias("ref"))
+
+
+@query("metadata_pivot", "M7 S26", "SELECT lang, max(n) FILTER (k = 'short') AS short, max(n) FILTER (k = 'long') AS long FROM (SELECT lang, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS k, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
+def pivot(t):
+    k = F.when(F.col("n_chars") < 1000, "short").otherwise("long")
+    return t("documents").withColumn("k", k).groupBy("lang").pivot("k", ["short", "long"]).count()
+
+
+@query("phrase_runs", "M17 M18 M19 A22", """
+WITH p AS (SELECT conv_id, turn, turn // 3 AS phrase FROM conversations) SELECT conv_id, phrase, min(turn) AS first, max(turn) AS last, count(*) AS n FROM p GROUP BY 1, 2""")
+def phrase_runs(t):
+    """Words meet the phrase whose range holds them; ranges are cut to equal steps, so this is an equi-join."""
+    c = t("conversations").select("conv_id", "turn")
+    spans = c.groupBy("conv_id", F.floor(F.col("turn") / 3).alias("phrase")).agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
+    held = c.withColumn("phrase", F.floor(F.col("turn") / 3)).join(spans, ["conv_id", "phrase"]).where("turn between lo and hi")
+    return held.groupBy("conv_id", "phrase").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"))
+
+
+@query("furthest_line", "M26 M13 M31", f"SELECT conv_id, arg_max(ref, turn) AS reached, max(turn) AS line FROM {TALKS} WHERE role = 'user' GROUP BY 1")
+def furthest(t):
+    return talks(t).where("role = 'user'").groupBy("conv_id").agg(F.max_by("ref", "turn").alias("reached"), F.max("turn").alias("line"))
+
+
+@query("number_ranges", "M32 M33", r"SELECT doc_id, len(regexp_extract_all(text, '\d+')) AS numbers FROM documents")
+def numbers(t):
+    return t("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\d+"), 0)).cast("long").alias("numbers"))
+
+
+@query("names_mentioned", "M34 M74 M75", "SELECT name, count(*) AS docs FROM documents, (VALUES ('the'), ('de la'), ('und'), ('que')) n(name) WHERE contains(lower(text), ' ' || name || ' ') GROUP BY 1")
+def names(t):
+    """A fixed list of names against every text."""
+    found = F.array(*[F.when(F.lower("text").contains(f" {n} "), F.lit(n)) for n in ("the", "de la", "und", "que")])
+    return t("documents").select(F.explode(F.array_compact(found)).alias("name")).groupBy("name").agg(F.count("*").alias("docs"))
+
+
+@query("validation_reasons", "M37 M38 M39 M40 M41 M42", """
+SELECT o_orderkey, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0) THEN 'unknown customer' WHEN o_totalprice < 1000 THEN 'too small' WHEN o_orderstatus NOT IN ('O', 'F', 'P') THEN 'status' END AS reason FROM orders""")
+def validation(t):
+    """The first rule that a row fails; null where it passes all."""
+    known = t("customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    o = t("orders").join(known, "o_custkey", "left")
+    reason = F.when(F.col("known").isNull(), "unknown customer").when(F.col("o_totalprice") < 1000, "too small").when(~F.col("o_orderstatus").isin("O", "F", "P"), "status")
+    return o.select("o_orderkey", reason.alias("reason"))
+
+
+@query("standing_fields", "M43 M44 M48 M50", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'caution' ELSE 'good' END AS standing, coalesce((SELECT string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey), '') AS kinds FROM customer")
+def standing(t):
+    kinds = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("kinds"))
+    return t("customer").join(kinds, "c_custkey", "left").select("c_custkey", F.when(F.col("c_acctbal") < 0, "caution").otherwise("good").alias("standing"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+@query("overview_lines", "M57 M58 A10", "SELECT lang || ': ' || string_agg(source || ' ' || n, ', ' ORDER BY source) AS line FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY lang")
+def overview(t):
+    own = t("documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(x["source"], F.lit(" "), x["n"])), ", ")
+    return own.groupBy("lang").agg(line.alias("l")).select(F.concat("lang", F.lit(": "), "l").alias("line"))
+
+
+@query("cards_limited", "M52 M53 M54 O10", "SELECT b, count(*) AS n FROM (SELECT l_orderkey % 50 AS b, l_partkey, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) AS k FROM lineitem) WHERE k <= 3 GROUP BY 1")
+def cards(t):
+    k = F.row_number().over(Window.partitionBy("b").orderBy("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"))
+    return t("lineitem").withColumn("b", F.col("l_orderkey") % 50).withColumn("k", k).where("k <= 3").groupBy("b").agg(F.count("*").alias("n"))
+
+
+@query("files_round_trip", "S1 S4 S8 S18 S23 S17", None)
+def round_trip(t):
+    """Tables written as JSON lines and CSV into the shared folder and read back with their schema."""
+    return S.round_trips(t.spark, t("nation"), edges(t))
+
+
+@query("site_feeds", "S15 S16 A14", None)
+def feeds(t):
+    """Addresses that pages link to, by section of the link."""
+    links = t("pages").select(F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]*)"'), 1))).alias("href"))
+    return links.select(F.substring_index(F.regexp_replace("href", "^/", ""), "/", 1).alias("section")).groupBy("section").agg(F.count("*").alias("n"))
+
+
