@@ -1,7 +1,8 @@
 """Length-delimited binary records of token ids with a separate offset index.
 
 A record is: length of the payload (8 bytes, little endian), masked checksum of these 8 bytes (4 bytes), the payload
-(ids as little-endian 32-bit integers), masked checksum of the payload (4 bytes). The checksum is CRC-32C, masked by a
+(ids, little-endian), masked checksum of the payload (4 bytes). Ids take two bytes where the whole vocabulary and the end id fit, else four; the manifest says
+which. The checksum is CRC-32C, masked by a
 rotation of 15 bits and a constant, so that checksums stored inside payloads stay harmless. Each shard has an index
 file with a row (doc_id, offset, length, tokens before it in the shard) for each record, little-endian 64-bit, so that
 records can be read in any order without scanning.
@@ -140,6 +141,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_str(data), room, {}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     _kept: dict[tuple[int, int], WordCache] = {}
 
@@ -152,14 +154,14 @@ class WordCache:
         return cls._kept[key]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, little-endian 32-bit."""
+        """Ids of each text, little-endian, ``width`` bytes each."""
         if len(self.known) > self.room:
             self.known = {}
         split = [t.split() for t in texts]
         new = list({w for row in split for w in row} - self.known.keys())
         if new:
             got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known |= zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True)
+            self.known |= zip(new, (np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got), strict=True)
         known = self.known
         return [b"".join([known[w] for w in row]) for row in split]
 
@@ -171,15 +173,17 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    """Writes documents (doc_id, text) and returns the manifest: (shard, file, records, tokens), one row a shard.
+    """Writes documents (doc_id, text) and returns the manifest: (shard, file, records, tokens, width), one row a shard.
 
     ``tokenizer`` is the JSON of a tokenizer; ``folder`` an address that the executors share.
     """
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sink, index, at, seen, records, lowest = WordCache.kept(tokenizer), None, None, 0, 0, 0, None
         system = path = name = None
+        width = cache.width if end_id < 1 << 16 else 4
+        if width != cache.width:
+            raise ValueError("the end id does not fit the ids of this vocabulary")
+        end = np.array([end_id], dtype=f"<u{width}").tobytes()
         try:
             for batch in slices(batches, "text"):
                 if sink is None:
@@ -190,8 +194,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                 payloads = [x + end for x in cache.encode(as_bytes(batch.column("text")))]
                 framed = frame(payloads)
                 sizes = np.fromiter(map(len, framed), dtype=np.int64, count=len(framed))
-                tokens = np.fromiter(map(len, payloads), dtype=np.int64, count=len(framed)) // 4
-                rows = np.column_stack([np.array(ids, dtype=np.int64), at + np.cumsum(sizes) - sizes, tokens * 4, seen + np.cumsum(tokens) - tokens])
+                tokens = np.fromiter(map(len, payloads), dtype=np.int64, count=len(framed)) // width
+                rows = np.column_stack([np.array(ids, dtype=np.int64), at + np.cumsum(sizes) - sizes, tokens * width, seen + np.cumsum(tokens) - tokens])
                 sink.write(b"".join(framed))
                 index.write(rows.astype("<i8").tobytes())
                 lowest = ids[0] if lowest is None else lowest
@@ -201,10 +205,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                 if f is not None:
                     f.close()
         if sink is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([lowest], pa.int64()), pa.array([name]), pa.array([records], pa.int64()), pa.array([seen], pa.int64())], names=["lowest", "file", "records", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([lowest], pa.int64()), pa.array([name]), pa.array([records], pa.int64()), pa.array([seen], pa.int64()), pa.array([width], pa.int32())], names=["lowest", "file", "records", "tokens", "width"])
 
     dealt = restrict(docs, "doc_id", "text").repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    manifest = cut(dealt.mapInArrow(run, "lowest long, file string, records long, tokens long"))
+    manifest = cut(dealt.mapInArrow(run, "lowest long, file string, records long, tokens long, width int"))
     # one row for each shard: the number of shards bounds this window, not the number of documents
     order = Window.orderBy("lowest", "file")
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -217,7 +221,7 @@ def read_shards(manifest: DataFrame, folder: str, at_once: int = 4 << 20) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _filesystem(folder)
         for batch in batches:
-            for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            for name, start, width in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "width")), strict=True):
                 with system.open_input_stream(f"{path}/{name}.idx") as f:
                     index = np.frombuffer(f.read(), dtype="<i8").reshape(-1, 4)
                 block = (index[:, 1] // at_once).astype(np.int64)
@@ -229,11 +233,11 @@ def read_shards(manifest: DataFrame, folder: str, at_once: int = 4 << 20) -> Dat
                         data = f.read_at(last - first, first)
                         payloads = unframe(data, (part[:, 1] - first).tolist(), part[:, 2].tolist())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([None if i == NO_ID else i for i in part[:, 0].tolist()], pa.int64()), pa.array(part[:, 3] + start, pa.int64()), pa.array(part[:, 2] // 4, pa.int64()), pa.array([zlib.crc32(p) for p in payloads], pa.int64())],
+                            [pa.array([None if i == NO_ID else i for i in part[:, 0].tolist()], pa.int64()), pa.array(part[:, 3] + start, pa.int64()), pa.array(part[:, 2] // width, pa.int64()), pa.array([zlib.crc32(np.frombuffer(p, dtype=f"<u{width}").astype("<u4")) for p in payloads], pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return manifest.select("file", "start", "shard").repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start", "width", "shard").repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20) -> DataFrame:
