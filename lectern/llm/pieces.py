@@ -152,7 +152,7 @@ class Encoder:
         return {"": (b"".join(struct.pack("<I", i) for i, p in enumerate(self.model.pieces) if p[0] == MARK), True, True)}
 
     def _whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         same = [True] * len(ids) if self.reference is None else [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         expect = texts if not self.model.charsmap and not self.model.squeeze else self.reference.decode(ids) if self.reference else back

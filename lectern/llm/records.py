@@ -18,6 +18,7 @@ shard; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -137,12 +138,18 @@ def unframe(data: bytes, offsets: list[int], lengths: list[int]) -> list[bytes]:
 class WordCache:
     """Encodes texts through a tokenizer whose words never reach over white space; each word is encoded once."""
 
-    def __init__(self, data: str, room: int = 300_000):
+    def __init__(self, data: str, room: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_str(data), room, {}
+        self.parts: dict[str, bytes] = {}
+        probe = ("word.", "Word***", "ünd!", "a,;", "x&&&")
+        self.by_marks = all(self._ids(t) == [i for p in self._MARKED.fullmatch(t).groups() for i in self._ids(p)] for t in probe)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     _kept: dict[tuple[int, int], WordCache] = {}
 
     @classmethod
@@ -156,15 +163,26 @@ class WordCache:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, little-endian, ``width`` bytes each."""
         if len(self.known) > self.room:
-            self.known = {}
+            self.known, self.parts = {}, {}
         split = [t.split() for t in texts]
-        new = list({w for row in split for w in row} - self.known.keys())
-        if new:
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known |= zip(new, (np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got), strict=True)
+        new = {w: self._cut(w) for w in {w for row in split for w in row} - self.known.keys()}
+        parts = list({p for own in new.values() for p in own} - self.parts.keys())
+        if parts:
+            got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            self.parts |= zip(parts, (np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got), strict=True)
+        have = self.parts
+        self.known |= {w: b"".join([have[p] for p in own]) for w, own in new.items()}
         known = self.known
         return [b"".join([known[w] for w in row]) for row in split]
 
+    # letters and then marks are two words to the tokenizer's own splitting; most words differ only in the marks
+    _MARKED = re.compile(r"([^\W\d_]+)([.,;:!?$%&*#()\"-]+)")
+
+    def _cut(self, word: bytes) -> tuple[str, ...]:
+        text = word.decode("utf-8", "replace")
+        m = self._MARKED.fullmatch(text) if self.by_marks else None
+        return (m[1], m[2]) if m else (text,)
+
 
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     system, path = fs.FileSystem.from_uri(folder)
