@@ -44,7 +44,8 @@ def parts_of(words: list[str], size: int = 70, least: int = 40) -> list[list[str
             out.append([])
         out[-1].append(w)
     if len(out) > 1 and len(out[-1]) < least // 4:
-        out[-2] += out.pop()
+        tail = out.pop()
+        out[-1] += tail
     return [p for p in out if p]
 
 
