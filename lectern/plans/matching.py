@@ -11,7 +11,7 @@ from lectern.operators import matching as M
 from lectern.registry import query
 
 
-@query("shingle_overlap", "J16 U10", """
+@query("shingle_overlap", "J16 U9 U10", """
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = 'de'),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM w WHERE len(w) >= 12),
 f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY 1 HAVING count(*) > 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions import refs as R
@@ -147,3 +148,56 @@ def fingerprints(t):
     return t("documents").select("doc_id", fnv1a("text").alias("fnv"), fold_name(F.substring("text", 1, 200)).alias("fold"))
 
 
+
+
+@query("speech_pieces", "F39", None)
+def speech_pieces(t):
+    from lectern.functions import parse
+
+    @F.pandas_udf("array<string>")
+    def pieces(text: pd.Series) -> pd.Series:
+        return text.map(parse.speech_pieces, na_action="ignore")
+
+    return t("conversations").select("conv_id", "turn", F.posexplode(pieces("text")).alias("n", "piece"))
+
+
+@query("parts_of_words", "W14 M22", None)
+def parts_of_words(t):
+    """Texts in parts of about seventy words that end at a sentence, and put together again."""
+    from lectern.operators.packing import parts_of
+
+    @F.pandas_udf("array<string>")
+    def parts(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: [" ".join(p) for p in parts_of(x.split())], na_action="ignore")
+
+    return t("documents").select("doc_id", F.posexplode(parts("text")).alias("n", "part"))
+
+
+@query("replies_parsed", "R10 F46 F47 F49 F18 F19 N12 T17", None)
+def replies_parsed(t):
+    """Plans in loose JSON, grouped replies, sectioned replies, entries and word forms, as (kind, value)."""
+    from lectern.functions import parse
+
+    rows = t.values(
+        [
+            ("plan", 'Here: {"refs": ["Genesis 1:1",], “english”: ["light"]} done'),
+            ("group", "[A 1]\none\n[B 2]\ntwo\nthree"),
+            ("gloss", "GENERAL: whole\nWORDS:\na | b\nREADINGS:\nx | y | R 1 | q"),
+            ("read", "see [[read Genesis 1:1]] there"),
+            ("entry", '{"headword": "h", "content": {"senses": [{"number": 1, "definition": "<b>d</b>"}]}}'),
+            ("forms", "והמלכים"),
+        ],
+        "kind string, raw string",
+    )
+
+    @F.pandas_udf("string")
+    def read(kind: pd.Series, raw: pd.Series) -> pd.Series:
+        import json
+
+        ways = {
+            "plan": parse.loose_object, "group": lambda x: parse.by_reference(x, {"A 1", "B 2"}), "gloss": parse.reply_sections,
+            "read": lambda x: parse.read_markers(x, {"genesis 1:1": "Genesis 1:1"}), "entry": lambda x: parse.entry_text(json.loads(x)), "forms": parse.word_forms,
+        }
+        return pd.Series([json.dumps(ways[k](x), ensure_ascii=False) for k, x in zip(kind, raw, strict=True)])
+
+    return rows.select("kind", read("kind", "raw").alias("value"))

@@ -129,5 +129,18 @@ def test_files(spark, tmp_path):
     assert [len(p) for p in line.split("\r\n")] == [73, 74, 5]
 
 
+def test_parsers():
+    from lectern.functions import parse
+
+    assert parse.loose_object('x {y} {"refs": ["a",], “english”: []}') == {"refs": ["a"], "english": []} and parse.loose_object("none {}") is None
+    assert parse.loose_object('{"hebrew": ["רש"י"]}') == {"hebrew": ["רש״י"]}
+    assert parse.by_reference("intro\n[A 1]\none\n[Z]\nmore\n[B 2]\ntwo", {"A 1", "B 2"}) == {"A 1": "one", "B 2": "two"}
+    assert parse.reply_sections("GENERAL: g\nWORDS:\na | b\nREADINGS:\nx | y | r | q") == {"GENERAL": ["g"], "WORDS": [["a", "b"]], "READINGS": [["x", "y", "r", "q"]]}
+    assert parse.read_markers("a [[read X  1]] b [[read no]] c", {"x 1": "X 1"}) == [("text", "a "), ("read", "X 1"), ("text", " b "), ("text", " c")]
+    assert parse.entry_text({"headword": "h", "alt_headwords": ["i"], "content": [{"number": 1, "d": "<b>x</b>"}]}) == "h (also i) 1) x"
+    assert parse.word_forms("והמלכים")[:2] == ["והמלכים", "והמלכ"[:-1] + "ך"] and "מלך" in parse.word_forms("המלכים")
+    assert parse.speech_pieces("One. " * 100)[0].count("One") == 44 and all(len(p) <= 700 for p in parse.speech_pieces("word " * 900))
+
+
 def test_registry():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and set(registry.COVERS) == set(catalog.queries())
