@@ -229,15 +229,14 @@ def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: i
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     of_rep = signed.where("doc_id is not null").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    member = of_rep.select("doc_id", F.posexplode("bands").alias("band", "key")).withColumn("component", F.col("doc_id"))
-    # only classes that share a bucket with another go on
-    member = _mixed(member)
+    # only classes that share a bucket with another go on; keys of different bands differ by their seed
+    member = _mixed(of_rep.select("doc_id", F.explode("bands").alias("key")), "doc_id")
     of_rep = cut(of_rep.join(member.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"))
 
     found = cut(links_among(cut(_star(member)), of_rep, texts, words, percent, miss))
     group = components(found)
-    joined = member.select("band", "key", "doc_id").join(group, member.doc_id == group.node, "left")
-    member = _mixed(joined.select("doc_id", "band", "key", F.coalesce("component", "doc_id").alias("component")))
+    joined = member.join(group, member.doc_id == group.node, "left")
+    member = _mixed(joined.select("doc_id", "key", F.coalesce("component", "doc_id").alias("component")), "component")
     found = found.unionByName(cut(_across(member, of_rep, texts, words, percent, miss)))
     group = components(found)
     rep_of = classes.join(group, classes.rep == group.node, "left").select("n_shingles", "digest", F.coalesce("component", "rep").alias("component"))
@@ -245,17 +244,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: i
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _mixed(member: DataFrame) -> DataFrame:
-    """The buckets that hold several components."""
-    several = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    return cut(member.join(several, ["band", "key"], "left_semi"))
-
+def _mixed(member: DataFrame, by: str) -> DataFrame:
+    """The buckets whose members differ in ``by``."""
+    several = member.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("key")
+    return cut(member.join(several, "key", "left_semi"))
 
 
 def _star(member: DataFrame) -> DataFrame:
     """Pairs of each member with the smallest of its bucket: linear in the bucket."""
-    pivot = member.groupBy("band", "key").agg(F.min("doc_id").alias("a"))
-    return member.join(pivot, ["band", "key"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pivot = member.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return member.join(pivot, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def _across(member: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
@@ -265,8 +263,8 @@ def _across(member: DataFrame, signed: DataFrame, docs: DataFrame, words: int, p
     chunks is one block, compared within its task, which gives the links that join components and no other rows. So
     a crowd of look-alikes just below the threshold is compared in full, in many tasks of bounded memory.
     """
-    pivot = member.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"))
-    cluster = cut(member.join(pivot, ["band", "key"]).select("pivot", "doc_id", "component").distinct())
+    pivot = member.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    cluster = cut(member.join(pivot, "key").select("pivot", "doc_id", "component").distinct())
     size = cluster.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot", "chunks")
     dealt = cluster.join(size, "pivot").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.select(F.concat_ws("-", "pivot", F.least("own", "with"), F.greatest("own", "with")).alias("block"), "doc_id", "component", F.col("own").alias("side"))
