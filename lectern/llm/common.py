@@ -7,6 +7,7 @@ collected but a few scalars.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that were cut: it does so once nothing refers to them, which
+    is noticed only when both collectors run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls in fold 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

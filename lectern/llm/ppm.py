@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, cut, fold_of, restrict, slices, text_bytes
+from lectern.llm.common import as_bytes, cut, fold_of, release, restrict, slices, text_bytes
 from lectern.llm.shingles import BASE, INVERSE, _table, mix
 
 ORDER = 5
@@ -248,6 +248,25 @@ class Model:
 
 # ---------------------------------------------------------------- the corpus
 
+
+
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array as bytes: differences if ascending, bytes of equal weight side by side, compressed."""
+    import zstandard
+
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, dtype: str, ascending: bool = False) -> np.ndarray:
+    import zstandard
+
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), np.dtype(dtype).itemsize
+    out = np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(out, dtype=dtype) if ascending else out
+
+
 _PART = "block int, kind int, bucket int, keys binary, counts binary"
 
 
@@ -264,9 +283,9 @@ def _count(order: int, buckets: int):
                 order_ = np.argsort(place, kind="stable")
                 keys, counts, place = keys[order_], counts[order_], place[order_]
                 edges = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                rows += [(block, kind, b, keys[lo:hi].astype("<u8").tobytes(), counts[lo:hi].astype("<u4").tobytes()) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+                rows += [(block, kind, b, pack(keys[lo:hi].astype("<u8"), True), pack(counts[lo:hi].astype("<u4"))) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
             cells = np.flatnonzero(low)
-            rows.append((block, 2, -1, cells.astype("<u8").tobytes(), low[cells].astype("<u8").tobytes()))
+            rows.append((block, 2, -1, pack(cells.astype("<u8"), True), pack(low[cells].astype("<u8"))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "kind", "bucket", "keys", "counts"])
 
         for batch in slices(batches, "text", 2 << 20):
@@ -297,7 +316,7 @@ def _sum_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
         for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            low[np.frombuffer(keys, dtype="<u8").astype(np.int64)] += np.frombuffer(counts, dtype="<u8").astype(np.int64)
+            low[unpack(keys, "<u8", True).astype(np.int64)] += unpack(counts, "<u8").astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([low.astype("<i8").tobytes()], pa.binary())], names=["low"])
 
 
@@ -309,13 +328,13 @@ def _answer(order: int, low: np.ndarray):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         kind = rows[0][1]
-        sent = [np.frombuffer(r[3], dtype="<u8") for r in rows]
-        keys, counts = tally(np.concatenate(sent), np.concatenate([np.frombuffer(r[4], dtype="<u4") for r in rows]).astype(np.int64))
+        sent = [unpack(r[3], "<u8", True) for r in rows]
+        keys, counts = tally(np.concatenate(sent), np.concatenate([unpack(r[4], "<u4") for r in rows]).astype(np.int64))
         if kind == 0:
             values = Model(keys, counts, low, order).cost(keys).astype("<f4")
         else:
             values = counts.astype("<u4")
-        out = [(r[0], kind, r[2], r[3], values[np.searchsorted(keys, s)].tobytes(), int(counts.sum()) if i == 0 else 0, int((counts > 0).sum()) if i == 0 else 0) for i, (r, s) in enumerate(zip(rows, sent, strict=True))]
+        out = [(r[0], kind, r[2], r[3], pack(values[np.searchsorted(keys, s)]), int(counts.sum()) if i == 0 else 0, int((counts > 0).sum()) if i == 0 else 0) for i, (r, s) in enumerate(zip(rows, sent, strict=True))]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "kind", "bucket", "keys", "answers", "n_train", "v_train"])
 
@@ -350,7 +369,7 @@ def _score(order: int, n_train: int, v_train: int):
                 own = batch.slice(lo, hi - lo)
                 if kinds[lo] != 2:
                     for kind, keys, answers in zip(kinds[lo:hi], own.column("keys").to_pylist(), own.column("answers").to_pylist(), strict=True):
-                        parts[kind].append((np.frombuffer(keys, dtype="<u8"), np.frombuffer(answers, dtype="<f4" if kind == 0 else "<u4")))
+                        parts[kind].append((unpack(keys, "<u8", True), unpack(answers, "<f4" if kind == 0 else "<u4")))
                     continue
                 if tables is None:
                     tables = [Lookup(np.concatenate([p[0] for p in parts[k]]), np.concatenate([p[1] for p in parts[k]])) for k in (0, 1)]
@@ -378,10 +397,12 @@ def score_corpus(docs: DataFrame, held_out_fold: int = 1, order: int = ORDER, bl
     buckets = min(1 << 16, max(buckets, blocks))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     counted = cut(docs.repartition("block").sortWithinPartitions("block").mapInArrow(_count(order, buckets), _PART))
+    release(docs.sparkSession)
     low = np.zeros(1 << 16, dtype=np.int64)
     for row in counted.where("kind = 2").select("keys", "counts").coalesce(16).mapInArrow(_sum_low, "low binary").toLocalIterator():
         low += np.frombuffer(row["low"], dtype="<i8")
     answers = cut(counted.where("kind < 2").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_answer(order, low.reshape(256, 256)), _ANSWER))
+    release(docs.sparkSession)
     total = answers.where("kind = 1").agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_train"), F.lit(0)).alias("v")).first()
     none = F.lit(None)
     rows = answers.select("block", "kind", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "keys", "answers").unionByName(docs.select("block", F.lit(2).alias("kind"), "doc_id", "text", none.cast("binary").alias("keys"), none.cast("binary").alias("answers")))
