@@ -111,3 +111,18 @@ def speech_pieces(text: str, first: int = 220, most: int = 700) -> list[str]:
                 held = ""
             held = f"{held} {part}".strip()
     return [p for p in [*out, held] if re.search(r"\w", p)]
+
+
+def first_sense(entry: str) -> str:
+    """A dictionary entry up to its first stop or semicolon, groups in brackets left out."""
+    depth, out = 0, []
+    for c in entry:
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth = max(0, depth - 1)
+        elif not depth:
+            if c in ";.":
+                break
+            out.append(c)
+    return " ".join("".join(out).split())

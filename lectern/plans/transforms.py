@@ -127,3 +127,44 @@ def feeds(t):
     return links.select(F.substring_index(F.regexp_replace("href", "^/", ""), "/", 1).alias("section")).groupBy("section").agg(F.count("*").alias("n"))
 
 
+
+
+@query("header_fields", "S3", """
+SELECT page_id, regexp_extract(substr(html, 1, 6144), '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(substr(html, 1, 6144), 'charset="([^"]+)"', 1) AS charset FROM pages""")
+def header_fields(t):
+    """Fields from the first 6 KB of each file; the rest is not looked at."""
+    head = F.substring("html", 1, 6144)
+    return t("pages").select("page_id", F.regexp_extract(head, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract(head, 'charset="([^"]+)"', 1).alias("charset"))
+
+
+@query("block_moved", "M29", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn BETWEEN 1 AND 2 THEN 1 ELSE 0 END, turn) AS n FROM conversations")
+def block_moved(t):
+    """A block of an ordered list moved behind the rest, by a computed sort key."""
+    key = F.when(F.col("turn").between(1, 2), 1).otherwise(0)
+    return t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(key, "turn")).alias("n"))
+
+
+@query("layouts_checked", "L18 P11", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(id, ok)")
+def layouts_checked(t):
+    """Layout records that can be read, with lines in order inside the page and words that exist."""
+    rows = t.values([(1, '{"words": 3, "lines": [{"y": 1, "w": [0, 1]}, {"y": 2, "w": [2]}]}'), (2, '{"words": 3, "lines": [{"y": 2, "w": [0]}, {"y": 1, "w": [1]}]}'), (3, '{"words": 1, "lines": [{"y": 1, "w": [5]}]}'), (4, "not json")], "id int, raw string")
+    r = rows.select("id", F.from_json("raw", "words int, lines array<struct<y: double, w: array<int>>>").alias("r")).select("id", "r.words", "r.lines")
+    ordered = F.forall(F.sequence(F.lit(1), F.greatest(F.size("lines") - 1, F.lit(1))), lambda i: (i >= F.size("lines")) | (F.get("lines", i)["y"] > F.get("lines", i - 1)["y"]))
+    known = F.forall("lines", lambda x: F.forall(x["w"], lambda w: (w >= 0) & (w < F.col("words"))))
+    return r.select("id", F.coalesce(ordered & known, F.lit(False)).alias("ok"))
+
+
+@query("author_notes", "M69", "SELECT * FROM (VALUES (1, '1. a|2. b'), (2, ''), (3, '')) v(id, notes)")
+def author_notes(t):
+    """Notes kept as JSON in an article's metadata, numbered; none if it cannot be read."""
+    rows = t.values([(1, '{"footnotes": ["a", "b"]}'), (2, "{}"), (3, "broken")], "id int, meta string")
+    notes = F.coalesce(F.from_json("meta", "footnotes array<string>")["footnotes"], F.array().cast("array<string>"))
+    return rows.select("id", F.array_join(F.transform(notes, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "|").alias("notes"))
+
+
+@query("first_senses", "F44", None)
+def first_senses(t):
+    from lectern.functions.parse import first_sense
+
+    rows = t.values([("bread (pl. breads; also [loaf; x]) food; money",), ("light. Also lamp",), ("",)], "entry string")
+    return rows.select("entry", F.udf(first_sense, "string")("entry").alias("sense"))

@@ -138,9 +138,25 @@ def test_parsers():
     assert parse.reply_sections("GENERAL: g\nWORDS:\na | b\nREADINGS:\nx | y | r | q") == {"GENERAL": ["g"], "WORDS": [["a", "b"]], "READINGS": [["x", "y", "r", "q"]]}
     assert parse.read_markers("a [[read X  1]] b [[read no]] c", {"x 1": "X 1"}) == [("text", "a "), ("read", "X 1"), ("text", " b "), ("text", " c")]
     assert parse.entry_text({"headword": "h", "alt_headwords": ["i"], "content": [{"number": 1, "d": "<b>x</b>"}]}) == "h (also i) 1) x"
+    assert parse.first_sense("bread (pl. x; [y; z]) food; money") == "bread food" and parse.first_sense("") == ""
     assert parse.word_forms("והמלכים")[:2] == ["והמלכים", "והמלכ"[:-1] + "ך"] and "מלך" in parse.word_forms("המלכים")
     assert parse.speech_pieces("One. " * 100)[0].count("One") == 44 and all(len(p) <= 700 for p in parse.speech_pieces("word " * 900))
 
 
+def test_posts_source(spark, tmp_path):
+    import json
+
+    from lectern.sources.posts import Posts
+
+    (tmp_path / "listing.json").write_text(json.dumps([{"id": i, "modified": f"2024-01-0{i}"} for i in range(1, 6)]))
+    for i in range(1, 6):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"content": f"<p>{i}</p>"}))
+    spark.dataSource.register(Posts)
+    listed = spark.read.format("posts").option("path", str(tmp_path)).option("batch", "2").load()
+    assert listed.count() == 5 and listed.where("body is not null").count() == 0
+    some = spark.read.format("posts").option("path", str(tmp_path)).option("ids", "2,4,9").option("bodies", "true").load()
+    assert sorted((r.id, r.body) for r in some.collect()) == [(2, "<p>2</p>"), (4, "<p>4</p>")]
+
+
 def test_registry():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and set(registry.COVERS) == set(catalog.queries())
