@@ -130,14 +130,14 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, smooth: float
     seen = seen.withColumn("said", share)
 
     def counts(*keys: str, name: str) -> DataFrame:
-        sums = F.array(*[F.sum(F.col("said")[i]) for i in range(n)]).alias(name)
-        return seen.groupBy(*keys).agg(sums)
+        return seen.groupBy(*keys).agg(F.array(*[F.sum(F.col("said")[i]) for i in range(n)]).alias(name))
 
-    whole = counts(name="all").select(F.transform("all", lambda x: (x + 1.0) / (F.aggregate("all", F.lit(0.0), lambda a, b: a + b) + n)).alias("p_all"))
+    whole = [x or 0.0 for x in counts(name="all").first()["all"]]  # one row
+    p_all = F.array(*[F.lit((x + 1.0) / (sum(whole) + n)) for x in whole])
     by_suffix = counts("suffix", name="n_suffix").withColumnRenamed("suffix", "_suffix")
     by_host = counts("host", "suffix", name="n_host").withColumnsRenamed({"host": "_host", "suffix": "_in"})
     by_markup = counts("markup", name="n_markup").where("markup is not null").withColumnRenamed("markup", "_markup")
-    kinds = by_markup.agg(F.count("*").alias("kinds"), F.array(*[F.coalesce(F.sum(F.col("n_markup")[i]), F.lit(0.0)) for i in range(n)]).alias("n_marked"))
+    marked = by_markup.agg(F.count("*").alias("kinds"), F.array(*[F.coalesce(F.sum(F.col("n_markup")[i]), F.lit(0.0)) for i in range(n)]).alias("n_marked")).first()  # one row
 
     def less_own(column: str) -> Column:
         return F.zip_with(column, "said", lambda a, b: F.greatest(a - b, F.lit(0.0)))
@@ -148,8 +148,8 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, smooth: float
         return F.zip_with(own, prior, lambda a, p: (a + smooth * p) / total)
 
     joined = (
-        seen.crossJoin(F.broadcast(whole))  # one row each
-        .crossJoin(F.broadcast(kinds))
+        seen.withColumn("p_all", p_all)
+        .withColumn("n_marked", F.array(*map(F.lit, marked["n_marked"])))
         .join(by_suffix, F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
         .join(by_host, F.col("host").eqNullSafe(F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_in")), "left")
         .join(by_markup, F.col("markup") == F.col("_markup"), "left")
@@ -158,7 +158,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, smooth: float
     prior = F.when(F.col("host").isNull(), F.col("p_suffix")).otherwise(towards(less_own("n_host"), "p_suffix"))
     joined = joined.withColumn("prior", F.transform(prior, lambda p: F.log(p)))
     # P(declared | language), by what the texts of rows with that declaration say
-    trust = F.zip_with("n_markup", "n_marked", lambda a, m: F.log((a + 0.5) / (m + 0.5 * F.col("kinds") + 0.5)))
+    trust = F.zip_with("n_markup", "n_marked", lambda a, m: F.log((a + 0.5) / (m + 0.5 * marked["kinds"] + 0.5)))
     flat = F.array(*[F.lit(0.0)] * n)
     joined = joined.withColumn("fused", _add(F.col("likely"), F.col("prior"), F.coalesce(F.when(F.col("markup").isNotNull(), trust), flat)))
     top = F.array_max("fused")
