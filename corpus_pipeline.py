@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from lectern.llm.common import shared_dir, table
+from lectern.llm.common import shared_dir, small_batches, table
 
 ORACLE_SQL = None
 
@@ -25,21 +25,25 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the smallest doc_id stays."""
+    small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each group stays."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: the words that the mix takes, a row for each pass over a source."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding of what is left: doc_id, source, ids, and whether parity and round trip hold."""
+    small_batches(spark)
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return pieces.encoded(docs, f.read())
 
