@@ -145,8 +145,14 @@ class WordCache:
         self.parts: dict[str, bytes] = {}
         probe = ("word.", "Word***", "ünd!", "a,;", "x&&&")
         self.by_marks = all(self._ids(t) == [i for p in self._MARKED.fullmatch(t).groups() for i in self._ids(p)] for t in probe)
+        # a word of ASCII letters goes through normaliser and splitting as its lower case: its core can be asked at once
+        probe = ("word", "Words", "ANTIDISESTABLISHMENT", "s", "qzx", "don", "ll")
+        self.by_model = all(self._ids(t) == [x.id for x in self.tokenizer.model.tokenize(t.lower())] for t in probe)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -167,9 +173,13 @@ class WordCache:
         split = [t.split() for t in texts]
         new = {w: self._cut(w) for w in {w for row in split for w in row} - self.known.keys()}
         parts = list({p for own in new.values() for p in own} - self.parts.keys())
+        if self.by_model:
+            core = self.tokenizer.model
+            self.parts |= {p: self._bytes([t.id for t in core.tokenize(p.lower())]) for p in parts if p.isascii() and p.isalpha()}
+            parts = [p for p in parts if p not in self.parts]
         if parts:
             got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            self.parts |= zip(parts, (np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got), strict=True)
+            self.parts |= zip(parts, (self._bytes(e.ids) for e in got), strict=True)
         have = self.parts
         self.known |= {w: b"".join([have[p] for p in own]) for w, own in new.items()}
         known = self.known
