@@ -1,14 +1,14 @@
 """Main text of web pages, with site templates removed by subtree counts.
 
 A page becomes a tree of elements; each element with text has a hash of its tag and of all that is below it. Spark
-counts, for each host, in how many different articles each hash occurs, and subtrees that recur across many pages of
-their host are deleted, as are elements that say what they are: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments. The rest of the article element (of the whole body if there is none) is
-decoded, its white space folded, and its blocks joined by line feeds.
+counts, for each host, with how many different articles each hash of the whole page occurs, and subtrees that recur
+across many pages of their host are deleted before the article is chosen, as are elements that say what they are: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. The rest of the article element
+(of the whole body if there is none) is decoded, its white space folded, and its blocks joined by line feeds.
 
 Prose elements of an article (paragraphs, headings, list items) stay even where they recur, since articles quote each
 other; on pages without an article element every element may be a template. Copies of one article count once, so that a syndicated or repeated article is not taken for a template. A hash needs
-``MANY`` different articles and the share ``SHARE`` of the host's pages.
+``MANY`` different articles and the share ``SHARE`` of the host's articles.
 
 Defined results: null html gives an empty text; a null or unreadable url is a host of its own name ''; repeated rows
 are extracted each; markup that is cut off ends with the page; extra columns are ignored.
@@ -21,13 +21,16 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.llm.common import cut, restrict, slices
 
 MANY, SHARE = 3, 0.05
+DEALS = 16  # parts that the pages of a host are dealt over when they meet its templates
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -120,13 +123,13 @@ def parse(page: str) -> Element:
     return root
 
 
-def article(root: Element) -> Element:
-    """The article element with most text, else the main one, else the page."""
+def article(root: Element, templates: frozenset[int] | set[int] = frozenset()) -> Element:
+    """The article element with most text, else the main one, else the page; not one within a template."""
     best = {"article": root, "main": root}
     todo = [root]
     while todo:
         e = todo.pop()
-        if e.drop:
+        if e.drop or e.text and e.hash in templates:
             continue
         if e.tag in best and (best[e.tag] is root or e.text > best[e.tag].text):
             best[e.tag] = e
@@ -134,15 +137,31 @@ def article(root: Element) -> Element:
     return best["article"] if best["article"] is not root else best["main"]
 
 
-def hashes(e: Element) -> set[int]:
-    """Hashes of the elements with text below e that are not dropped anyway; in an article only those of containers."""
-    out, todo = set(), [e]
+#: Counted once for each article, so that its count is the number of the host's articles; no element's hash, but for chance.
+ALL = 0
+
+
+def hashes(root: Element, main: Element) -> set[int]:
+    """ALL and the hashes of the page's elements with text, those that are dropped by name too; not of main and what holds
+    it, and in an article not of prose.
+
+    What holds main differs as main does, so it never recurs with different articles."""
+    holds, todo = {id(main)}, [(root, ())]
     while todo:
-        for x in todo.pop().below:
-            if isinstance(x, Element) and not x.drop and x.text:
-                if not e.tag or x.tag not in PROSE:
+        e, above = todo.pop()
+        if e is main:
+            holds.update(map(id, above))
+            break
+        todo += [(x, (*above, e)) for x in e.below if isinstance(x, Element) and x.text]
+    out, todo = {ALL}, [(root, False)]
+    while todo:
+        e, inside = todo.pop()
+        inside = inside or e is main and bool(main.tag)
+        for x in e.below:
+            if isinstance(x, Element) and x.text:
+                if id(x) not in holds and not (inside and x.tag in PROSE):
                     out.add(x.hash)
-                todo.append(x)
+                todo.append((x, inside))
     return out
 
 
@@ -158,6 +177,7 @@ def text_of(e: Element, templates: frozenset[int] | set[int] = frozenset()) -> s
                 blocks.append(text)
             line.clear()
 
+    inside = bool(e.tag)
     todo: list = [e]
     while todo:
         x = todo.pop()
@@ -167,7 +187,7 @@ def text_of(e: Element, templates: frozenset[int] | set[int] = frozenset()) -> s
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x is e or not (x.drop or x.hash in templates and x.text):
+        elif x is e or not (x.drop or x.text and x.hash in templates and not (inside and x.tag in PROSE)):
             if x.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -186,32 +206,46 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+@F.pandas_udf(StringType())
+def _host(url: pd.Series) -> pd.Series:
+    return url.map(host_of)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
-        ids, hosts, found, whole = [], [], [], []
-        for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            main = article(parse(page or ""))
-            ids.append(page_id)
+        hosts, found, whole = [], [], []
+        for url, page in zip(*(batch.column(c).to_pylist() for c in ("url", "html")), strict=True):
+            root = parse(page or "")
+            main = article(root)
             hosts.append(host_of(url))
-            found.append(sorted(hashes(main)))
+            found.append(sorted(hashes(root, main)))
             whole.append(main.hash if main.tag else int.from_bytes(hashlib.blake2b(text_of(main).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts), pa.array(found, pa.list_(pa.int64())), pa.array(whole, pa.int64())], names=["page_id", "host", "hashes", "whole"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "whole", "hashes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
-        texts = [text_of(article(parse(page or "")), set(own or ())) for page, own in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True)]
+        texts = []
+        for page, own in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True):
+            root, templates = parse(page or ""), set(own or ())
+            texts.append(text_of(article(root, templates), templates))
         yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def templates_of(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+    """(host, templates): the hashes that recur on each host, at most 1 / share times those of a mean article."""
+    seen = pages.select("url", "html").mapInArrow(_survey, "host string, whole long, hashes array<long>")
+    # distinct articles first, so that hot hosts are spread over their hashes and copies count once
+    each = seen.select("host", "whole", F.explode("hashes").alias("hash")).distinct()
+    counted = cut(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= many) | (F.col("hash") == ALL)))
+    size = counted.where(F.col("hash") == ALL).select("host", F.col("n").alias("articles"))
+    return counted.where(F.col("hash") != ALL).join(size, "host").where(F.col("n") >= share * F.col("articles")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+
+
 def main_texts(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of ``pages`` (page_id, url, html)."""
     pages = restrict(pages, "page_id", "url", "html")
-    seen = cut(pages.mapInArrow(_survey, "page_id long, host string, hashes array<long>, whole long"))
-    # distinct articles first, so that hot hosts are spread over their hashes and copies count once
-    articles = seen.groupBy("host", "whole").agg(F.first("hashes").alias("hashes"))
-    size = articles.groupBy("host").agg(F.count("*").alias("articles"))
-    counted = articles.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= many)
-    templates = counted.join(size, "host").where(F.col("n") >= share * F.col("articles")).select("host", "hash")
-    own = seen.select("page_id", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("templates")).withColumnRenamed("page_id", "_id")
-    return pages.join(own, pages.page_id == own["_id"], "left").select("page_id", "url", "html", "templates").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    templates = templates_of(pages, many, share)
+    dealt = templates.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    hosted = pages.withColumn("host", _host("url")).withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.lit(DEALS)).cast("int"))
+    return hosted.join(dealt, ["host", "deal"], "left").select("page_id", "url", "html", "templates").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -338,6 +338,30 @@ def test_page_text(spark):
     assert page_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_text_by_counts(spark):
+    """Subtrees without a telling name go by their count on the host, outside the article and inside it; prose of an article stays."""
+    promo = "<section><article><p>Buy our long and repeated offer of the week.</p></article></section>"
+    words = [f"Real words of article number {i}, longer than the offer of any week on this host." for i in range(5)] + ["Short."]
+    page = "<body>" + promo + "<article><p>%s</p><div>Read on with our plan.</div><p>Quoted %d.</p></article></body>"
+    rows = [(i, f"http://p.example.org/{i}", page % (x, i)) for i, x in enumerate(words)]
+    rows += [(9, "http://q.example.org/9", "<article><p>Own.</p><div>Read on with our plan.</div></article>")]
+    got = {x.page_id: x.text for x in page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == words[0] + "\nQuoted 0." and got[5] == "Short.\nQuoted 5."
+    assert [i for i, x in got.items() if "Read on" in x] == [9]
+
+
+def test_page_text_counts_the_whole_page():
+    root = page_text.parse("<body><nav><ul><li>menu</li></ul></nav><div class='ad'>buy</div><article><h1>T</h1><p>One <b>two</b></p></article><footer>x</footer></body>")
+    main = page_text.article(root)
+    got = page_text.hashes(root, main) - {page_text.ALL}
+    tags, todo = {}, [root]
+    while todo:
+        e = todo.pop()
+        tags[e.hash] = e.tag
+        todo += [x for x in e.below if not isinstance(x, str)]
+    assert sorted(tags[x] for x in got) == ["div", "footer", "li", "nav", "ul"]
+
+
 # ---------------------------------------------------------------- language model
 
 
