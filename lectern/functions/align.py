@@ -29,14 +29,20 @@ def costs(query: str, text: str, gap: float = 1.0) -> tuple[np.ndarray, np.ndarr
 
 def align(query: str, text: str, gap: float = 1.0) -> tuple[float, int, int]:
     """(cost, start, end) of the best place; the first of equals."""
-    cost, start = costs(query, text, gap)
+    return first_best(*costs(query, text, gap))
+
+
+def first_best(cost: np.ndarray, start: np.ndarray) -> tuple[float, int, int]:
     end = int(cost.argmin())
     return float(cost[end]), int(start[end]), end
 
 
 def best_places(query: str, text: str, top: int, most: float, gap: float = 1.0) -> list[tuple[float, int, int]]:
     """Up to ``top`` places that do not overlap, best first, none above ``most``."""
-    cost, start = costs(query, text, gap)
+    return apart(*costs(query, text, gap), top, most)
+
+
+def apart(cost: np.ndarray, start: np.ndarray, top: int, most: float) -> list[tuple[float, int, int]]:
     out: list[tuple[float, int, int]] = []
     for end in np.argsort(cost, kind="stable").tolist():
         if cost[end] > most or len(out) == top:

@@ -33,6 +33,21 @@ def quotes_in(quotes: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFra
     return found.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id")).distinct()
 
 
+def sharing(quotes: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
+    """(item_id, doc_id) where the document has a run of ``run`` words of the quote, wherever it lies in either.
+
+    Shorter quotes are searched for as they are.
+    """
+    q = quotes.select("item_id", squash(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
+    keys = q.where(F.size("w") >= run).select("item_id", F.explode(F.array_distinct(grams(F.col("w"), run))).alias("key"))
+    d = docs.select("doc_id", squash(F.col("text")).alias("text"))
+    runs = d.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), run))).alias("key"))
+    wanted = keys.select("key").distinct()
+    hits = runs.join(F.broadcast(wanted) if _small(wanted) else wanted, "key", "left_semi").join(keys, "key").select("item_id", "doc_id")
+    short = q.where(F.size("w") < run).select("item_id", "quote")
+    return hits.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id")).distinct()
+
+
 def _small(df: DataFrame, most: int = 200_000) -> bool:
     """Whether a side has few enough rows to go to every task; counted, not assumed."""
     return df.limit(most + 1).count() <= most

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.functions.align import align, best_places, chain, is_abbreviation
+from lectern.functions.align import apart, chain, costs, first_best, is_abbreviation
 from lectern.operators import matching as M
 from lectern.registry import query
 
@@ -47,16 +47,16 @@ def boxes(t):
 
 @query("aligned_quotes", "L1 L2 L3 L5 F45", None)
 def aligned(t):
-    """Each quote's best place in the documents that share a pair of its words, by semi-global alignment."""
+    """Each whole quote's best place in the whole text of the documents that share a run of four of its words, by semi-global alignment."""
     q = t("benchmark").select("item_id", F.col("text").alias("quote"))
-    pairs = M.quotes_in(q.withColumn("quote", F.substring("quote", 20, 60)), t("documents").select("doc_id", "text"))
+    pairs = M.sharing(q, t("documents").select("doc_id", "text"))
 
     @F.pandas_udf("struct<cost: double, start: int, end: int, places: int>")
     def place(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(quote, text, strict=True):
-            cost, start, end = align(a[:60], b[:2000])
-            rows.append((cost, start, end, len(best_places(a[:60], b[:2000], 3, 20.0))))
+            table = costs(a, b)
+            rows.append((*first_best(*table), len(apart(*table, 3, 20.0))))
         return pd.DataFrame(rows, columns=["cost", "start", "end", "places"])
 
     j = pairs.join(q, "item_id").join(t("documents").select("doc_id", "text"), "doc_id")

@@ -15,6 +15,32 @@ from lectern.operators import lookup as L
 from lectern.sources import files
 
 
+def brute_place(query, text):
+    """The least cost of the whole query in the text, by the plain table."""
+    last = [0.0] * (len(text) + 1)
+    for c in query:
+        row = [last[0] + 1.0]
+        for j, x in enumerate(text, 1):
+            row.append(min(last[j] + 1.0, row[-1] + 1.0, last[j - 1] + (0.0 if c == x else 1.5)))
+        last = row
+    return min(last), last.index(min(last))
+
+
+def test_aligned_quotes_over_whole_texts(spark, tmp_path):
+    """The place lies beyond 2,000 characters, and what differs beyond 60 characters of the quote counts."""
+    rng = random.Random(7)
+    fill = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    quote = "what the reader took from the old book was a long line of many plain words and then some more of them at the end of it"
+    near = quote.replace("some more of", "sum more off")
+    docs = [(1, f"{fill} {quote} tail"), (2, f"head {near} {fill}"), (3, f"{fill} and then some more of them"), (4, fill)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in catalog.queries()["aligned_quotes"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert {i: (r.cost, r.end) for i, r in got.items()} == {i: brute_place(quote, text) for i, text in docs[:3]}
+    assert (got[1].cost, got[1].start) == (0.0, len(fill) + 1) and 0 < got[2].cost < 10
+
+
 def test_library_of_references(spark):
     """The cases of a small library: lines, ranges, whole sections, titles that begin other titles, absent books."""
     refs = [("Genesis 1:1", "Genesis"), ("Genesis 1:2", "Genesis"), ("Genesis 1:3", "Genesis"), ("Genesis 10:1", "Genesis"), ("Genesis Rabbah 1:1", "Genesis Rabbah"), ("Berakhot 2a:1", "Berakhot"), ("Kuzari 1", "Kuzari"), ("Kuzari 2", "Kuzari")]
