@@ -15,6 +15,14 @@ from lectern.operators import lookup as L
 from lectern.sources import files
 
 
+def test_dictionary_forms_of_all_documents(spark, tmp_path):
+    docs = [(1, "Unknown forms"), (2, "unknown POLISHED"), (51, "unknown another")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Small polished tin")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["dictionary_forms_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("another", 51), ("unknown", 1), ("unknown", 2)]
+
+
 def brute_place(query, text):
     """The least cost of the whole query in the text, by the plain table."""
     last = [0.0] * (len(text) + 1)
