@@ -23,6 +23,16 @@ def test_dictionary_forms_of_all_documents(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("another", 51), ("unknown", 1), ("unknown", 2)]
 
 
+def test_shared_runs_of_all_languages(spark, tmp_path):
+    run = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"a {run}", "en", "src2"), (2, f"{run} b", "fr", "src3"), (3, f"c {run}", None, None), (4, run[:-4], "de", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "w0 w1 b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog.queries()["shingle_overlap_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.first, r.doc_id, r.shared) for r in got) == [(1, 2, 1), (1, 3, 1)]
+    assert [tuple(r) for r in catalog.queries()["guide_share_whole"](spark, str(tmp_path)).collect()] == [(7, 0.5)]
+
+
 def brute_place(query, text):
     """The least cost of the whole query in the text, by the plain table."""
     last = [0.0] * (len(text) + 1)
