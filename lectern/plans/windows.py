@@ -73,7 +73,21 @@ m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo,
 g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
 SELECT l_suppkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY l_suppkey, grp""")
 def merged(t):
-    s = t("lineitem").where("l_suppkey <= 20").select("l_suppkey", (F.col("l_partkey") % 400).alias("lo"), (F.col("l_partkey") % 400 + F.col("l_quantity").cast("long") % 4).alias("hi"))
+    """For twenty suppliers, as its SQL has it; merged_spans_whole has all of them."""
+    return _merged(t("lineitem").where("l_suppkey <= 20"))
+
+
+@query("merged_spans_whole", "W17", """
+WITH s AS (SELECT l_suppkey, l_partkey % 400 AS lo, l_partkey % 400 + CAST(l_quantity AS BIGINT) % 4 AS hi FROM lineitem),
+m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+SELECT l_suppkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY l_suppkey, grp""")
+def merged_whole(t):
+    return _merged(t("lineitem"))
+
+
+def _merged(lines):
+    s = lines.select("l_suppkey", (F.col("l_partkey") % 400).alias("lo"), (F.col("l_partkey") % 400 + F.col("l_quantity").cast("long") % 4).alias("hi"))
     return M.merge_spans(s, ["l_suppkey"])
 
 

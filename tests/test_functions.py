@@ -33,6 +33,13 @@ def test_shared_runs_of_all_languages(spark, tmp_path):
     assert [tuple(r) for r in catalog.queries()["guide_share_whole"](spark, str(tmp_path)).collect()] == [(7, 0.5)]
 
 
+def test_merged_spans_of_all_suppliers(spark, tmp_path):
+    lines = [(s, p, 2.0) for s in (3, 500) for p in (10, 11, 20)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["merged_spans_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.l_suppkey, r.lo, r.hi) for r in got) == [(s, *x) for s in (3, 500) for x in ((10, 13), (20, 22))]
+
+
 def brute_place(query, text):
     """The least cost of the whole query in the text, by the plain table."""
     last = [0.0] * (len(text) + 1)
