@@ -145,7 +145,7 @@ def cleaned(t):
 
 @query("word_fingerprints", "F38 F29 F30", None)
 def fingerprints(t):
-    return t("documents").select("doc_id", fnv1a("text").alias("fnv"), fold_name(F.substring("text", 1, 200)).alias("fold"))
+    return t("documents").select("doc_id", fnv1a("text").alias("fnv"), fold_name("text").alias("fold"))
 
 
 

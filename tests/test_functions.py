@@ -15,6 +15,13 @@ from lectern.operators import lookup as L
 from lectern.sources import files
 
 
+def test_fold_of_whole_texts(spark, tmp_path):
+    texts = ["Été " * 100 + end for end in ("one", "two")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fold for r in catalog.queries()["word_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got == {0: "ete " * 100 + "one", 1: "ete " * 100 + "two"}
+
+
 def test_dictionary_forms_of_all_documents(spark, tmp_path):
     docs = [(1, "Unknown forms"), (2, "unknown POLISHED"), (51, "unknown another")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
