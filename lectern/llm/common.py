@@ -30,7 +30,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by what a batch of whole texts takes, unless it is bounded tighter."""
+    """Bounds the Arrow batches of this session by what a batch of whole texts takes, unless it is bounded tighter.
+
+    The two settings stay as they are set: Spark reads them when a query runs, long after an operator has returned.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         held = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
         if held is None or int(held[1]) > most or int(held[1]) <= 0:
@@ -43,11 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the driver and the executors; one of our own only if the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder shared by the driver and the executors.
+
+    Without one named, a temporary folder serves where driver and executors are one process; on a cluster that is an
+    error, since executors would not see each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        named = held or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -60,8 +68,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that were cut: it does so once nothing refers to them, which
-    is noticed only when both collectors run."""
+    """Lets Spark's cleaner drop the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Spark notices that only when the collectors of both sides run, and the driver's heap may be far from full while the
+    disks of the executors are not. So this asks both for a collection, which takes a fraction of a second.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -116,8 +127,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (node, component), component the smallest node reachable.
 
     Each round takes the least label of the neighbours and then jumps along labels, so that rounds grow with
-    the logarithm of the diameter. Labels are written to the shared folder after each round; only the number
-    of changed labels reaches the driver. Rows with a null end and self links are ignored.
+    the logarithm of the diameter. Labels are written to the shared folder after each round; only whether
+    a label changed reaches the driver. Rows with a null end and self links are ignored. No aggregate stands on a
+    join by node or label, so that adaptive execution can split the rows of a hub.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
@@ -130,5 +142,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = cut(step.join(far, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
         changed = jumped.where("component <> old").limit(1).count()
         label = jumped.select("node", "component")
+        del near, step, far, jumped
+        release(edges.sparkSession)
         if not changed:
             return label

@@ -6,8 +6,12 @@ be hashed in any order and anywhere. Documents with equal (length, fingerprints)
 for each group and chunk number the least and the greatest chunk must agree. This is an aggregate that combines
 within each task, so that a group holding a third of all rows is neither gathered nor paired.
 
+Groups are written before rows join them, so that adaptive execution can split the rows of a hot group.
+
 Defined results: null text counts as empty and all empty texts are equal; a null doc_id never stays where the group
-has another; repeated rows count in ``group_size`` each; extra columns are ignored; an empty table gives no rows.
+has another; repeated rows count in ``group_size`` each; a text of any length is hashed and compared in chunks; of equal
+least doc_ids every row is kept by ``exact_groups`` and one row by ``drop_copies``; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WS, as_bytes, cut, restrict, slices, squeeze
+from lectern.llm.common import as_bytes, cut, release, restrict, slices, squeeze
 
 PRIME = (1 << 31) - 1
 #: Bases of the two polynomials; any two residues that are not small do.
 BASES = (1_402_024_253, 918_273_645)
 CHUNK = 4096
+#: Where a null doc_id is placed in joins by id.
+NO_ID = -(1 << 63)
 
 _POWERS = np.empty((len(BASES), CHUNK), dtype=np.uint64)
 for _i, _r in enumerate(BASES):
@@ -77,7 +83,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-_MARKS = "doc_id long, n_bytes long, fp long, text_sha256 string"
+_MARKS = "doc_id long, raw long, n_bytes long, fp long, text_sha256 string"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,57 +91,67 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [squeeze(x) for x in as_bytes(batch.column("text"))]
         two = fingerprints(texts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(two[:, 0] * (1 << 31) + two[:, 1], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-            names=["doc_id", "n_bytes", "fp", "text_sha256"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("raw"), pa.array(map(len, texts), pa.int64()), pa.array(two[:, 0] * (1 << 31) + two[:, 1], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
+            names=["doc_id", "raw", "n_bytes", "fp", "text_sha256"],
         )
 
 
+#: What gives the marks of texts; tests put one here whose fingerprints collide.
+_MARK = _mark
+
+
 def _chunks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys, numbers, parts = [], [], []
-            for key, text in zip(batch.column("grp").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                text = squeeze(text)
-                for n in range(0, max(len(text), 1), size):
-                    keys.append(key)
-                    numbers.append(n // size)
-                    parts.append(text[n : n + size])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], names=["grp", "chunk", "part"])
+            rows = []
+            for fp, text in zip(batch.column("fp").to_pylist(), map(squeeze, as_bytes(batch.column("text"))), strict=True):
+                rows += [(len(text), fp, n // size, text[n : n + size]) for n in range(0, max(len(text), 1), size)]
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["n_bytes", "fp", "chunk", "part"])
 
     return run
 
 
+def _grouped(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(doc_id, raw, text_sha256, n, least), a row for each row of ``docs`` (doc_id, text); ``raw`` is a hash of the text
+    as it is, ``n`` and ``least`` are null for a text that occurs once."""
+    docs = restrict(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
+    marks = cut(docs.mapInArrow(_MARK, _MARKS))
+    group, counts = ["n_bytes", "fp"], (F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    groups = cut(marks.groupBy(*group).agg(*counts).where("n > 1"))
+    release(docs.sparkSession)
+    # a shared fingerprint is only a claim: the texts themselves are compared, chunk by chunk
+    whose = marks.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "raw", *group).distinct().join(groups, group)
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "raw", "text").join(whose, ["_id", "raw"]).select("fp", "text")
+    chunks = texts.mapInArrow(_chunks(chunk_bytes), "n_bytes long, fp long, chunk long, part binary")
+    differ = cut(chunks.groupBy(*group, "chunk").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*group).distinct())
+    release(docs.sparkSession)
+    if not differ.isEmpty():
+        # where texts differ under one fingerprint the digest of the whole text decides
+        flagged = marks.join(differ.withColumn("split", F.lit(True)), group, "left")
+        marks = cut(flagged.withColumn("split", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))))
+        group = [*group, "split"]
+        groups = cut(marks.groupBy(*group).agg(*counts).where("n > 1"))
+    return marks.join(groups, group, "left").select("doc_id", "raw", "text_sha256", "n", "least")
+
+
 def exact_groups(docs: DataFrame, chunk_bytes: int = 1 << 16) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs`` (doc_id, text)."""
-    docs = restrict(docs, "doc_id", "text")
-    marks = cut(docs.mapInArrow(_mark, _MARKS).withColumn("grp", F.concat_ws("-", "n_bytes", "fp")))
-    groups = marks.groupBy("grp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    twins = marks.join(groups.where("n > 1"), "grp").select("doc_id", "grp").distinct()
-    # a shared fingerprint is only a claim: the texts themselves are compared, chunk by chunk
-    parts = docs.join(twins, docs.doc_id.eqNullSafe(twins.doc_id)).select("grp", "text")
-    differ = (
-        parts.mapInArrow(_chunks(chunk_bytes), "grp string, chunk long, part binary")
-        .groupBy("grp", "chunk")
-        .agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-        .where("lo <> hi")
-        .select("grp")
-        .distinct()
-    )
-    # where texts differ under one fingerprint the digest of the whole text decides
-    keyed = marks.join(differ.withColumn("split", F.lit(True)), "grp", "left").withColumn("key", F.when(F.col("split"), F.concat_ws("-", "grp", "text_sha256")).otherwise(F.col("grp")))
-    keyed = keyed.select("doc_id", "text_sha256", "key")
-    size = keyed.groupBy("key").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
-    out = keyed.join(size, "key")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return _grouped(docs, chunk_bytes).select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of repeated rows with the same id and text one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumn("_own", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WS, " "), 256))
-    rows = own.join(kept, own.doc_id.eqNullSafe(kept._id) & (own._own == kept._sha))
-    first = F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_own"))
-    return rows.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay; of rows with the same id and equal texts one stays.
+
+    Texts meet the ids to keep in one exchange, by id and a hash of the text.
+    """
+    every = _grouped(docs, 1 << 16).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("raw").alias("_raw"), "text_sha256", "n", F.coalesce("least", F.lit(NO_ID)).alias("least"))
+    several = every.where("n is not null and _id = least").groupBy("text_sha256").agg(F.min(F.struct("_id", "_raw")).alias("row")).select("row.*")
+    kept = cut(every.where("n is null").select("_id", "_raw").unionByName(several))
+    release(docs.sparkSession)
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_raw", F.xxhash64("text"))
+    return rows.join(kept, ["_id", "_raw"], "left_semi").dropDuplicates(["_id", "_raw"]).select(*docs.columns)
 
 
 ORACLE = r"""

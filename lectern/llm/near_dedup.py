@@ -1,7 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification of banded candidates.
 
 1. Every document becomes the set of its distinct 5-word shingles and one row: size, a digest of the set, ``bands``
-   keys of ``rows`` min-hashes each and, as 16-bit values, the signature. Documents with the same set are one class.
+   keys of ``rows`` min-hashes each and, as 16-bit values, the signature. Documents with the same set are one class,
+   and each class is a node with a number of its own, so that rows that share a doc_id never stand for each other.
 2. Classes that share a band key are candidates. A bucket is never paired out: its members meet its smallest member
    first (a star, linear in the bucket). Links found join components; buckets that still hold several
    components are compared in full between different components, block by block; see ``_across``.
@@ -12,9 +13,13 @@
 
 With 60 bands of 6 rows a pair at similarity 0.75 meets in no band with probability (1 - 0.75^6)^60 < 1e-5.
 
+Aggregates that a join by a hot key needs are written first, so that adaptive execution can split the hot key's rows.
+Texts move once for all documents and then only those of candidates.
+
 Defined results: a null or blank text has an empty set, is linked with nothing and is kept; a null doc_id is left out
-of links and is its own component; repeated rows and equal texts are one class; extra columns are ignored; an empty
-table gives no rows.
+of links and is its own component; rows that repeat a doc_id with another text are linked by their own texts; repeated
+rows and equal texts are one class; texts of any length are read whole, in batches by bytes; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, components, cut, restrict, slices
+from lectern.llm.common import as_bytes, components, cut, release, restrict, slices
 from lectern.llm.shingles import mix, shingle_sets
 
 WORDS, BANDS, ROWS = 5, 60, 6
 PERCENT, MISS = 75, 1e-6
 #: Partners of one document that are verified together, and so the texts that one task holds for it.
 TOGETHER = 64
-#: Documents of one side of a block.
-CHUNK = 256
+#: Documents and shingles of one side of a block, about; so a block holds some tens of MB however long its texts are.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+#: Where a null doc_id is placed in joins by id.
+NO_ID = -(1 << 63)
 
 
 def hash_family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +67,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, n: int, seed: int = 7) ->
     return out
 
 
-_SIG = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
+_SIG = "doc_id long, raw long, n_shingles long, digest binary, bands array<long>, sig binary"
 
 
 def _sign(words: int, bands: int, rows: int):
@@ -81,8 +88,8 @@ def _sign(words: int, bands: int, rows: int):
             digest = [hashlib.blake2b(values[lo:hi].tobytes(), digest_size=16).digest() if hi > lo else None for lo, hi in zip(bounds, bounds[1:], strict=False)]
             small = (sig & np.uint32(0xFFFF)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64)), pa.array([x.tobytes() for x in small], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "bands", "sig"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("raw"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64)), pa.array([x.tobytes() for x in small], pa.binary())],
+                names=["doc_id", "raw", "n_shingles", "digest", "bands", "sig"],
             )
 
     return run
@@ -154,22 +161,25 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def links_among(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """The candidate pairs (a, b) that are links: pruned by their signatures, then confirmed on full sets."""
-    sigs = signed.select("doc_id", "n_shingles", "sig")
+def links_among(pairs: DataFrame, held: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """The candidate pairs (a, b) that are links: pruned by their signatures, then confirmed on full sets.
+
+    ``held`` has (node, n_shingles, sig, text) of every candidate.
+    """
+    sigs, texts = held.select("node", "n_shingles", "sig"), held.select("node", "text")
     sized = pairs.join(sigs.toDF("a", "n_a", "sig_a"), "a").join(sigs.toDF("b", "n_b", "sig_b"), "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     alive = cut(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(60, percent, miss), "a long, b long"))
     # each document's partners go out in groups of about TOGETHER, so that a hot document is spread over many tasks
-    many = alive.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
+    many = cut(alive.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")))
     dealt = cut(alive.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")))
-    left = dealt.select("a", "part").distinct().join(docs.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    right = dealt.join(docs.toDF("b", "text"), "b").select("a", "part", "b", "text")
+    left = dealt.select("a", "part").distinct().join(texts.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    right = dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text")
     return left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(_confirm(words, percent), "a long, b long")
 
 
 def _blocks(words: int, percent: int, miss: float):
     """Links between documents of different components in a block; of those only what joins components."""
-    names = ("doc_id", "component", "side", "sig", "text")
+    names = ("node", "component", "side", "sig", "text")
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         ids, group, side, sigs, texts = zip(*rows, strict=True)
@@ -221,58 +231,85 @@ def _blocks(words: int, percent: int, miss: float):
     return run
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
-    docs = restrict(docs, "doc_id", "text")
+def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, raw, n_shingles, label, component_id), a row for each row of ``docs`` (doc_id, text).
+
+    ``raw`` is a hash of the text as it is; ``label`` is the component's number, null for a row that is linked with nothing by
+    definition (no words, or no doc_id).
+    """
+    docs = restrict(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
     signed = cut(docs.mapInArrow(_sign(words, bands, rows), _SIG))
-    classes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    of_rep = signed.where("doc_id is not null").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # only classes that share a bucket with another go on; keys of different bands differ by their seed
-    member = _mixed(of_rep.select("doc_id", F.explode("bands").alias("key")), "doc_id")
-    of_rep = cut(of_rep.join(member.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"))
-
-    found = cut(links_among(cut(_star(member)), of_rep, texts, words, percent, miss))
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("least"))
+    # numbers are given once and written, so that they are the same ever after
+    classes = cut(classes.select("digest", "least.*", F.monotonically_increasing_id().alias("node")))
+    where = ["digest", "doc_id", "raw"]
+
+    each = signed.select(*where, "bands").join(classes, where).dropDuplicates(where)
+    # keys of different bands differ by their seed
+    member = _mixed(each.select("node", F.explode("bands").alias("key")), "node")
+    release(docs.sparkSession)
+    # only classes that share a bucket with another go on, with their signatures and texts
+    some = cut(classes.join(member.select("node").distinct(), "node", "left_semi"))
+    sigs = signed.select(*where, "n_shingles", "sig").join(some, where).dropDuplicates(where).select("doc_id", "raw", "node", "n_shingles", "sig")
+    held = cut(docs.join(sigs, ["doc_id", "raw"]).dropDuplicates(["doc_id", "raw"]).select("node", "n_shingles", "sig", "text"))
+    release(docs.sparkSession)
+
+    pairs = cut(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    found = cut(links_among(pairs, held, words, percent, miss))
+    del pairs, sigs
+    release(docs.sparkSession)
     group = components(found)
-    joined = member.join(group, member.doc_id == group.node, "left")
-    member = _mixed(joined.select("doc_id", "key", F.coalesce("component", "doc_id").alias("component")), "component")
-    found = found.unionByName(cut(_across(member, of_rep, texts, words, percent, miss)))
+    joined = member.select("key", "node").join(group, "node", "left")
+    member = _mixed(joined.select("key", "node", F.coalesce("component", "node").alias("component")), "component")
+    found = found.unionByName(cut(_across(member, held, words, percent, miss)))
+    del joined, member, held
+    release(docs.sparkSession)
+
     group = components(found)
-    rep_of = classes.join(group, classes.rep == group.node, "left").select("n_shingles", "digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(rep_of, ["n_shingles", "digest"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = cut(group.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    group = group.join(least, "component")
+    of_class = cut(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    narrow = signed.select("doc_id", "raw", "n_shingles", "digest")
+    alone = "digest is null or doc_id is null"
+    linked_ = narrow.where(f"not ({alone})").join(of_class, "digest").select("doc_id", "raw", "n_shingles", "label", "component_id")
+    return linked_.unionByName(narrow.where(alone).select("doc_id", "raw", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
 
 
-def _mixed(member: DataFrame, by: str) -> DataFrame:
-    """The buckets whose members differ in ``by``."""
-    several = member.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("key")
-    return cut(member.join(several, "key", "left_semi"))
+def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
+    out = _labelled(docs, words, bands, rows, percent, miss)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _star(member: DataFrame) -> DataFrame:
-    """Pairs of each member with the smallest of its bucket: linear in the bucket."""
-    pivot = member.groupBy("key").agg(F.min("doc_id").alias("a"))
-    return member.join(pivot, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+def _mixed(member: DataFrame, by: str) -> DataFrame:
+    """The buckets whose members differ in ``by``, each member with the bucket's smallest node as ``pivot``."""
+    several = member.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.min("node").alias("pivot")).where("lo <> hi").select("key", "pivot")
+    return cut(member.join(several, "key"))
 
 
-def _across(member: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+def _across(member: DataFrame, held: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     """Links between members of one bucket that are in different components.
 
-    Buckets with the same smallest member form a cluster, dealt into chunks of about CHUNK documents. Each pair of
-    chunks is one block, compared within its task, which gives the links that join components and no other rows. So
-    a crowd of look-alikes just below the threshold is compared in full, in many tasks of bounded memory.
+    Buckets with the same smallest member form a cluster, dealt into chunks of about CHUNK documents or CHUNK_SHINGLES
+    shingles. Each pair of chunks is one block, compared within its task, which gives the links that join components
+    and no other rows. So a crowd of look-alikes just below the threshold is compared in full, in many tasks of bounded
+    memory; a text goes out once for each chunk of its cluster.
     """
-    pivot = member.groupBy("key").agg(F.min("doc_id").alias("pivot"))
-    cluster = cut(member.join(pivot, "key").select("pivot", "doc_id", "component").distinct())
-    size = cluster.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot", "chunks")
-    dealt = cluster.join(size, "pivot").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = dealt.select(F.concat_ws("-", "pivot", F.least("own", "with"), F.greatest("own", "with")).alias("block"), "doc_id", "component", F.col("own").alias("side"))
-    rows = dealt.join(signed.select("doc_id", "sig"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    cluster = cut(member.select("pivot", "node", "component").distinct().join(held.select("node", "n_shingles"), "node"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    size = cut(cluster.groupBy("pivot").agg(chunks))
+    dealt = cluster.join(size, "pivot").withColumn("own", F.expr("cast(pmod(xxhash64(node), chunks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.select(F.concat_ws("-", "pivot", F.least("own", "with"), F.greatest("own", "with")).alias("block"), "node", "component", F.col("own").alias("side"))
+    rows = dealt.join(held.select("node", "sig", "text"), "node")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(words, percent, miss), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, and all that are linked with nothing."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    """The rows of ``docs`` that stay: one of each component, and all that are linked with nothing; of repeated rows with
+    the same id and text one stays."""
+    every = _labelled(docs, WORDS, BANDS, ROWS, PERCENT, MISS).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("raw").alias("_raw"), "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    one = every.where("label is not null and kept").groupBy("label").agg(F.min(F.struct("_id", "_raw")).alias("row")).select("row.*")
+    kept = cut(one.unionByName(every.where("label is null").select("_id", "_raw")).distinct())
+    release(docs.sparkSession)
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_raw", F.xxhash64("text"))
+    return rows.join(kept, ["_id", "_raw"], "left_semi").dropDuplicates(["_id", "_raw"]).select(*docs.columns)

@@ -58,6 +58,30 @@ def test_exact_edges(spark):
     assert left.count() == 1 and left.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_exact_when_fingerprints_collide(spark, monkeypatch):
+    """With one fingerprint for all texts of a length the chunks still tell them apart."""
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for b in exact_dedup._mark(batches):
+            yield b.set_column(3, "fp", pa.array([7] * b.num_rows, pa.int64()))
+
+    monkeypatch.setattr(exact_dedup, "_MARK", mark)
+    texts = ["a" * 100, "b" * 100, "a" * 100, "c", "d", "e e"]
+    got = {x.doc_id: x for x in exact_dedup.exact_groups(frame(spark, texts), chunk_bytes=16).collect()}
+    assert [(got[i].keep_id, got[i].group_size) for i in range(6)] == [(0, 2), (1, 1), (0, 2), (3, 1), (4, 1), (5, 1)]
+
+
+def test_exact_long_texts(spark):
+    """Texts of several chunks that differ only in white space, or in the last character."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got = {x.doc_id: x for x in exact_dedup.exact_groups(frame(spark, [long, long.replace(" ", "\n\t"), long[:-1] + "x", None, ""])).collect()}
+    assert [(got[i].keep_id, got[i].group_size) for i in range(5)] == [(0, 2), (0, 2), (2, 1), (3, 2), (3, 2)]
+    many = spark.range(3000).select(F.when(F.col("id") < 1000, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    assert exact_dedup.exact_groups(many).where("group_size = 3000 and keep_id = 0").count() == 3000
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_fingerprints_compose(which):
     data = random.Random(1).randbytes(20_000)
@@ -120,6 +144,31 @@ def test_near_edges(spark):
     assert near_dedup.near_groups(frame(spark, ["x"]).where("false")).count() == 0
 
 
+def test_near_repeated_ids(spark):
+    """Rows that share a doc_id are linked by their own texts."""
+    one, two = (" ".join(f"{k}{i}" for i in range(40)) for k in "tu")
+    got = near_dedup.near_groups(frame(spark, [one, two, one + " tail", two + " tail", two], [1, 1, 5, 9, 1])).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (1, 1), (1, 1), (5, 1), (9, 1)]
+    # one row of each of the two components stays
+    left = near_dedup.drop_near_copies(frame(spark, [one, two, one + " tail", two + " tail", two], [1, 1, 5, 9, 1])).collect()
+    assert sorted(x.text for x in left) == [one, two]
+    r = random.Random(8)
+    texts = some_texts(40, 9)
+    ids = [r.randrange(30) for _ in texts]
+    got = near_dedup.near_groups(frame(spark, texts, ids)).collect()
+    brute = brute_components(texts)
+    least = {c: min(i for i, (_, d) in zip(ids, brute, strict=True) if c == d) for _, c in brute}
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((i, n, least[c]) for i, (n, c) in zip(ids, brute, strict=True))
+
+
+def test_near_long_texts(spark):
+    """A text of 200,000 words and one that differs in every twelfth word stay apart; one with a changed head is linked."""
+    words = [f"w{i * 7919 % 100_003}x{i}" for i in range(200_000)]
+    far = [w if i % 12 else "z" + w for i, w in enumerate(words)]
+    got = {x.doc_id: x for x in near_dedup.near_groups(frame(spark, [" ".join(words), " ".join(far), " ".join(["head", *words[20:]]), ""])).collect()}
+    assert [got[i].component_id for i in range(4)] == [0, 1, 0, 3] and got[0].n_shingles == 199_996 and got[3].n_shingles == 0
+
+
 def test_posterior_bound():
     """The bound is the least m whose upper tail still reaches the miss probability."""
     for n in (60, 120, 360):
@@ -156,7 +205,7 @@ def test_targets_by_water_filling(spark):
 
 def test_mix_takes_what_it_says(spark):
     r = random.Random(4)
-    rows = [(i, " ".join("w" for _ in range(r.randint(0, 300))), "en", f"s{i % 5}", 0, "x", 1) for i in range(300)] + [(900, None, "en", None, 0, "x", 1)]
+    rows = [(i, " ".join(f"w{r.randint(0, 10**9)}" + r.choice(["", "\n"]) for _ in range(r.randint(0, 300))), "en", f"s{i % 5}", 0, "x", 1) for i in range(300)] + [(900, None, "en", None, 0, "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     a = sorted(mixing.taken(docs, length=16).collect(), key=str)
     assert a == sorted(mixing.taken(docs.repartition(7), length=16).collect(), key=str)
@@ -165,10 +214,45 @@ def test_mix_takes_what_it_says(spark):
     for x in a:
         by.setdefault((x.source_size, x.target), []).append(x.taken)
     for (_, target), taken in by.items():
-        assert abs(sum(taken) - target) <= 32
+        assert abs(sum(taken) - target) <= 1
     texts = mixing.mixed_documents(docs, length=16)
-    assert texts.columns == docs.columns and sum(len((x.text or "").split()) for x in texts.collect()) == sum(x.taken for x in a)
-    assert mixing.taken(docs.where("false")).count() == 0
+    got = texts.collect()
+    assert texts.columns == docs.columns and sum(len((x.text or "").split()) for x in got) == sum(x.taken for x in a)
+    # what is taken of a document keeps the white space that it has there
+    whole = {x[0]: x[1] for x in rows}
+    assert any("\n " in x.text and x.text != whole[x.doc_id] for x in got) and all(x.text.split()[0] in whole[x.doc_id] for x in got)
+    assert mixing.taken(docs.where("false")).count() == 0 and mixing.mixed_documents(docs.where("false")).count() == 0
+    # the shards hold the same words, in slots of fixed length, and mix the sources
+    shards = mixing.mixed_shards(docs, length=16, shard_blocks=32).collect()
+    words = lambda found: sorted(w for x in found for w in x.text.split())
+    assert words(shards) == words(got) and all(len(x.text.split()) == x.n_words <= 16 for x in shards)
+    count = {k: sum(x.shard == k for x in shards) for k in {x.shard for x in shards}}
+    assert [count[k] for k in sorted(count)][:-1] == [32] * (len(count) - 1) and len({(x.shard, x.place) for x in shards}) == len(shards)
+    assert len({tuple(sum(x.shard == k and x.source == s for x in shards) for s in ("s0", "s1", "s2")) for k in count}) > 1
+    assert mixing.mixed_shards(docs.where("false")).count() == 0
+
+
+def test_mix_meets_small_targets(spark):
+    """Three sources of 100 words have targets of 50, 100 and 150 words, and get them."""
+    docs = frame(spark, [" ".join(["w"] * 100)] * 3).withColumn("source", F.concat(F.lit("s"), F.col("doc_id")))
+    assert [(x.doc_id, x.target, x.taken) for x in sorted(mixing.taken(docs).collect())] == [(0, 50.0, 50), (1, 100.0, 100), (2, 150.0, 150)]
+
+
+def test_shard_counts_keep_the_totals():
+    counts = np.array([5, 0, 700, 41], dtype=np.int64)
+    of = mixing.shard_counts(counts, 64, 3)
+    got = [of(k) for k in range(12)]
+    assert (sum(n for _, n in got) == counts).all() and [int(n.sum()) for _, n in got] == [64] * 11 + [42]
+    assert all((got[k][0] + got[k][1] == got[k + 1][0]).all() for k in range(11))
+    # a split has the mean and the spread of the hypergeometric distribution
+    some = np.array([mixing.halves(counts, 373, seed, 0, 12)[3] for seed in range(2000)])
+    assert abs(some.mean() - 20.5) < 0.5 and abs(some.var() - 41 * 0.25 * 705 / 745) < 1
+    huge = np.array([3 * 10**9, 10**9, 7], dtype=np.int64)
+    assert mixing.halves(huge, 2 * 10**9, 1, 0, 2).sum() == 2 * 10**9
+
+
+def test_spans_of():
+    assert mixing.spans_of(b" a  b\nc d\te ", [(3, 4), (0, 1), (1, 2)]) == b"a  b\nd"
 
 
 def test_permutation():
