@@ -251,7 +251,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     release(docs.sparkSession)
     # repeated rows have places of their own in the stream, so their text is joined in once
     keys = ["_id", "_digest"]
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", F.xxhash64("text")).dropDuplicates(keys)
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", F.xxhash64("text"))
+    rows = rows.repartition(*keys).dropDuplicates(keys)  # else texts are sorted on both sides of the exchange
     joined = rows.join(got.hint("merge"), keys).select(*docs.columns, "_size", "_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = joined.mapInArrow(_cutter(docs.columns), schema)
@@ -280,7 +281,7 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
     """(shard, place, source, epoch, block, n_words, text): the output shards, slot by slot, with the blocks' words."""
     plan = Mix(docs.select("doc_id", "text", "source"), **options)
     keys = ["_id", "digest"]
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("digest"), "text").dropDuplicates(keys)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("digest"), "text").repartition(*keys).dropDuplicates(keys)
     placed = plan.sized.where("size > 0").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).select(*keys, "rank", "start")
     pieces = texts.join(placed.hint("merge"), keys).select("rank", "start", "text").mapInArrow(_cut_blocks(plan.length), "rank int, block long, at int, piece array<string>")
     # at most ``length`` pieces meet in a block

@@ -261,11 +261,11 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     group = components(found)
     joined = member.select("key", "node").join(group, "node", "left")
     member = _mixed(joined.select("key", "node", F.coalesce("component", "node").alias("component")), "component")
-    found = found.unionByName(cut(_across(member, held, words, percent, miss)))
-    del joined, member, held
-    release(docs.sparkSession)
-
-    group = components(found)
+    if not member.isEmpty():
+        more = cut(_across(member, held, words, percent, miss))
+        del joined, member, held
+        release(docs.sparkSession)
+        group = group if more.isEmpty() else components(found.unionByName(more))
     least = cut(group.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     group = group.join(least, "component")
     of_class = cut(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -2,13 +2,14 @@
 
 Features of a whole text: densities of a lexicon of words and word beginnings, nearness of its hits to words that
 address a second person, and rates of capitals, punctuation and obfuscation (letters swapped for digits or signs,
-letters drawn out or spaced). The lexicon is learned by document frequency from labelled rows; its features for the
-training rows come from the other folds, so that trees see them as they will be on new rows.
+letters drawn out or spaced). The lexicon is learned by document frequency from labelled rows: all terms of the sample are
+counted in Spark, and those that lean to toxic rows are its entries; its features for the training rows come from the
+other folds, so that trees see them as they will be on new rows.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows of each class (the smallest hashes of doc_id), read back
-in one bounded table; every document is scored whole.
+in one bounded table; every document is scored whole, however long.
 
-Defined results: a null text counts as empty and is scored; a null doc_id is in fold 0 (held out); labels that are
+Defined results: a null text counts as empty and is scored; an empty table of documents gives no rows; scores do not depend on the order of rows, and ties of doc_ids in the sample all count; a null doc_id is in fold 0 (held out); labels that are
 null or neither 0 nor 1 are not used; of several labels of one document all are; without labels of both classes
 every score is the share of label 1 (0.0 without labels); extra columns are ignored.
 """
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from lectern.llm.common import as_bytes, cut, fold_of, restrict, slices
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 3000
-#: Entries of the lexicon, and terms of toxic rows looked at for it, at most.
-TERMS, CANDIDATES = 6000, 40_000
+#: A term of the lexicon is in so many toxic rows of the sample at least, and its log odds are above this.
+LEAST, LEAN = 3, 0.7
 CROSS = 4
 PREFIXES = (3, 4, 5, 6)
 
@@ -45,6 +47,8 @@ _INNER = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|*#%&+_.\-]+[^\W\d_]")
 
 def core(word: str) -> str:
     """The word in lower case without what is neither letter nor digit at its ends."""
+    if word.isalnum():
+        return word.lower()
     lo, hi = 0, len(word)
     while lo < hi and not word[lo].isalnum():
         lo += 1
@@ -63,73 +67,101 @@ def terms_of(word: str) -> list[str]:
     return ([f"w:{w}"] if w else []) + [f"p:{w[:n]}" for n in PREFIXES if len(w) >= n]
 
 
-WORD_COLUMNS = 15
-FEATURES = 24
+#: Columns of a word's row, features of a text, and how near a hit must be to a word for the second person.
+WORD_COLUMNS, FEATURES, REACH = 16, 24, 3
+
+
+class Words(dict):
+    """The row of each word in a table of distinct rows; what is not known yet is looked at once."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.whole = {k[2:]: v for k, v in lexicon.items() if k[0] == "w"}
+        self.stems = {k[2:]: v for k, v in lexicon.items() if k[0] == "p"}
+        self.rows: dict[tuple, int] = {(0.0,) * WORD_COLUMNS: 0}
+
+    def __missing__(self, word: str) -> int:
+        c, whole, stems = core(word), self.whole, self.stems
+        value, stem = whole.get(c, 0.0), 0.0
+        if stems:
+            for k in PREFIXES[: max(0, len(c) - PREFIXES[0] + 1)]:
+                stem = max(stem, stems.get(c[:k], 0.0))
+        odd, shouts, asks = bool(_DRAWN.search(c)), 0, 0
+        if word.isascii() and c.isalpha():  # most words: letters, perhaps with signs at their ends
+            letters, signs = len(c), len(word) - len(c)
+            upper = 0 if word == c or word.islower() else sum(map(str.isupper, word))
+        else:
+            odd = odd or bool(_INNER.search(word))
+            letters, upper, signs = sum(map(str.isalpha, word)), sum(map(str.isupper, word)), len(word) - sum(map(str.isalnum, word))
+        if signs:
+            shouts, asks = word.count("!"), word.count("?")
+        hidden = whole.get(plain(word), 0.0) if odd and not value else 0.0
+        weight = max(value, stem, hidden)
+        row = (value, value > 0, stem, stem > 0, hidden, hidden > 0, c in YOU, len(word) > 1 and upper == letters > 1, upper, letters, signs, shouts, asks, odd, len(word) == 1 and letters == 1, weight)
+        out = self[word] = self.rows.setdefault(row, len(self.rows))
+        return out
 
 
 class Featuriser:
-    """Features of texts under one lexicon; what it learns of a word is kept while the table of words stays small."""
+    """Features of texts under one lexicon; what it learns of a word is kept while the table of words stays small.
+
+    Texts of a batch lie behind each other in one array with gaps as wide as a neighbourhood, so that all of a batch is
+    summed at once.
+    """
 
-    def __init__(self, lexicon: dict[str, float], room: int = 200_000):
+    def __init__(self, lexicon: dict[str, float], room: int = 300_000):
         self.lexicon, self.room = lexicon, room
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, WORD_COLUMNS))
-
-    def word(self, word: str) -> int:
-        n = len(self.index)
-        if n >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        c, row = core(word), self.table[n]
-        whole = self.lexicon.get(f"w:{c}", 0.0)
-        stem = max([0.0, *(self.lexicon.get(f"p:{c[:k]}", 0.0) for k in PREFIXES if len(c) >= k)])
-        odd = bool(_INNER.search(word)) or bool(_DRAWN.search(c))
-        hidden = self.lexicon.get(f"w:{plain(word)}", 0.0) if odd and not whole else 0.0
-        letters, upper = sum(x.isalpha() for x in word), sum(x.isupper() for x in word)
-        signs = sum(not x.isalnum() for x in word)
-        row[:] = (whole, whole > 0, stem, stem > 0, hidden, hidden > 0, c in YOU, len(word) > 1 and upper == letters > 1, upper, letters, signs, word.count("!"), word.count("?"), odd, len(word) == 1 and letters == 1)
-        self.index[word] = n
-        return n
+        self.words, self.table = Words(lexicon), np.zeros((0, WORD_COLUMNS))
 
-    def text(self, text: str) -> np.ndarray:
-        out = np.zeros(FEATURES)
-        words = text.split()
-        if not words:
-            return out
-        if len(self.index) > self.room:
-            self.clear()
-        get = self.index.get
-        idx = [i if (i := get(w)) is not None else self.word(w) for w in words]
-        rows = self.table[idx]
-        if rows[:, 14].sum() >= 4:
-            extra = [self.index.get(w) or self.word(w) for w in spaced(words)]
-            rows = np.vstack([rows, self.table[extra]]) if extra else rows
-        n, total = len(words), rows.sum(axis=0)
-        hit = (rows[:, 1] + rows[:, 3] + rows[:, 5]) > 0
-        you = rows[:, 6] > 0
-        near = 0
-        if hit.any() and you.any():
-            reach = you.copy()
-            for k in (1, 2, 3):
-                reach[k:] |= you[:-k]
-                reach[:-k] |= you[k:]
-            near = int((hit & reach).sum())
-        hits = int(hit.sum())
-        weight = np.maximum(np.maximum(rows[:, 0], rows[:, 2]), rows[:, 4])
-        top = np.sort(weight)[-3:]
-        kinds = len({words[i] for i in np.flatnonzero(hit[:n])})
-        letters = max(total[9], 1.0)
-        out[:] = (
-            np.log1p(n), total[1] / n, np.log1p(total[1]), total[3] / n, np.log1p(total[3]), total[5] / n, np.log1p(total[5]), total[0] / n, total[2] / n, weight.sum() / n,
-            top[-1], top.sum(), np.log1p(hits), np.log1p(kinds), near / n, np.log1p(near), total[6] / n, total[7] / n, total[8] / letters, total[10] / (total[9] + total[10] + 1),
-            total[11] / n, total[12] / n, total[13] / n, weight[weight > 0].mean() if hits else 0.0,
-        )
-        return out
+    def _rows(self) -> np.ndarray:
+        if len(self.table) < len(self.words.rows):
+            self.table = np.array(list(self.words.rows), dtype=float)
+        return self.table
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        return np.array([self.text(t) for t in texts]).reshape(len(texts), FEATURES)
+        if len(self.words) > self.room:
+            self.words, self.table = Words(self.lexicon), np.zeros((0, WORD_COLUMNS))
+        split = [t.split() for t in texts]
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        flat = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n.sum()))
+        owner = np.repeat(np.arange(len(split)), n)
+        singles = np.bincount(owner, self._rows()[flat, 14], len(split))
+        more = {k: [self.words[w] for w in spaced(split[k])] for k in np.flatnonzero(singles >= 4).tolist()}
+        length = n.copy()
+        for k, own in more.items():
+            length[k] += len(own)
+        start = np.cumsum(length + REACH) - length - REACH
+        idx = np.zeros(int(length.sum()) + REACH * len(split), dtype=np.int64)
+        idx[np.arange(len(flat)) + np.repeat(start - (np.cumsum(n) - n), n)] = flat
+        for k, own in more.items():
+            idx[start[k] + n[k] : start[k] + length[k]] = own
+        table = self._rows()
+        total = np.add.reduceat(table[idx], start, axis=0) if len(split) else np.zeros((0, WORD_COLUMNS))
+        # the few words of the lexicon, one by one
+        weight = table[idx, 15]
+        hit = np.flatnonzero(weight > 0)
+        of, weight = np.searchsorted(start, hit, side="right") - 1, weight[hit]
+        hits = np.bincount(of, minlength=len(split))
+        you, near = np.flatnonzero(table[idx, 6]), np.zeros(len(idx), dtype=bool)
+        for k in range(-REACH, REACH + 1):
+            near[np.clip(you + k, 0, len(idx) - 1)] = True
+        near = np.bincount(of, near[hit], len(split))
+        order = np.lexsort((-weight, of))
+        nth = np.arange(len(order)) - (np.cumsum(hits) - hits)[of[order]]
+        top, three = (np.bincount(of[order][nth < k], weight[order][nth < k], len(split)) for k in (1, 3))
+        kinds = np.zeros(len(split))
+        for k, _ in {(k, split[k][at]) for k, at in zip(of.tolist(), (hit - start[of]).tolist(), strict=True) if at < n[k]}:
+            kinds[k] += 1
+        m, letters = np.maximum(n, 1), np.maximum(total[:, 9], 1.0)
+        out = np.column_stack([
+            np.log1p(n), total[:, 1] / m, np.log1p(total[:, 1]), total[:, 3] / m, np.log1p(total[:, 3]), total[:, 5] / m, np.log1p(total[:, 5]), total[:, 0] / m, total[:, 2] / m, total[:, 15] / m,
+            top, three, np.log1p(hits), np.log1p(kinds), near / m, np.log1p(near), total[:, 6] / m, total[:, 7] / m, total[:, 8] / letters, total[:, 10] / (total[:, 9] + total[:, 10] + 1),
+            total[:, 11] / m, total[:, 12] / m, total[:, 13] / m, total[:, 15] / np.maximum(hits, 1),
+        ])
+        return out.reshape(len(split), FEATURES)
+
+    def text(self, text: str) -> np.ndarray:
+        return self.texts([text])[0]
 
 
 def spaced(words: list[str]) -> list[str]:
@@ -227,19 +259,14 @@ def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) ->
     return Trees().fit(x, y, weight), xs, ys
 
 
-def _count(only: frozenset[str] | None = None):
-    """Documents that hold each term, by label and part; of all terms or of some."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in slices(batches, "text"):
-            for text, toxic, part in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                terms = {t for w in set((text or "").split()) for t in terms_of(w)}
-                counts.update((t, toxic, part) for t in (terms if only is None else terms & only))
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "toxic", "part", "n"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each term, by label and part."""
+    counts: Counter = Counter()
+    for batch in slices(batches, "text"):
+        for text, toxic, part in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            counts.update((t, toxic, part) for t in {t for w in set((text or "").split()) for t in terms_of(w)})
+    columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else ((), (), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["term", "toxic", "part", "n"])
 
 
 def odds(tox: np.ndarray, non: np.ndarray, n_tox: float, n_non: float) -> np.ndarray:
@@ -248,7 +275,7 @@ def odds(tox: np.ndarray, non: np.ndarray, n_tox: float, n_non: float) -> np.nda
     return raw - 1.65 * np.sqrt(1 / (tox + 0.5) + 1 / (non + 0.5)) * (tox < 8)
 
 
-def _lexicons(counts: list, labels: dict[tuple[int, int], int], least: float = 0.7) -> dict[int, dict[str, float]]:
+def _lexicons(counts: list, labels: dict[tuple[int, int], int], least: float = LEAN) -> dict[int, dict[str, float]]:
     """Terms and their weights from all folds (-1) and from all but one."""
     terms = [r["term"] for r in counts]
     table = np.array([[[r[f"n{k}_{t}"] or 0 for t in (0, 1)] for k in range(CROSS)] for r in counts], dtype=float).reshape(len(terms), CROSS, 2)
@@ -278,7 +305,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> Scorer:
     """Learns from labels of documents outside the held-out fold."""
     docs = restrict(docs, "doc_id", "text")
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(f"doc_id is not null and toxic in (0, 1)").where(fold_of() != held_out_fold)
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold_of() != held_out_fold)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = None
     for label in (0, 1):
@@ -288,21 +315,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int
     picked = F.broadcast(picked)
     rows = cut(docs.join(picked, "doc_id").withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(CROSS)).cast("int")))
     sizes = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
-    kinds = "term string, toxic int, part int, n long"
-    first = rows.where("toxic = 1").mapInArrow(_count(), kinds).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
-    only = frozenset(r["term"] for r in first.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+    counted = rows.mapInArrow(_count, "term string, toxic int, part int, n long")
     each = [F.sum(F.when((F.col("part") == k) & (F.col("toxic") == t), F.col("n"))).alias(f"n{k}_{t}") for k in range(CROSS) for t in (0, 1)]
-    counted = rows.mapInArrow(_count(only), kinds).groupBy("term").agg(*each, F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("non"))
+    by_term = counted.groupBy("term").agg(*each, *[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((1, "tox"), (0, "non"))])
     n_tox, n_non = (sum(n for (_, t), n in sizes.items() if t == label) for label in (1, 0))
     lean = F.log((F.col("tox") + 0.5) / (n_tox + 1)) - F.log((F.col("non") + 0.5) / (n_non + 1))
-    best = counted.where("tox >= 3").withColumn("lean", lean).where("lean > 0.7").orderBy(F.desc(F.col("lean") * F.sqrt("tox")), "term").limit(TERMS).collect()
-    lexicons = _lexicons(best, sizes)
+    # only terms of at least LEAST of the sample's toxic rows, so the sample bounds them
+    best = by_term.where(F.col("tox") >= LEAST).where(lean > LEAN).collect()
+    lexicons = _lexicons(sorted(best, key=lambda r: r["term"]), sizes)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {k: Featuriser(lexicons[k]) for k in range(CROSS)}
-        for batch in slices(batches, "text"):
-            x = [by[k].text((t or b"").decode("utf-8", "replace")) for k, t in zip(batch.column("part").to_pylist(), as_bytes(batch.column("text")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), batch.column("part"), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
+        for batch in slices(batches, "text", 1 << 20):
+            part, texts = np.array(batch.column("part").to_pylist()), [t.decode("utf-8", "replace") for t in as_bytes(batch.column("text"))]
+            x = np.zeros((len(texts), FEATURES))
+            for k in set(part.tolist()):
+                own = np.flatnonzero(part == k)
+                x[own] = by[k].texts([texts[i] for i in own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), batch.column("part"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
 
     got = sorted(((r["doc_id"], r["toxic"], r["part"], r["x"]) for r in rows.mapInArrow(features, "doc_id long, toxic int, part int, x array<double>").collect()))
     x = np.array([r[3] for r in got]).reshape(len(got), FEATURES)
@@ -318,7 +348,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser(scorer.lexicon)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scorer.scores(make, as_bytes(batch.column("text"))), pa.float64())], names=["doc_id", "score"])
 
     scored = restrict(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -331,7 +361,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser(scorer.lexicon)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             yield batch.filter(pa.array(scorer.scores(make, as_bytes(batch.column("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

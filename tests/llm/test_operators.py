@@ -525,3 +525,22 @@ def test_pipeline_stages(spark):
     four = corpus_pipeline.mix(spark, three, folder)
     assert four.columns == docs.columns and {x.doc_id for x in four.collect()} <= keep
     assert corpus_pipeline.run(spark, folder).where("not verified").count() == 0
+
+
+def test_features_do_not_depend_on_order():
+    """What a featuriser has seen before leaves the features of a text as they are."""
+    lexicon, texts = {"w:idiot": 2.0, "p:zorg": 1.0}, ["idiot", "i d i o t yes", "calm", "", "calm idiot", "you ZORGLES!! a1b 1d1ot", "x " * 40]
+    fresh = np.vstack([toxicity.Featuriser(lexicon).text(t) for t in texts])
+    f = toxicity.Featuriser(lexicon)
+    assert (f.texts(texts) == fresh).all() and (f.texts(texts[::-1]) == fresh[::-1]).all()
+    assert fresh[4][1] == 0.5 and f.texts([]).shape == (0, toxicity.FEATURES)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join([*(r.choice(words) for _ in range(20)), *(["zorgle", "you"] if i % 3 == 0 else [])]) for i in range(120)]
+    docs, labels = frame(spark, [*texts, "z" * 100_000 + " zorgle" * 5000]), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one, two = (sorted((x.doc_id, x.score) for x in toxicity.score_texts(d, labels).collect()) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one == two and one[120][1] > 0.5
+    assert toxicity.score_texts(docs.where("false"), labels).count() == 0 and toxicity.drop_toxic(docs.where("false"), labels).count() == 0
