@@ -18,7 +18,8 @@ shard; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
+import string
 import struct
 import uuid
 import zlib
@@ -26,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ POLYNOMIAL = 0x82F63B78
 #: Fixed value: what masking adds after the rotation.
 MASK_DELTA = 0xA282EAD8
 _ROW = 2048
+#: Shards whose offsets are summed along by one task.
+GROUP = 4096
 
 
 def _byte_table() -> np.ndarray:
@@ -135,27 +140,47 @@ def unframe(data: bytes, offsets: list[int], lengths: list[int]) -> list[bytes]:
     return payloads
 
 
+# Fixed value: how a word tokenizer of this family splits, so that no word reaches over white space, letters end where marks
+# begin, and marks stay together.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that words often end with; none begins one of the endings above.
+MARKS = ".,;:!?$%&*#()\"-"
+LETTERS = string.ascii_letters
+
+
+def by_words(data: str) -> bool:
+    """Whether a tokenizer's description says that words can be encoded apart: white space is only dropped, marks and
+    letters are split, normal forms do not reach over white space, and no special token holds any."""
+    own = json.loads(data)
+    normal, cut_, core = own.get("normalizer") or {}, own.get("pre_tokenizer") or {}, own.get("model") or {}
+    steps, splits = normal.get("normalizers", []), cut_.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and core.get("type") == "BPE" and not core.get("dropout") and own.get("post_processor") is None
+        and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].isalpha() or not set(t["content"]) - set(MARKS) for t in own["added_tokens"])
+    )
+
+
 class WordCache:
-    """Encodes texts through a tokenizer whose words never reach over white space; each word is encoded once."""
+    """Encodes texts, word by word where the tokenizer's description allows it; then each part of a word is encoded once.
+
+    A word of ASCII letters and then marks is two parts, the letters in lower case; any other is one. Arrow splits and
+    numbers words and parts, so that of a batch only distinct parts reach Python, and numpy puts their ids in place.
+    """
 
     def __init__(self, data: str, room: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_str(data), room, {}
-        self.parts: dict[str, bytes] = {}
-        probe = ("word.", "Word***", "ünd!", "a,;", "x&&&")
-        self.by_marks = all(self._ids(t) == [i for p in self._MARKED.fullmatch(t).groups() for i in self._ids(p)] for t in probe)
-        # a word of ASCII letters goes through normaliser and splitting as its lower case: its core can be asked at once
-        probe = ("word", "Words", "ANTIDISESTABLISHMENT", "s", "qzx", "don", "ll")
-        self.by_model = all(self._ids(t) == [x.id for x in self.tokenizer.model.tokenize(t.lower())] for t in probe)
+        self.tokenizer, self.room = Tokenizer.from_str(data), room
+        self.known: dict[bytes, bytes] = {}
+        self.apart = by_words(data)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     _kept: dict[tuple[int, int], WordCache] = {}
 
     @classmethod
@@ -166,32 +191,51 @@ class WordCache:
             cls._kept = {key: cls(data)}
         return cls._kept[key]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, little-endian, ``width`` bytes each."""
-        if len(self.known) > self.room:
-            self.known, self.parts = {}, {}
-        split = [t.split() for t in texts]
-        new = {w: self._cut(w) for w in {w for row in split for w in row} - self.known.keys()}
-        parts = list({p for own in new.values() for p in own} - self.parts.keys())
-        if self.by_model:
-            core = self.tokenizer.model
-            self.parts |= {p: self._bytes([t.id for t in core.tokenize(p.lower())]) for p in parts if p.isascii() and p.isalpha()}
-            parts = [p for p in parts if p not in self.parts]
-        if parts:
-            got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            self.parts |= zip(parts, (self._bytes(e.ids) for e in got), strict=True)
-        have = self.parts
-        self.known |= {w: b"".join([have[p] for p in own]) for w, own in new.items()}
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of parts; those not known yet are encoded."""
         known = self.known
-        return [b"".join([known[w] for w in row]) for row in split]
-
-    # letters and then marks are two words to the tokenizer's own splitting; most words differ only in the marks
-    _MARKED = re.compile(r"([^\W\d_]+)([.,;:!?$%&*#()\"-]+)")
-
-    def _cut(self, word: bytes) -> tuple[str, ...]:
-        text = word.decode("utf-8", "replace")
-        m = self._MARKED.fullmatch(text) if self.by_marks else None
-        return (m[1], m[2]) if m else (text,)
+        new = [p for p in parts if p not in known]
+        if len(known) + len(new) > self.room:
+            known.clear()
+            new = parts
+        # letters in lower case pass the normaliser and the split as they are, so the model can be asked at once
+        core, rest = self.tokenizer.model, []
+        for p in new:
+            if p.isalpha() and p.islower():
+                known[p] = self._bytes([t.id for t in core.tokenize(p.decode())])
+            else:
+                rest.append(p)
+        if rest:
+            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
+            known |= zip(rest, (self._bytes(e.ids) for e in got), strict=True)
+        return [known[p] for p in parts]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none), little-endian, ``width`` bytes each."""
+        if not self.apart:
+            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in as_bytes(texts)], add_special_tokens=False)]
+        if not len(texts):
+            return []
+        rows = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        words = rows.flatten().dictionary_encode()
+        each, place = words.dictionary, words.indices.to_numpy()
+        letters = pc.ascii_rtrim(each, characters=MARKS)
+        two = pc.ascii_is_alpha(letters)
+        heads = pc.if_else(two, pc.ascii_lower(letters), each)
+        tails = pc.if_else(two, pc.ascii_ltrim(each, characters=LETTERS), "")
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        ids = self._ids(parts.dictionary.cast(pa.binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+        first = np.cumsum(size) - size
+        # head, tail, head, tail of the words as they stand
+        part = parts.indices.to_numpy().reshape(2, -1).T[place].ravel()
+        own = size[part]
+        end = np.cumsum(own)
+        out = flat[np.repeat(first[part] - (end - own), own) + np.arange(int(own.sum()))]
+        edges = (np.r_[0, end] * self.width)[2 * (rows.offsets.to_numpy() - rows.offsets[0].as_py())].tolist()
+        data = out.tobytes()
+        return [data[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -201,12 +245,12 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    """Writes documents (doc_id, text) and returns the manifest: (shard, file, records, tokens, width), one row a shard.
+    """Writes documents (doc_id, text) and returns the manifest: (shard, file, records, tokens, width, start), one row a shard.
 
     ``tokenizer`` is the JSON of a tokenizer; ``folder`` an address that the executors share.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sink, index, at, seen, records, lowest = WordCache.kept(tokenizer), None, None, 0, 0, 0, None
+        cache, sink, index, at, seen, records = WordCache.kept(tokenizer), None, None, 0, 0, 0
         system = path = name = None
         width = cache.width if end_id < 1 << 16 else 4
         if width != cache.width:
@@ -219,28 +263,32 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                     name = f"shard-{uuid.uuid4().hex}"
                     sink, index = system.open_output_stream(f"{path}/{name}.rec"), system.open_output_stream(f"{path}/{name}.idx")
                 ids = [NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-                payloads = [x + end for x in cache.encode(as_bytes(batch.column("text")))]
+                payloads = [x + end for x in cache.encode(batch.column("text"))]
                 framed = frame(payloads)
                 sizes = np.fromiter(map(len, framed), dtype=np.int64, count=len(framed))
                 tokens = np.fromiter(map(len, payloads), dtype=np.int64, count=len(framed)) // width
                 rows = np.column_stack([np.array(ids, dtype=np.int64), at + np.cumsum(sizes) - sizes, tokens * width, seen + np.cumsum(tokens) - tokens])
                 sink.write(b"".join(framed))
                 index.write(rows.astype("<i8").tobytes())
-                lowest = ids[0] if lowest is None else lowest
                 at, seen, records = at + int(sizes.sum()), seen + int(tokens.sum()), records + len(ids)
         finally:
             for f in (sink, index):
                 if f is not None:
                     f.close()
         if sink is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([lowest], pa.int64()), pa.array([name]), pa.array([records], pa.int64()), pa.array([seen], pa.int64()), pa.array([width], pa.int32())], names=["lowest", "file", "records", "tokens", "width"])
+            # ranges are numbered in their order
+            shard = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([records], pa.int64()), pa.array([seen], pa.int64()), pa.array([width], pa.int32())], names=["shard", "file", "records", "tokens", "width"])
 
     dealt = restrict(docs, "doc_id", "text").repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    manifest = cut(dealt.mapInArrow(run, "lowest long, file string, records long, tokens long, width int"))
-    # one row for each shard: the number of shards bounds this window, not the number of documents
-    order = Window.orderBy("lowest", "file")
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("start", before).withColumn("shard", F.row_number().over(order) - 1)
+    manifest = cut(dealt.mapInArrow(run, "shard long, file string, records long, tokens long, width int"))
+    # offsets in two steps: a row for each group of shards is summed along, and each group's shards within it
+    grouped = manifest.withColumn("group", F.expr(f"shard div {GROUP}"))
+    ahead = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut(grouped.groupBy("group").agg(F.sum("tokens").alias("held")).select("group", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base")))
+    within = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = grouped.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(base, "group")
+    return placed.select("shard", "file", "records", "tokens", "width", (F.col("base") + F.col("within")).alias("start"))
 
 
 def read_shards(manifest: DataFrame, folder: str, at_once: int = 4 << 20) -> DataFrame:

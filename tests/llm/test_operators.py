@@ -544,3 +544,25 @@ def test_scores_do_not_depend_on_partitions(spark):
     one, two = (sorted((x.doc_id, x.score) for x in toxicity.score_texts(d, labels).collect()) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(5)))
     assert one == two and one[120][1] > 0.5
     assert toxicity.score_texts(docs.where("false"), labels).count() == 0 and toxicity.drop_toxic(docs.where("false"), labels).count() == 0
+
+
+def test_words_encoded_apart():
+    """Word by word or whole, the ids are those of the tokenizers library; a description that says less is not trusted."""
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    texts = ["", None, "  a\t\nB ", "don't it's x's 'll. 's's s'", "\u00c9\u00c0 e\u0301x H\u0331 \u0130stanbul \u03a3\u0391\u03a3.", "a<|endoftext|>b c", "1st 2nd a1b, x.y.z \u00b2a \u2167.", "\u0301abc a\u0301.", "a\x00b \x1cq", "x--- --- (a) \"b\"", "\u65e5\u672c\u3001ok! \U0001f642a.", "Word, WORD. word " * 5000]
+    plain = Tokenizer.from_str(spec)
+    expect = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    cache = records.WordCache(spec, room=20)
+    assert cache.apart and [np.frombuffer(x, dtype="<u2").tolist() for x in cache.encode(pa.array(texts))] == expect
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in cache.encode(pa.array(texts).slice(3, 4))] == expect[3:7]
+    other = json.loads(spec)
+    other["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True})
+    cache = records.WordCache(json.dumps(other))
+    assert not cache.apart and [np.frombuffer(x, dtype="<u2").tolist() for x in cache.encode(pa.array(["a b", None]))][1] == []
