@@ -15,22 +15,41 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_keys(words: Column, n: int) -> Column:
+    """All distinct runs of n words as pairs of 64-bit hashes; no run is spelt out."""
+    key = lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(words, i, n)).alias("g"))
+    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), key))).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>"))
+
+
+def _holders(keys: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(item_id, doc_id) where a document (doc_id, w) has a run of n words that is a key (item_id, key).
+
+    Of the documents' runs only those that are keys leave their task if the keys are few enough to go to every task.
+    """
+    wanted = keys.select("key.*").distinct()
+    runs = docs.select("doc_id", F.explode(gram_keys(F.col("w"), n)).alias("key")).select("doc_id", "key.*")
+    met = runs.join(F.broadcast(wanted) if _small(wanted) else wanted, ["h", "g"], "left_semi")
+    return met.join(keys.select("item_id", "key.*"), ["h", "g"]).select("item_id", "doc_id").distinct()
+
+
 def quotes_in(quotes: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFrame:
     """(item_id, doc_id) where the document holds the quote, white space aside.
 
-    A quote's inner words meet the runs of as many words of the documents that also occur in some quote: documents send
-    only runs that a set of hashes of the quotes' keys lets through, then candidates are confirmed by a real search.
-    Quotes of too few words for a key are confirmed against every document.
+    A quote's inner words meet the runs of as many words of the documents, then candidates are confirmed by a real
+    search. A quote of three words or more has an inner word; shorter ones may begin and end inside of words and
+    are searched for in every document, in one pass.
     """
-    q = quotes.withColumn("quote", squash(F.col("quote"))).withColumn("w", F.split("quote", " "))
-    # the first and last word of a quote may be cut inside a document's word
-    keyed = q.where(F.size("w") >= key_words + 2).select("item_id", "quote", F.array_join(F.slice("w", 2, key_words), " ").alias("key"))
-    short = q.where(F.size("w") < key_words + 2).select("item_id", "quote")
+    q = quotes.select("item_id", squash(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
     d = docs.select("doc_id", squash(F.col("text")).alias("text"))
-    runs = d.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), key_words))).alias("key"))
-    hits = runs.join(F.broadcast(keyed.select("key").distinct()) if _small(keyed) else keyed.select("key").distinct(), "key", "left_semi").join(keyed, "key").select("doc_id", "item_id", "quote").distinct()
-    found = hits.join(d, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
-    return found.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id")).distinct()
+    split = d.select("doc_id", F.split("text", " ").alias("w"))
+    # the first and last word of a quote may be cut inside a document's word
+    inner = lambda n: F.struct(F.xxhash64(F.slice("w", 2, n)).alias("h"), F.xxhash64(F.lit(n), F.slice("w", 2, n)).alias("g")).alias("key")
+    long_, middle, short = (q.where(F.expr(c)) for c in (f"size(w) >= {key_words + 2}", f"size(w) between 3 and {key_words + 1}", "size(w) < 3"))
+    hits = _holders(long_.select("item_id", inner(key_words)), split, key_words).unionByName(_holders(middle.select("item_id", inner(1)), split, 1))
+    found = hits.join(q.select("item_id", "quote"), "item_id").join(d, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    if short.isEmpty():
+        return found
+    return found.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id"))
 
 
 def sharing(quotes: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
@@ -39,13 +58,10 @@ def sharing(quotes: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
     Shorter quotes are searched for as they are.
     """
     q = quotes.select("item_id", squash(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
-    keys = q.where(F.size("w") >= run).select("item_id", F.explode(F.array_distinct(grams(F.col("w"), run))).alias("key"))
     d = docs.select("doc_id", squash(F.col("text")).alias("text"))
-    runs = d.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), run))).alias("key"))
-    wanted = keys.select("key").distinct()
-    hits = runs.join(F.broadcast(wanted) if _small(wanted) else wanted, "key", "left_semi").join(keys, "key").select("item_id", "doc_id")
+    hits = _holders(q.select("item_id", F.explode(gram_keys(F.col("w"), run)).alias("key")), d.select("doc_id", F.split("text", " ").alias("w")), run)
     short = q.where(F.size("w") < run).select("item_id", "quote")
-    return hits.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id")).distinct()
+    return hits if short.isEmpty() else hits.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id"))
 
 
 def _small(df: DataFrame, most: int = 200_000) -> bool:
@@ -59,9 +75,9 @@ def twins(passages: DataFrame, run: int) -> DataFrame:
     Pairs come from runs held by two passages or more; a run as common as ``many`` passages would be paired out, so
     each run links its holders to the first of them, which keeps the groups and stays linear.
     """
-    runs = passages.select("ref", F.explode(F.array_distinct(grams(F.col("words"), run))).alias("run"))
-    first = runs.groupBy("run").agg(F.min("ref").alias("other"), F.count("*").alias("n")).where("n > 1")
-    return runs.join(first, "run").where("ref <> other").groupBy("ref", "other").agg(F.count("*").alias("shared"))
+    runs = passages.select("ref", F.explode(gram_keys(F.col("words"), run)).alias("run")).select("ref", "run.*")
+    first = runs.groupBy("h", "g").agg(F.min("ref").alias("other"), F.count("*").alias("n")).where("n > 1")
+    return runs.join(first, ["h", "g"]).where("ref <> other").groupBy("ref", "other").agg(F.count("*").alias("shared"))
 
 
 def runs_of(rows: DataFrame, keys: list[str], number: str) -> DataFrame:

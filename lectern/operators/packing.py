@@ -8,11 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Titles that are dealt out on the driver, at most.
+TITLES = 1_000_000
+
+
 def balance(sizes: DataFrame, shards: int) -> DataFrame:
     """(title, n, shard): titles (title, n) longest first, each to the shard with least so far.
 
-    One row for each title reaches the driver; titles are a small dimension.
+    The order of all titles decides, so one row for each reaches the driver; a catalogue of more than ``TITLES`` is refused.
     """
+    if sizes.limit(TITLES + 1).count() > TITLES:
+        raise ValueError(f"more than {TITLES} titles cannot be dealt out on the driver")
     load, out = [(0, s) for s in range(shards)], []
     for title, n in sorted(((r["title"], r["n"]) for r in sizes.collect()), key=lambda x: (-x[1], x[0])):
         held, s = heapq.heappop(load)

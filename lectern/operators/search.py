@@ -46,30 +46,68 @@ def rank_phrases(docs: DataFrame, phrases: list[str], most: int) -> DataFrame:
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("score")).orderBy(F.round("score", 9), "doc_id").limit(most)
 
 
-def match_word(q: Column, q_key: Column, n: Column, n_key: Column) -> Column:
-    """How well a typed word matches a word of a name: 0 for not at all, 3 for the very word."""
-    alike = X.likeness(q, n)
-    allowed = F.when(F.length(q_key) >= 6, 2).when(F.length(q_key) >= 4, 1).otherwise(0)
-    best = F.greatest(
-        F.when((q_key == n_key) & (F.length(q_key) >= 3), 2.2 + 0.4 * alike).otherwise(0.0),
-        F.when((q_key == n_key) & (q_key != "") & (F.length(q_key) < 3) & (F.length(q) >= 3) & (F.length(n) >= 3), 1 + 0.5 * alike).otherwise(0.0),
-        F.when((F.length(q) >= 2) & n.startswith(q), 1.5 + F.length(q) / F.length(n)).otherwise(0.0),
-        F.when((F.length(q_key) >= 3) & n_key.startswith(q_key), 1.4).otherwise(0.0),
-        F.when((F.length(q) >= 4) & n.contains(q), 1.2).otherwise(0.0),
-        F.when((F.length(q) >= 5) & (F.levenshtein(q, n) <= 1), 1.4).otherwise(0.0),
-    )
-    return F.when(q == n, 3.0).when(best > 0, best).when((allowed > 0) & (F.levenshtein(q_key, n_key) <= allowed), 1 + 0.4 * alike).otherwise(0.0)
+# What a typed word is worth against a word of a name. Two numbers: the least, and what likeness adds.
+SAME, KEY, SHORT_KEY, BEGINS, KEY_BEGINS, WITHIN, ONE_SLIP, NEAR_KEY = 3.0, (2.2, 0.4), (1.0, 0.5), 1.5, 1.4, 1.2, 1.4, (1.0, 0.4)
+# From how many letters on each way of matching counts, and how far keys of a length may differ.
+LEAST_KEY, LEAST_SHORT, LEAST_BEGIN, LEAST_KEY_BEGIN, LEAST_WITHIN, LEAST_SLIP, NEAR = 3, 3, 2, 3, 4, 5, ((6, 2), (4, 1))
+
+
+def word_score(q: Column, q_key: Column, n: Column, n_key: Column) -> Column:
+    """The best of all ways in which a typed word and a word of a name, each with its key, agree; 0.0 if in none."""
+    long_, same_key = F.length(q), (q_key == n_key) & (q_key != "")
+    scaled = lambda pair: pair[0] + pair[1] * X.likeness(q, n)
+    strong = [
+        (q == n, F.lit(SAME)),
+        (same_key & (F.length(q_key) >= LEAST_KEY), scaled(KEY)),
+        (same_key & (F.length(q_key) < LEAST_KEY) & (F.least(long_, F.length(n)) >= LEAST_SHORT), scaled(SHORT_KEY)),
+        ((long_ >= LEAST_BEGIN) & n.startswith(q), BEGINS + long_ / F.length(n)),
+        ((F.length(q_key) >= LEAST_KEY_BEGIN) & n_key.startswith(q_key), F.lit(KEY_BEGINS)),
+        ((long_ >= LEAST_WITHIN) & n.contains(q), F.lit(WITHIN)),
+        ((long_ >= LEAST_SLIP) & (F.levenshtein(q, n) <= 1), F.lit(ONE_SLIP)),
+    ]
+    best = F.array_max(F.array(*[F.when(applies, value.cast("double")) for applies, value in strong]))
+    slack = F.coalesce(*[F.when(F.length(q_key) >= size, slips) for size, slips in NEAR], F.lit(0))
+    return F.coalesce(best, F.when((slack > 0) & (F.levenshtein(q_key, n_key) <= slack), scaled(NEAR_KEY)), F.lit(0.0))
+
+
+def _shorter(word: Column, times: int) -> Column:
+    """The word and what is left of it once up to ``times`` of its letters are gone."""
+    out = F.array(word)
+    for _ in range(times):
+        less = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, less))
+    return out
+
+
+def _meeting(word: Column, key: Column, asked: bool) -> Column:
+    """Strings by which a typed word meets every word of a name that it can match, each marked by the way of matching.
+
+    Beginnings and inner parts are spelt out on the side of the names; words with up to k slips between them have a
+    string in common once up to k letters of either are gone.
+    """
+    span = lambda least, w: F.sequence(F.lit(least), F.greatest(F.length(w), F.lit(least)))
+    begins = lambda w: F.array(w) if asked else F.transform(span(1, w), lambda i: F.substring(w, F.lit(1), i))
+    within = F.array(word) if asked else F.flatten(F.transform(span(1, word), lambda i: F.transform(span(LEAST_WITHIN, word), lambda n: F.substring(word, i, n))))
+    ways = {"k": F.array(key), "b": begins(word), "c": begins(key), "w": within, "s": _shorter(word, 1), "t": _shorter(key, NEAR[0][1])}
+    marked = lambda mark, strings: F.transform(strings, lambda x: F.concat(F.lit(mark), x))
+    return F.array_distinct(F.concat(*[marked(mark, strings) for mark, strings in ways.items()]))
 
 
 def search_books(books: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     """(q, title, score) of the books whose words match all words asked; unused words of a name cost a little.
 
-    books is a catalogue, a small dimension that every task gets.
+    Words meet by strings that they have in common, so nothing is compared with the whole catalogue.
     """
     cut = lambda c: F.filter(F.split(F.lower(c), r"[\s,;:()\-–—/&.]+"), lambda w: w != "")
-    q = asked.select("q", F.size(cut(F.col("q"))).alias("words"), F.posexplode(cut(F.col("q"))).alias("i", "w")).withColumn("key", X.skeleton(F.col("w")))
-    n = books.select("ord", "title", F.size(cut(F.col("title"))).alias("size"), F.explode(cut(F.col("title"))).alias("n")).withColumn("n_key", X.skeleton(F.col("n")))
-    best = q.join(F.broadcast(n)).withColumn("s", match_word(F.col("w"), F.col("key"), F.col("n"), F.col("n_key"))).groupBy("q", "words", "ord", "title", "size", "i").agg(F.max("s").alias("s")).where("s > 0")
+    q = asked.select("q", F.size(cut(F.col("q"))).alias("words"), F.posexplode(cut(F.col("q"))).alias("i", "w"))
+    n = books.select("ord", "title", F.size(cut(F.col("title"))).alias("size"), F.explode(cut(F.col("title"))).alias("n"))
+    typed = q.select("w").distinct().withColumn("key", X.skeleton(F.col("w")))
+    named = n.select("n").distinct().withColumn("n_key", X.skeleton(F.col("n")))
+    left = typed.select("w", "key", F.explode(_meeting(F.col("w"), F.col("key"), True)).alias("by"))
+    right = named.select("n", "n_key", F.explode(_meeting(F.col("n"), F.col("n_key"), False)).alias("by"))
+    pairs = left.join(right, "by").select("w", "key", "n", "n_key").distinct()
+    scores = pairs.select("w", "n", word_score(F.col("w"), F.col("key"), F.col("n"), F.col("n_key")).alias("s")).where("s > 0")
+    best = q.join(scores, "w").join(n, "n").groupBy("q", "words", "ord", "title", "size", "i").agg(F.max("s").alias("s"))
     total = best.groupBy("q", "words", "ord", "title", "size").agg(F.sum("s").alias("s"), F.count("*").alias("hits")).where("hits = words").withColumn("score", F.round(F.col("s") - 0.3 * (F.col("size") - F.col("hits")), 4))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord"))
     return total.withColumn("_n", rank).where(F.col("_n") <= most).select("q", "title", "score")

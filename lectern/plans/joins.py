@@ -54,19 +54,10 @@ def by_base(t):
 
 
 @query("dictionary_forms", "J10 J11 W4 F17", """
-WITH w AS (SELECT DISTINCT doc_id, lower(x) AS form FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS x FROM documents WHERE doc_id % 50 = 0) WHERE length(x) >= 6),
-l AS (SELECT p_partkey, lower(w2) AS form FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w2 FROM part))
-SELECT form, doc_id FROM (SELECT form, doc_id, row_number() OVER (PARTITION BY form ORDER BY doc_id) AS n FROM w) WHERE n <= 2 AND form NOT IN (SELECT form FROM l)""")
-def dictionary(t):
-    """For a fiftieth of the documents, as its SQL has it; dictionary_forms_whole has all of them."""
-    return _new_forms(t, t("documents").where("doc_id % 50 = 0"))
-
-
-@query("dictionary_forms_whole", "J10 J11 W4 F17", """
 WITH w AS (SELECT DISTINCT doc_id, lower(x) AS form FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS x FROM documents) WHERE length(x) >= 6),
 l AS (SELECT p_partkey, lower(w2) AS form FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w2 FROM part))
 SELECT form, doc_id FROM (SELECT form, doc_id, row_number() OVER (PARTITION BY form ORDER BY doc_id) AS n FROM w) WHERE n <= 2 AND form NOT IN (SELECT form FROM l)""")
-def dictionary_whole(t):
+def dictionary(t):
     """The first two documents of each form that the dictionary lacks."""
     return _new_forms(t, t("documents"))
 

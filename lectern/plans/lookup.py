@@ -143,9 +143,8 @@ def focus_lines(t):
 
 @query("chats_with_all_words", "P23", "SELECT conv_id FROM conversations GROUP BY 1 HAVING bool_or(contains(lower(text), 'the')) AND bool_or(contains(lower(text), 'in'))")
 def all_words(t):
-    joined = t("conversations").groupBy("conv_id").agg(F.lower(F.concat_ws(" ", F.collect_list("text"))).alias("hay"))
-    words = F.array(F.lit("the"), F.lit("in"))
-    return joined.where(F.forall(words, lambda w: F.contains("hay", w))).select("conv_id")
+    held = [F.bool_or(F.contains(F.lower("text"), F.lit(w))).alias(w) for w in ("the", "in")]
+    return t("conversations").groupBy("conv_id").agg(*held).where("the and `in`").select("conv_id")
 
 
 @query("on_the_page", "P24 M3", "SELECT seq, ref FROM (SELECT conv_id * 1000 + turn AS seq, 'Conv ' || conv_id || ':' || turn AS ref FROM conversations) WHERE ref = 'Conv 3' OR starts_with(ref, 'Conv 3:') OR starts_with(ref, 'Conv 4:')")

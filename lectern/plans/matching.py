@@ -12,21 +12,11 @@ from lectern.registry import query
 
 
 @query("shingle_overlap", "J16 U9 U10", """
-WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = 'de'),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM w WHERE len(w) >= 12),
-f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY 1 HAVING count(*) > 1)
-SELECT first, doc_id, count(*) AS shared FROM s JOIN f USING (s) WHERE doc_id <> first GROUP BY 1, 2""")
-def shingles(t):
-    """German documents with runs of twelve words in common, each with the first that has them; shingle_overlap_whole has all documents."""
-    return _shared(t("documents").where("lang = 'de'"))
-
-
-@query("shingle_overlap_whole", "J16 U9 U10", """
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM w WHERE len(w) >= 12),
 f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY 1 HAVING count(*) > 1)
 SELECT first, doc_id, count(*) AS shared FROM s JOIN f USING (s) WHERE doc_id <> first GROUP BY 1, 2""")
-def shingles_whole(t):
+def shingles(t):
     """Documents of any language with runs of twelve words in common, each with the first that has them."""
     return _shared(t("documents"))
 
@@ -38,19 +28,10 @@ def _shared(documents):
 
 @query("guide_share", "J16 J17 A23", """
 WITH p AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')))) AS s FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
-d AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS s FROM (SELECT string_split(text, ' ') AS w FROM documents WHERE source = 'src1'))
-SELECT item_id, round(count(d.s) / count(*), 6) AS share FROM p LEFT JOIN d ON p.s = d.s GROUP BY 1""")
-def guide(t):
-    """The share of each item's word pairs that the lines of one source have; guide_share_whole has all lines."""
-    return _share(t("benchmark"), t("documents").where("source = 'src1'"))
-
-
-@query("guide_share_whole", "J16 J17 A23", """
-WITH p AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')))) AS s FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
 d AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS s FROM (SELECT string_split(text, ' ') AS w FROM documents))
 SELECT item_id, round(count(d.s) / count(*), 6) AS share FROM p LEFT JOIN d ON p.s = d.s GROUP BY 1""")
-def guide_whole(t):
-    """The share of each item's word pairs that the lines of all sources have."""
+def guide(t):
+    """The share of each item's word pairs that the lines of the documents have."""
     return _share(t("benchmark"), t("documents"))
 
 

@@ -86,7 +86,7 @@ def distances(t):
 @query("angle_brackets", "F3", "SELECT * FROM (VALUES ('a <b> c.', 'a c.'), ('a < b', NULL), ('x <y>. , z', 'x. z'), ('<all>', NULL), ('plain', 'plain')) v(v, out)")
 def angle(t):
     rows = t.values([(v,) for v in ("a <b> c.", "a < b", "x <y>. , z", "<all>", "plain")], "v string")
-    return rows.select("v", X.strip_angle(F.col("v")).alias("out"))
+    return rows.select("v", X.without_insertions(F.col("v")).alias("out"))
 
 
 @query("safe_titles", "F32", r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -167,4 +168,8 @@ def first_senses(t):
     from lectern.functions.parse import first_sense
 
     rows = t.values([("bread (pl. breads; also [loaf; x]) food; money",), ("light. Also lamp",), ("",)], "entry string")
-    return rows.select("entry", F.udf(first_sense, "string")("entry").alias("sense"))
+    @F.pandas_udf("string")
+    def sense(entry: pd.Series) -> pd.Series:
+        return entry.map(first_sense, na_action="ignore")
+
+    return rows.select("entry", sense("entry").alias("sense"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,21 +69,11 @@ def spans(t):
 
 
 @query("merged_spans", "W17", """
-WITH s AS (SELECT l_suppkey, l_partkey % 400 AS lo, l_partkey % 400 + CAST(l_quantity AS BIGINT) % 4 AS hi FROM lineitem WHERE l_suppkey <= 20),
-m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM s),
-g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
-SELECT l_suppkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY l_suppkey, grp""")
-def merged(t):
-    """For twenty suppliers, as its SQL has it; merged_spans_whole has all of them."""
-    return _merged(t("lineitem").where("l_suppkey <= 20"))
-
-
-@query("merged_spans_whole", "W17", """
 WITH s AS (SELECT l_suppkey, l_partkey % 400 AS lo, l_partkey % 400 + CAST(l_quantity AS BIGINT) % 4 AS hi FROM lineitem),
 m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM s),
 g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS grp FROM m)
 SELECT l_suppkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY l_suppkey, grp""")
-def merged_whole(t):
+def merged(t):
     return _merged(t("lineitem"))
 
 
@@ -129,9 +120,9 @@ def packs(t):
 def orders(t):
     """Each conversation's lines in two editions, merged into one order."""
 
-    @F.udf("array<string>")
-    def merge(a: list[str], b: list[str]) -> list[str]:
-        return packing.merge_orders([list(a or ()), list(b or ())])
+    @F.pandas_udf("array<string>")
+    def merge(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([packing.merge_orders([[] if x is None else list(x) for x in pair]) for pair in zip(a, b, strict=True)])
 
     c = talks(t).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("turn") % 2 == 0, F.col("ref")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("turn") % 3 != 1, F.col("ref")))).alias("b"))
     return c.select("conv_id", F.array_join(merge("a", "b"), "|").alias("refs"))

@@ -26,7 +26,7 @@ def test_dictionary_forms_of_all_documents(spark, tmp_path):
     docs = [(1, "Unknown forms"), (2, "unknown POLISHED"), (51, "unknown another")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "Small polished tin")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    got = catalog.queries()["dictionary_forms_whole"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["dictionary_forms"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("another", 51), ("unknown", 1), ("unknown", 2)]
 
 
@@ -35,15 +35,15 @@ def test_shared_runs_of_all_languages(spark, tmp_path):
     docs = [(1, f"a {run}", "en", "src2"), (2, f"{run} b", "fr", "src3"), (3, f"c {run}", None, None), (4, run[:-4], "de", "src1")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "w0 w1 b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = catalog.queries()["shingle_overlap_whole"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["shingle_overlap"](spark, str(tmp_path)).collect()
     assert sorted((r.first, r.doc_id, r.shared) for r in got) == [(1, 2, 1), (1, 3, 1)]
-    assert [tuple(r) for r in catalog.queries()["guide_share_whole"](spark, str(tmp_path)).collect()] == [(7, 0.5)]
+    assert [tuple(r) for r in catalog.queries()["guide_share"](spark, str(tmp_path)).collect()] == [(7, 0.5)]
 
 
 def test_merged_spans_of_all_suppliers(spark, tmp_path):
     lines = [(s, p, 2.0) for s in (3, 500) for p in (10, 11, 20)]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = catalog.queries()["merged_spans_whole"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["merged_spans"](spark, str(tmp_path)).collect()
     assert sorted((r.l_suppkey, r.lo, r.hi) for r in got) == [(s, *x) for s in (3, 500) for x in ((10, 13), (20, 22))]
 
 
