@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import dates as D
+from lectern.functions import hebrew_calendar as H
 from lectern.registry import query
 
 
@@ -59,3 +60,31 @@ def portions(t):
 @query("printed_early", "D23", "SELECT o_orderkey, extract(year FROM o_orderdate) <= 1998 - 5 AS ok FROM orders")
 def printed(t):
     return t("orders").select("o_orderkey", (F.year("o_orderdate") <= 1998 - 5).alias("ok"))
+
+
+# The same calendar as tables: new years by the rule of the molad, then months by running sums.
+_MONTHS = """y0 AS (SELECT y, (235 * y - 234) // 19 AS m FROM generate_series(5745, 5765) g(y)),
+y1 AS (SELECT y, 29 * m + (12084 + 13753 * m) // 25920 AS d FROM y0), y2 AS (SELECT y, d + (3 * (d + 1) % 7 < 3)::INT AS d FROM y1),
+y3 AS (SELECT y, d - 2092590 + CASE WHEN lead(d) OVER (ORDER BY y) - d = 356 THEN 2 WHEN d - lag(d) OVER (ORDER BY y) = 382 THEN 1 ELSE 0 END AS first FROM y2),
+y4 AS (SELECT y, first, lead(first) OVER (ORDER BY y) - first AS size, (7 * y + 1) % 19 < 7 AS leap FROM y3),
+months AS (SELECT y, m, days, leap, first + sum(days) OVER (PARTITION BY y ORDER BY i) - days AS start FROM (
+  SELECT y, first, leap, i, m, CASE WHEN m = 8 THEN 29 + (size % 10 = 5)::INT WHEN m = 9 THEN 30 - (size % 10 = 3)::INT WHEN m = 12 THEN 29 + leap::INT WHEN m IN (7, 11) OR m < 7 AND m % 2 = 1 THEN 30 ELSE 29 END AS days
+  FROM y4, (VALUES (1, 7), (2, 8), (3, 9), (4, 10), (5, 11), (6, 12), (7, 13), (8, 1), (9, 2), (10, 3), (11, 4), (12, 5), (13, 6)) v(i, m) WHERE size IS NOT NULL AND (m <> 13 OR leap))),
+days AS (SELECT day, y, m, n - start + 1 AS d, leap FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS n FROM orders) JOIN months ON n >= start AND n < start + days)"""
+
+
+@query("hebrew_dates", "D11", f"WITH {_MONTHS} SELECT day, y AS hebrew_year, m AS hebrew_month, d AS hebrew_day, CASE WHEN m = 12 AND leap THEN 'Adar I' ELSE (['Nisan','Iyyar','Sivan','Tamuz','Av','Elul','Tishrei','Cheshvan','Kislev','Tevet','Sh''vat','Adar','Adar II'])[m] END AS name FROM days")
+def hebrew_dates(t):
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("h", H.hebrew_date(F.col("day")))
+    return days.select("day", F.col("h.year").alias("hebrew_year"), F.col("h.month").alias("hebrew_month"), F.col("h.day").alias("hebrew_day"), H.month_name(F.col("h.year"), F.col("h.month")).alias("name"))
+
+
+@query("anniversaries", "D16", f"""
+WITH {_MONTHS}, a AS (SELECT day, t.y AS target, days.m, days.d, days.leap AS had_two, t.leap AS has_two,
+  CASE WHEN days.m = 8 AND days.d = 30 AND (SELECT x.days FROM months x WHERE x.y = days.y + 1 AND x.m = 8) = 29 THEN 9 WHEN days.m = 9 AND days.d = 30 AND (SELECT x.days FROM months x WHERE x.y = days.y + 1 AND x.m = 9) = 29 THEN 10 END AS eve FROM days, y4 t WHERE t.y IN (5761, 5762, 5763)),
+b AS (SELECT *, CASE WHEN eve IS NOT NULL THEN eve WHEN m = 13 AND NOT has_two THEN 12 WHEN m = 12 AND d = 30 AND NOT has_two THEN 11 ELSE m END AS tm, CASE WHEN eve IS NOT NULL THEN 0 ELSE d END AS td FROM a)
+SELECT day, target, DATE '1970-01-01' + (x.start + td - 1)::INT AS kept, CASE WHEN b.m = 12 AND NOT had_two AND has_two THEN DATE '1970-01-01' + (z.start + least(d, 29) - 1)::INT END AS also FROM b JOIN months x ON x.y = target AND x.m = tm LEFT JOIN months z ON z.y = target AND z.m = 13""")
+def anniversaries(t):
+    """For each day the civil dates on which its Hebrew anniversary is kept in three years, and the other custom's day."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("h", H.hebrew_date(F.col("day"))).withColumn("target", F.explode(F.array(*[F.lit(y).cast("long") for y in (5761, 5762, 5763)])))
+    return days.select("day", "target", H.anniversary(F.col("h"), F.col("target")).alias("kept"), H.second_adar(F.col("h"), F.col("target")).alias("also"))

@@ -173,3 +173,37 @@ def first_senses(t):
         return entry.map(first_sense, na_action="ignore")
 
     return rows.select("entry", sense("entry").alias("sense"))
+
+
+@query("bson_entries", "S5", "SELECT n_name AS dictionary, count(*) AS entries, sum(length(s_name))::BIGINT AS letters FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE 'A%' OR n_name LIKE 'F%' GROUP BY 1")
+def bson_entries(t):
+    """Documents written as BSON and read back, those of the named dictionaries alone."""
+    import json
+
+    from lectern.sources.bson import Bson, write_bson
+
+    names = [r["n_name"] for r in t("nation").where("n_name like 'A%' or n_name like 'F%'").select("n_name").collect()]  # a fixed few
+    entries = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), "s_suppkey", F.col("s_name").alias("headword"))
+    folder = S.work_folder(t.spark)
+    write_bson(entries, folder)
+    t.spark.dataSource.register(Bson)
+    got = t.spark.read.format("bson").option("path", folder).option("names", json.dumps(names)).load()
+    return got.groupBy(F.col("name").alias("dictionary")).agg(F.count("*").alias("entries"), F.sum(F.length(F.get_json_object("document", "$.headword"))).alias("letters"))
+
+
+@query("batches_committed", "S9", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def batches_committed(t):
+    """Two tables in one batch that is committed; another batch fails half-way and is never seen."""
+    from lectern.sources.staged import read_table, write_batch
+
+    def broken():
+        raise RuntimeError("the second table of this batch cannot be made")
+
+    folder = S.work_folder(t.spark)
+    write_batch(t.spark, folder, {"nation": t("nation"), "region": t("region")})
+    try:
+        write_batch(t.spark, folder, {"nation": t("nation"), "region": broken})
+    except RuntimeError:
+        pass
+    count = lambda name: read_table(t.spark, folder, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count("nation").unionByName(count("region"))

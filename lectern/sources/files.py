@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the one that the session shares with its executors."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/lectern"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/lectern"  # one process: its own folder is shared
     return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
