@@ -9,8 +9,9 @@ counted, not assumed. All sources of evidence may be missing.
 The trigram models are fitted on about ``SAMPLE`` labelled rows of each language, picked by a hash of doc_id.
 
 Defined results: a null or empty text has no likelihood and is decided by the rest; null markup, address or host gives
-no evidence (rows without a host share the prior of all); repeated rows count each; without labelled rows the language
-is null; extra columns are ignored.
+no evidence (rows without a host share the prior of all); repeated rows count each; of languages with equal evidence the
+first by name wins; a text of any length is read whole; without labelled rows the language is null; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

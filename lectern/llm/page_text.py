@@ -11,7 +11,9 @@ other; on pages without an article element every element may be a template. Copi
 ``MANY`` different articles and the share ``SHARE`` of the host's articles.
 
 Defined results: null html gives an empty text; a null or unreadable url is a host of its own name ''; repeated rows
-are extracted each; markup that is cut off ends with the page; extra columns are ignored.
+are extracted each, and rows that share a page_id by their own hosts; of articles with equally much text the one nearer to
+the end of the page stays; a page of any length is read whole; markup that is cut off ends with the page; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

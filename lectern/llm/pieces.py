@@ -8,8 +8,9 @@ Where no piece has the marker after another character (checked when the model is
 word into the next run of markers. Texts are then encoded by such stretches, each new one once, and every stretch is
 checked against the SentencePiece library (parity) and decoded back (round trip) as it is first met.
 
-Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; extra columns are
-ignored; what lies in the model (white space, case) is kept by its own normaliser.
+Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; a null doc_id is kept; a
+text of any length is encoded whole; of equal merges the one with the earlier parts comes first; extra columns are
+ignored; what lies in the model (white space, case) is kept by its own normaliser; an empty table gives no rows.
 """
 
 from __future__ import annotations

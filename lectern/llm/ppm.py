@@ -6,7 +6,7 @@ gives DISCOUNT of its count to it, as in method D, which takes a half) leads to
 to single bytes and at last an even choice among what is left. ``Trie`` does this for one text, also adaptively;
 ``score_corpus`` does it for a pretrained model of the whole corpus, with no table that every task must hold:
 
-1. Documents are dealt into blocks by a hash of doc_id. A block counts its distinct (order + 1)-byte strings and sends
+1. Documents are dealt into blocks by a hash of doc_id and text. A block counts its distinct (order + 1)-byte strings and sends
    each to a bucket by the last two bytes of its context, as sorted binary arrays.
 2. A bucket merges what all blocks counted: with it come all contexts of two bytes and more that it needs. The counts
    of contexts below that are a table of 256 x 256 numbers. It answers each block with the code length of its strings.
@@ -16,7 +16,8 @@ Texts are scored in normal form: A-Z in lower case, words joined by single space
 probability of the token sequence, like ``base_score``, whose token counts take the same way by 64-bit hashes of words.
 
 Defined results: a null text counts as empty (the end alone); a null doc_id is in fold 0, so it trains; repeated rows
-count each; extra columns are ignored; without training text all symbols are equally likely.
+count each, and equal texts have equal scores; a text of any length is scored whole, in its block; extra columns are
+ignored; without training text all symbols are equally likely; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -395,7 +396,7 @@ def score_corpus(docs: DataFrame, held_out_fold: int = 1, order: int = ORDER, bl
     docs = restrict(docs, "doc_id", "text").withColumn("train", fold_of() != held_out_fold)
     blocks = max(12, -(-text_bytes(docs) // block_bytes))
     buckets = min(1 << 16, max(buckets, blocks))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     counted = cut(docs.repartition("block").sortWithinPartitions("block").mapInArrow(_count(order, buckets), _PART))
     release(docs.sparkSession)
     low = np.zeros(1 << 16, dtype=np.int64)

@@ -589,3 +589,160 @@ def test_words_encoded_apart():
     other["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True})
     cache = records.WordCache(json.dumps(other))
     assert not cache.apart and [np.frombuffer(x, dtype="<u2").tolist() for x in cache.encode(pa.array(["a b", None]))][1] == []
+
+
+def test_precompiled_normaliser():
+    """A model with a map of characters that also squeezes white space: ids are those of SentencePiece."""
+    import sentencepiece
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = next(dict(pieces.wire(value))[2] for key, value in pieces.wire(made) if key == 3)
+    data = unigram_model() + field(3, field(1, b"nmt_nfkc") + field(2, charsmap) + field(3, 1) + field(4, 1) + field(5, 1))
+    encoder, reference = pieces.Encoder(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert encoder.model.charsmap == charsmap and encoder.model.squeeze and not encoder.by_stretch
+    texts = ["\uff34\uff28\uff25 \uff41\uff42", "the   the", "  ab  ab ", "\ufb01 \u2460", "a\tb\n\nc", "A\u030a e\u0301", "\u65e5\u672c", "the ab " * 3000]
+    for text, (ids, same, _) in zip(texts, encoder.encode(texts), strict=True):
+        assert same and np.frombuffer(ids, dtype="<u4").tolist() == reference.encode(text)
+
+
+def brute_identify(rows, names, table, smooth=8.0):
+    """Evidence on rows (text, markup, suffix, host), one row and one number at a time."""
+    import math
+
+    n, likely = len(names), []
+    for text, *_ in rows:
+        body = b" " + b" ".join((text or "").encode().lower().split()) + b" "
+        slots = [((((body[i] << 16) | (body[i + 1] << 8) | body[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(body) - 2)]
+        total = [sum(table[s][k] for s in slots) * min(1.0, lang_id.EFFECTIVE / max(len(slots), 1)) for k in range(n)]
+        likely.append([x - max(total) for x in total])
+    said = [[math.exp(x) / sum(map(math.exp, row)) for x in row] for row in likely]
+    add = lambda keep: [sum(s[k] for s, r in zip(said, rows, strict=True) if keep(r)) for k in range(n)]
+    whole = add(lambda r: True)
+    base = [(x + 1) / (sum(whole) + n) for x in whole]
+    kinds = {r[1] for r in rows if r[1] is not None}
+    marked = add(lambda r: r[1] is not None)
+    out = []
+    for own, like, (_, markup, suffix, host) in zip(said, likely, rows, strict=True):
+        towards = lambda counts, prior: [(c + smooth * p) / (sum(counts) + smooth) for c, p in zip(counts, prior, strict=True)]
+        less = lambda counts: [max(c - o, 0.0) for c, o in zip(counts, own, strict=True)]  # noqa: B023, E731
+        prior = towards(less(add(lambda r: r[2] == suffix)), base)  # noqa: B023
+        if host is not None:
+            prior = towards(less(add(lambda r: (r[3], r[2]) == (host, suffix))), prior)  # noqa: B023
+        trust = [math.log((a + 0.5) / (m + 0.5 * len(kinds) + 0.5)) for a, m in zip(add(lambda r: r[1] == markup), marked, strict=True)] if markup is not None else [0.0] * n  # noqa: B023
+        fused = [x + math.log(p) + t for x, p, t in zip(like, prior, trust, strict=True)]
+        top = max(fused)
+        out.append((names[fused.index(top)], 1 / sum(math.exp(x - top) for x in fused)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    """Every number of the fusion, with ties, missing evidence, empty and very long texts; and the edges."""
+    r = random.Random(21)
+    make = lambda letters, n=12: " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(n))
+    docs = frame(spark, [make("abcd") for _ in range(15)], lang="xx").unionByName(frame(spark, [make("cdef") for _ in range(15)], list(range(50, 65)), lang="yy"))
+    names, table = lang_id.fit(docs)
+    rows = [(make(r.choice(["abcd", "cdef", "ad"])), r.choice(["xx", "yy", None]), r.choice(["org", "net", ""]), r.choice(["a.org", "b.net", None])) for _ in range(40)]
+    rows += [(None, None, None, None), ("", "xx", "org", "a.org"), ("", "xx", "org", "a.org"), (make("abcd", 20_000), None, "net", "b.net"), ("ab", None, None, None)]
+    frame_ = spark.createDataFrame([(i, None, *x, "clash") for i, x in enumerate(rows)], "doc_id long, page_id long, text string, markup string, suffix string, host string, lang string")
+    got = {x.doc_id: x for x in lang_id.identify(frame_, names, table).collect()}
+    for i, (lang, confidence) in enumerate(brute_identify(rows, names, table)):
+        assert got[i].lang == lang and got[i].confidence == pytest.approx(confidence, rel=1e-6)
+    assert lang_id.identify(frame_.where("false"), names, table).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<html lang='yy'>cdef", "clash", "z")], "page_id long, url string, html string, text string, host string")
+    assert lang_id.page_rows(pages).first().asDict() == {"doc_id": None, "page_id": 1, "text": " cdef", "markup": "yy", "suffix": "org", "host": "a.org"}
+
+
+def brute_pages(rows, many=page_text.MANY, share=page_text.SHARE):
+    """Main texts of well-formed pages by the standard parser, plain trees and plain counts."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, page):
+            super().__init__(convert_charrefs=False)
+            self.root = ["", False, []]
+            self.stack = [self.root]
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            named = {w for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()}
+            e = [tag, tag in page_text.DROP or tag not in ("html", "body", "article", "main") and bool(named & page_text.NOT_ARTICLE), []]
+            self.stack[-1][2].append(e)
+            self.stack.append(e)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.stack[-1][2].append(data)
+
+        def handle_entityref(self, name):
+            self.stack[-1][2].append(f"&{name};")
+
+    import html
+
+    def key(e):
+        return (e[0], tuple(" ".join(x.split()) if isinstance(x, str) else key(x) for x in e[2] if not isinstance(x, str) or x.strip()))
+
+    def words(e):
+        return sum(len(x.strip()) if isinstance(x, str) else words(x) for x in e[2])
+
+    def every(e):
+        return [e] + [y for x in e[2] if not isinstance(x, str) for y in every(x)]
+
+    def holds(e, main):
+        return e is main or any(holds(x, main) for x in e[2] if not isinstance(x, str))
+
+    def main_of(e, gone):
+        if e[1] or words(e) and key(e) in gone:
+            return []
+        return ([e] if e[0] == "article" else []) + [y for x in e[2] if not isinstance(x, str) for y in main_of(x, gone)]
+
+    def choose(root, gone):
+        return max(main_of(root, gone), key=words, default=root)
+
+    def text(e, gone, prose, top=True):
+        if not top and (e[1] or words(e) and key(e) in gone and not (prose and e[0] in page_text.PROSE)):
+            return "\n" if e[0] in page_text.BLOCK else ""
+        body = "".join(x if isinstance(x, str) else text(x, gone, prose, False) for x in (y.replace("\n", " ") if isinstance(y, str) else y for y in e[2]))
+        return f"\n{body}\n" if e[0] in page_text.BLOCK or top else body
+
+    trees = [(page_text.host_of(url), Tree(page or "").root) for _, url, page in rows]
+    seen, whole = {}, {}
+    for host, root in trees:
+        main = choose(root, set())
+        name = key(main) if main is not root else text(root, set(), False)
+        whole.setdefault(host, set()).add(name)
+        inside = {id(x) for x in every(main)} if main is not root else set()
+        for e in every(root)[1:]:
+            if words(e) and not holds(e, main) and not (id(e) in inside and e[0] in page_text.PROSE):
+                seen.setdefault((host, key(e)), set()).add(name)
+    out = []
+    for host, root in trees:
+        gone = {k for (h, k), n in seen.items() if h == host and len(n) >= many and len(n) >= share * len(whole[host])}
+        main = choose(root, gone)
+        lines = [" ".join(html.unescape(x).split()) for x in text(main, gone, main is not root).split("\n")]
+        out.append("\n".join(x for x in lines if x))
+    return out
+
+
+def test_page_text_against_brute_force(spark):
+    r = random.Random(31)
+    some = lambda n: " ".join(r.choice(["one", "two &amp; a", "three", "four", "x&lt;y", f"n{r.randrange(10**6)}"]) for _ in range(n))
+    parts = {h: [f"<div><span>{some(4)}</span><p>{some(3)}</p></div>" for _ in range(3)] for h in range(4)}
+    rows = []
+    for i in range(120):
+        h = r.choice([0, 0, 0, 1, 2, 3])
+        bits = [r.choice(parts[h]) if r.random() < 0.5 else f"<p>{some(r.randint(1, 9))}</p>" for _ in range(r.randint(0, 4))]
+        body = "".join(f"<h1>{some(2)}</h1>" + "".join(f"<p>{some(r.randint(3, 30))} <b>{some(1)}</b></p>" + r.choice(["", r.choice(parts[h]), "<div class='ad'>buy</div>"]) for _ in range(r.randint(1, 4))))
+        around = r.choice([lambda x: f"<article>{x}</article>", lambda x: f"<main><article>{x}</article></main>", lambda x: x])(body)
+        rows.append((i, f"https://h{h}.example.org/{i}" if h < 3 else None, f"<html><body><nav><a>menu</a></nav>{''.join(bits)}{around}<footer>f</footer></body></html>"))
+    rows += [(200, "https://h0.example.org/x", None), (201, "https://h0.example.org/y", ""), (7, "https://h1.example.org/7", rows[0][2]), (202, "https://h2.example.org/long", f"<body><article><p>{some(60_000)}</p></article></body>")]
+    got = page_text.main_texts(spark.createDataFrame([(*x, "clash") for x in rows], "page_id long, url string, html string, host string")).collect()
+    assert sorted((x.page_id, x.url or "", x.text, x.n_chars) for x in got) == sorted((i, url or "", t, len(t)) for (i, url, _), t in zip(rows, brute_pages(rows), strict=True))
+
+
+@pytest.mark.parametrize("run", [ppm.score_corpus, lambda d: pieces.encode_documents(d, unigram_model()), lambda d: pieces.encoded(d, unigram_model())])
+def test_scorers_at_the_edges(spark, run):
+    """No rows, no ids, repeated ids, null, blank and very long texts give one row each."""
+    docs = frame(spark, ["the ab", None, " ", "the ab", "ab the " * 40_000], [None, 5, None, 5, 6])
+    assert run(docs).count() == 5 and run(docs.where("false")).count() == 0
