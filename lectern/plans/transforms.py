@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import tree as T
-from lectern.plans.views import TALKS, edges, talks
+from lectern.plans.views import EDGES, TALKS, edges, talks
 from lectern.registry import query
 from lectern.sources import files as S
 
@@ -115,13 +115,14 @@ def cards(t):
     return t("lineitem").withColumn("b", F.col("l_orderkey") % 50).withColumn("k", k).where("k <= 3").groupBy("b").agg(F.count("*").alias("n"))
 
 
-@query("files_round_trip", "S1 S4 S8 S18 S23 S17", None)
+@query("files_round_trip", "S1 S4 S8 S18 S23 S17", f"SELECT 'json' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'csv', count(*) FROM {EDGES}")
 def round_trip(t):
     """Tables written as JSON lines and CSV into the shared folder and read back with their schema."""
     return S.round_trips(t.spark, t("nation"), edges(t))
 
 
-@query("site_feeds", "S15 S16 A14", None)
+@query("site_feeds", "S15 S16 A14", """
+SELECT split_part(regexp_replace(href, '^/', ''), '/', 1) AS section, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]*)"', 1))) AS href FROM pages) GROUP BY 1""")
 def feeds(t):
     """Addresses that pages link to, by section of the link."""
     links = t("pages").select(F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]*)"'), 1))).alias("href"))

@@ -99,7 +99,11 @@ def asof(t):
     return c.select("conv_id", "turn", F.coalesce(nxt, last).alias("step")).where("step is not null").distinct()
 
 
-@query("short_gaps_filled", "W19", None)
+@query("short_gaps_filled", "W19", """
+WITH c AS (SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN turn END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+n AS (SELECT *, last_value(CASE WHEN line IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p, first_value(CASE WHEN line IS NOT NULL THEN i END IGNORE NULLS) OVER f AS q, last_value(line IGNORE NULLS) OVER b AS before, first_value(line IGNORE NULLS) OVER f AS after FROM c
+  WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT conv_id, turn, coalesce(line, CASE WHEN q - p - 1 <= 6 THEN CASE WHEN i - p <= q - i THEN before ELSE after END END) AS line, line IS NULL AS guessed FROM n""")
 def gaps(t):
     """Runs of at most six empty rows take the value on both sides when they agree, else the nearer one's."""
     from lectern.operators.sequence import fill_gaps
@@ -108,11 +112,15 @@ def gaps(t):
     return fill_gaps(c, "conv_id", "turn", "line", 6)
 
 
-@query("packs_of_words", "W13 M21 M23", None)
+@query("packs_of_words", "W13 M21 M23", """
+WITH RECURSIVE d AS (SELECT source, doc_id AS seq, len(string_split(text, ' '))::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+r AS (SELECT source, seq, words, i, words AS held, 0 AS pack FROM d WHERE i = 1
+  UNION ALL SELECT d.source, d.seq, d.words, d.i, CASE WHEN r.held > 0 AND r.held + d.words > 2000 THEN d.words ELSE r.held + d.words END, r.pack + (r.held > 0 AND r.held + d.words > 2000)::INT FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+SELECT source, seq, words, pack FROM r""")
 def packs(t):
     from lectern.operators.packing import pack
 
-    d = t("documents").select("source", F.col("doc_id").alias("seq"), F.size(F.split("text", " ")).cast("long").alias("words"))
+    d = t("documents").where("source is not null and text is not null").select("source", F.col("doc_id").alias("seq"), F.size(F.split("text", " ")).cast("long").alias("words"))
     return pack(d, "source", 2000)
 
 
