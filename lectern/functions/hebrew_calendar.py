@@ -107,3 +107,42 @@ def second_adar(date: Column, year: Column) -> Column:
 def month_name(year: Column, month: Column) -> Column:
     name = F.element_at(F.array(*map(F.lit, MONTHS)), month.cast("int"))
     return F.when((month == 12) & leap(year), F.lit("Adar I")).otherwise(name)
+
+
+# Days of rest as (month, day), those kept everywhere and those added outside of Israel.
+REST = [(7, 1), (7, 2), (7, 10), (7, 15), (7, 22), (1, 15), (1, 21), (3, 6)]
+SECOND = [(7, 16), (7, 23), (1, 16), (1, 22), (3, 7)]
+# Fasts as (month, day) and how many days they move if they fall on the day of rest of the week.
+FASTS = [(7, 3, 1), (10, 10, 0), (4, 17, 1), (5, 9, 1)]
+
+
+def _on(h: Column, days: list[tuple[int, int]]) -> Column:
+    return (h["month"] * 100 + h["day"]).isin(*[m * 100 + d for m, d in days])
+
+
+def day_facts(date: Column, israel: Column) -> Column:
+    """What a civil date is in the year of prayers, by its Hebrew date alone: a struct of facts."""
+
+    def facts(x: Column) -> Column:
+        h, week = x["h"], x["week"]  # 0 is Sunday
+        month, day = h["month"], h["day"]
+        purim_month = F.when(leap(h["year"]), 13).otherwise(12)
+        rest = _on(h, REST) | (~x["israel"] & _on(h, SECOND))
+        between = (month.isin(7, 1)) & day.between(16, F.when(month == 7, 21).otherwise(20)) & ~rest
+        moved = lambda m, d, n: ((month == m) & (day == d) & (week != 6)) | ((month == m) & (day == d + n) & (week == 0) if n else F.lit(False))
+        esther = ((month == purim_month) & (day == 13) & (week != 6)) | ((month == purim_month) & (day == 11) & (week == 4))
+        fast = esther
+        for m, d, n in FASTS:
+            fast = fast | moved(m, d, n)
+        omer = x["at"] + 1 - F.unix_date(civil_date(h["year"], F.lit(1), F.lit(15)))
+        lights = x["at"] - F.unix_date(civil_date(h["year"], F.lit(9), F.lit(25)))
+        named = {
+            "dow": week, "rosh_chodesh": (day == 30) | ((day == 1) & (month != 7)), "chanukah": lights.between(0, 7), "purim": (month == purim_month) & (day == 14),
+            "fast": fast | ((month == 7) & (day == 10)), "tisha_bav": moved(5, 9, 1), "ten_days": (month == 7) & (day <= 10), "shabbat_shuva": (month == 7) & (day <= 10) & (week == 6),
+            "chol_hamoed": between, "yom_tov": rest, "erev_pesach": (month == 1) & (day == 14), "erev_yom_kippur": (month == 7) & (day == 9), "hoshana_raba": (month == 7) & (day == 21),
+            "isru_chag": x["israel"] & _on(h, [(1, 22), (3, 7), (7, 23)]), "ledavid": (month == 6) | ((month == 7) & (day <= F.when(x["israel"], 21).otherwise(22))),
+            "omer_tonight": F.when(omer.between(1, 49), omer.cast("int")),
+        }
+        return F.struct(*[c.alias(name) for name, c in named.items()])
+
+    return let(F.struct(hebrew_date(date).alias("h"), (F.dayofweek(date) - 1).alias("week"), F.unix_date(date).alias("at"), israel.alias("israel")), facts)

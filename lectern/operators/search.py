@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,22 @@ def update_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
 def rank_phrases(docs: DataFrame, phrases: list[str], most: int) -> DataFrame:
     """(doc_id, score) of the best documents, ascending: each phrase counts as one term.
 
-    Only words of the phrases leave the scan as postings; successive positions are found by grouping on where a phrase
-    would begin, so the index is never joined with itself.
+    Occurrences are counted within each text, as words between single spaces, so no word ever leaves its row: one pass
+    gives the counts of all documents (a single row), a second one scores those that hold a phrase.
     """
-    spark = docs.sparkSession
-    parts = [(n, i, w, len(p.split())) for n, p in enumerate(phrases) for i, w in enumerate(p.split())]
-    terms = F.broadcast(spark.createDataFrame(parts, "phrase int, i int, token string, size int"))
-    sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    wanted = sorted({p[2] for p in parts})
-    hits = sized.select("doc_id", F.posexplode("w").alias("pos", "token")).where(F.col("token").isin(wanted)).join(terms, "token")
-    starts = hits.groupBy("doc_id", "phrase", "size", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
-    freq = starts.groupBy("doc_id", "phrase").agg(F.count("*").cast("double").alias("f"))
-    lengths = sized.select("doc_id", F.size("w").cast("double").alias("len"))
-    whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    idf = freq.groupBy("phrase").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole)).select("phrase", "mean", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"))
-    scored = freq.join(F.broadcast(idf), "phrase").join(lengths, "doc_id")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return scored.groupBy("doc_id").agg((-F.sum(part)).alias("score")).orderBy(F.round("score", 9), "doc_id").limit(most)
+    terms = [" ".join(p.split()) for p in phrases]
+    flat = F.concat(F.lit(" "), F.regexp_replace(X.plain(F.col("text")), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # a space before the phrase is matched and the phrase only looked at, so that occurrences may overlap
+    counts = [F.coalesce(F.regexp_count("flat", F.lit(f" (?={term} )")), F.lit(0)).cast("double").alias(f"f{n}") for n, term in enumerate(terms)]
+    held = docs.select("doc_id", flat.alias("flat")).select("doc_id", F.regexp_count("flat", F.lit("[^ ]+")).cast("double").alias("len"), *counts)
+    whole = held.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{n}") > 0).alias(f"n{n}") for n in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for n in range(len(terms)):
+        idf = max(math.log((whole["docs"] - whole[f"n{n}"] + 0.5) / (whole[f"n{n}"] + 0.5)), FLOOR)
+        f = F.col(f"f{n}")
+        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / (whole["mean"] or 1.0)))).otherwise(0.0)
+    some = held.where(F.greatest(*[F.col(f"f{n}") for n in range(len(terms))], F.lit(0.0)) > 0)
+    return some.select("doc_id", (-score).alias("score")).orderBy(F.round("score", 9), "doc_id").limit(most)
 
 
 # What a typed word is worth against a word of a name. Two numbers: the least, and what likeness adds.

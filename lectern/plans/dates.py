@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates as D
 from lectern.functions import hebrew_calendar as H
+from lectern.functions import sun as S
 from lectern.registry import query
 
 
@@ -88,3 +89,31 @@ def anniversaries(t):
     """For each day the civil dates on which its Hebrew anniversary is kept in three years, and the other custom's day."""
     days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("h", H.hebrew_date(F.col("day"))).withColumn("target", F.explode(F.array(*[F.lit(y).cast("long") for y in (5761, 5762, 5763)])))
     return days.select("day", "target", H.anniversary(F.col("h"), F.col("target")).alias("kept"), H.second_adar(F.col("h"), F.col("target")).alias("also"))
+
+
+@query("day_facts", "D17", f"""
+WITH {_MONTHS}, f AS (SELECT *, extract(dow FROM day) AS week, CASE WHEN leap THEN 13 ELSE 12 END AS pm FROM days)
+SELECT day, week AS dow, d = 30 OR (d = 1 AND m <> 7) AS rosh_chodesh, m = pm AND d = 14 AS purim,
+ (m = pm AND ((d = 13 AND week <> 6) OR (d = 11 AND week = 4))) OR (m = 7 AND d = 3 AND week <> 6) OR (m = 7 AND d = 4 AND week = 0) OR (m = 10 AND d = 10) OR (m = 4 AND ((d = 17 AND week <> 6) OR (d = 18 AND week = 0))) OR (m = 5 AND ((d = 9 AND week <> 6) OR (d = 10 AND week = 0))) OR (m = 7 AND d = 10) AS fast,
+ (m, d) IN ((7, 1), (7, 2), (7, 10), (7, 15), (7, 16), (7, 22), (7, 23), (1, 15), (1, 16), (1, 21), (1, 22), (3, 6), (3, 7)) AS yom_tov, (m = 7 AND d BETWEEN 17 AND 21) OR (m = 1 AND d BETWEEN 17 AND 20) AS chol_hamoed,
+ CASE WHEN m = 1 AND d >= 15 THEN d - 14 WHEN m = 2 THEN d + 16 WHEN m = 3 AND d <= 4 THEN d + 45 END AS omer_tonight FROM f""")
+def day_facts(t):
+    """What each order's day is in the year of prayers, outside of Israel."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("f", H.day_facts(F.col("day"), F.lit(False)))
+    return days.select("day", *[F.col(f"f.{x}") for x in ("dow", "rosh_chodesh", "purim", "fast", "yom_tov", "chol_hamoed", "omer_tonight")])
+
+
+@query("day_times", "D10", """
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), p(place, lat, lon) AS (VALUES ('Jerusalem', 31.778::DOUBLE, 35.235::DOUBLE), ('London', 51.5::DOUBLE, -0.12::DOUBLE)),
+t AS (SELECT day, place, lat, lon, (date_diff('day', DATE '1970-01-01', day) + 2440588.0::DOUBLE - lon / 360 - 2451545.0::DOUBLE) / 36525 AS t FROM d, p),
+a AS (SELECT *, 357.52911 + t * (35999.05029 - 0.0001537 * t) AS m, fmod(fmod(280.46646 + t * (36000.76983 + 0.0003032 * t), 360) + 360, 360) AS l, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, 125.04 - 1934.136 * t AS node FROM t),
+b AS (SELECT *, sin(radians(m)) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(radians(2 * m)) * (0.019993 - 0.000101 * t) + sin(radians(3 * m)) * 0.000289 AS c, 23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60) / 60 + 0.00256 * cos(radians(node)) AS tilt FROM a),
+c AS (SELECT *, pow(tan(radians(tilt) / 2), 2) AS y, asin(sin(radians(tilt)) * sin(radians(l + c - 0.00569 - 0.00478 * sin(radians(node))))) AS decl FROM b),
+n AS (SELECT *, 720 - 4 * lon - 4 * degrees(y * sin(radians(2 * l)) - 2 * e * sin(radians(m)) + 4 * e * y * sin(radians(m)) * cos(radians(2 * l)) - 0.5 * y * y * sin(radians(4 * l)) - 1.25 * e * e * sin(radians(2 * m))) AS noon,
+  4 * degrees(acos((cos(radians(90.833)) - sin(radians(lat)) * sin(decl)) / (cos(radians(lat)) * cos(decl)))) AS half, (cos(radians(98.5)) - sin(radians(lat)) * sin(decl)) / (cos(radians(lat)) * cos(decl)) AS stars FROM c)
+SELECT day, place, round(noon - half, 3) AS sunrise, round(noon - half + half / 2, 3) AS shma, round(noon - half - 72 + (half + 72) / 2, 3) AS shma_mga, round(noon, 3) AS chatzot, round(noon - half + 10.75 * half / 6, 3) AS plag, round(noon + half, 3) AS sunset, round(CASE WHEN abs(stars) <= 1 THEN noon + 4 * degrees(acos(stars)) END, 3) AS tzeit FROM n""")
+def day_times(t):
+    """The times of each order's day at two places, in minutes after midnight UTC."""
+    places = F.broadcast(t.values([("Jerusalem", 31.778, 35.235), ("London", 51.5, -0.12)], "place string, lat double, lon double"))  # a fixed few
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().crossJoin(places).withColumn("s", S.day_times(F.col("day"), F.col("lat"), F.col("lon")))
+    return days.select("day", "place", *[F.round(F.col(f"s.{x}"), 3).alias(x) for x in ("sunrise", "shma", "shma_mga", "chatzot", "plag", "sunset", "tzeit")])

@@ -156,3 +156,23 @@ def test_calendar_of_known_days(spark):
     assert sorted((str(r.d), r.h.year, r.h.month, r.h.day) for r in days.collect()) == sorted(known) and days.where("back <> d").count() == 0
     far = spark.range(-90_000, 60_000, 7).select(F.date_from_unix_date(F.col("id").cast("int")).alias("d")).withColumn("h", H.hebrew_date(F.col("d")))
     assert far.where(H.civil_date(F.col("h.year"), F.col("h.month"), F.col("h.day")) != F.col("d")).count() == 0
+
+
+def test_facts_of_known_days(spark):
+    from lectern.functions import hebrew_calendar as H
+
+    known = {"2024-10-12": "fast yom_tov ten_days", "2024-10-06": "fast ten_days", "2024-03-21": "fast", "2024-03-24": "purim", "2024-07-23": "fast", "2024-08-13": "fast tisha_bav", "2024-12-26": "chanukah", "2025-01-02": "chanukah rosh_chodesh?", "2024-04-22": "erev_pesach", "2024-10-24": "yom_tov hoshana_raba?", "2024-04-30": "yom_tov"}
+    days = spark.createDataFrame([(d,) for d in known], "d string").withColumn("f", H.day_facts(F.to_date("d"), F.lit(False)))
+    for r in days.collect():
+        true = {k for k, v in r.f.asDict().items() if v is True}
+        assert {x for x in known[r.d].split() if x[-1] != "?"} <= true, (r.d, true)
+    omer = spark.createDataFrame([("2024-04-23",), ("2024-06-10",), ("2024-06-11",), ("2024-04-22",)], "d string").select("d", H.day_facts(F.to_date("d"), F.lit(True))["omer_tonight"].alias("n"))
+    assert {r.d: r.n for r in omer.collect()} == {"2024-04-23": 1, "2024-06-10": 49, "2024-06-11": None, "2024-04-22": None}
+
+
+def test_sun_of_known_days(spark):
+    from lectern.functions.sun import day_times
+
+    row = spark.createDataFrame([("2024-06-21", 31.778, 35.235), ("2024-06-21", 78.2, 15.6)], "d string, lat double, lon double").withColumn("t", day_times(F.to_date("d"), F.col("lat"), F.col("lon"))).orderBy("lat").collect()
+    # Jerusalem at the solstice: 5:34 and 19:47 by summer time, three hours ahead; no sunset far in the north
+    assert abs(row[0].t.sunrise - (2 * 60 + 34)) < 2 and abs(row[0].t.sunset - (16 * 60 + 47)) < 2 and row[1].t.sunset is None and row[1].t.chatzot is not None
