@@ -80,3 +80,37 @@ def export(t):
 def carry_over(t):
     new = t("documents").where("lang = 'de'").select("doc_id", F.lit(1).alias("quality"))
     return t("labels").select("doc_id", "quality").join(new, "doc_id", "left_anti").unionByName(new)
+
+
+@query("posts_delta", "S11", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'body of ' || s_name END AS body FROM supplier")
+def posts_delta(t):
+    """A listing of ids and dates is read first, then the bodies of what has changed since the last crawl."""
+    import json
+
+    from lectern.sources.files import work_folder
+    from lectern.sources.posts import Posts, put_posts
+
+    folder = work_folder(t.spark)
+    posts = t("supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "2024-02-01").otherwise("2024-01-01").alias("modified"), F.concat(F.lit("body of "), "s_name").alias("content"))
+    put_posts(posts, folder)
+    t.spark.dataSource.register(Posts)
+    listed = t.spark.read.format("posts").option("path", folder).load()
+    changed = [r["id"] for r in listed.where("modified > '2024-01-15'").select("id").collect()]  # what one crawl fetches
+    bodies = t.spark.read.format("posts").option("path", folder).option("ids", ",".join(map(str, changed))).option("bodies", "true").load()
+    return listed.select("id").join(bodies.select("id", "body"), "id", "left")
+
+
+@query("crawl_resumed", "T13", "SELECT o_orderkey % 5 AS part, count(*) AS n FROM orders GROUP BY 1")
+def crawl_resumed(t):
+    """A run that stops and goes on: what arrives between two runs is taken once, and nothing twice."""
+    from lectern.operators.ingest import resume
+    from lectern.sources.files import work_folder
+
+    folder = work_folder(t.spark)
+    orders = t("orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("part"))
+    put = lambda df, n: df.write.mode("append").parquet(f"{folder}/kept")
+    for share in ("part < 2", "part >= 2"):
+        orders.where(share).write.mode("append").parquet(f"{folder}/found")
+        for _ in range(2):
+            resume(t.spark, f"{folder}/found", "o_orderkey long, part long", f"{folder}/state", put)
+    return t.spark.read.parquet(f"{folder}/kept").groupBy("part").agg(F.count("*").alias("n"))

@@ -8,9 +8,37 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def _read(folder: str, name: str) -> object:
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    with system.open_input_stream(f"{path}/{name}") as f:
+        return json.loads(f.read())
+
+
+def put_posts(posts: DataFrame, folder: str) -> None:
+    """Posts (id, modified, content) as the files that the source reads: one for each, written by the tasks, and the listing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with system.open_output_stream(f"{path}/{row['id']}.json") as f:
+                    f.write(json.dumps({"content": row["content"]}).encode())
+            yield batch.select(["id", "modified"])
+
+    # a listing is what the other side sends at once: ids and dates
+    listing = [{"id": r["id"], "modified": r["modified"]} for r in posts.select("id", "modified", "content").mapInArrow(run, "id long, modified string").toLocalIterator()]
+    system, path = fs.FileSystem.from_uri(folder)
+    with system.open_output_stream(f"{path}/listing.json") as f:
+        f.write(json.dumps(listing).encode())
+
+
 class Posts(DataSource):
     """Options: path (folder with listing.json and one JSON file for each id), ids (comma-separated; all if absent),
     bodies ("true" to fetch them), batch (ids of one partition, 50 by default)."""
@@ -39,8 +67,7 @@ class _Reader(DataSourceReader):
         self.ids = [int(x) for x in options["ids"].split(",")] if options.get("ids") else None
 
     def _listing(self) -> dict[int, str]:
-        with open(f"{self.path}/listing.json", encoding="utf-8") as f:
-            return {int(p["id"]): p["modified"] for p in json.load(f)}
+        return {int(p["id"]): p["modified"] for p in _read(self.path, "listing.json")}
 
     def partitions(self) -> list[_Batch]:
         ids = sorted(self._listing() if self.ids is None else self.ids)
@@ -51,8 +78,4 @@ class _Reader(DataSourceReader):
         for i in partition.ids:
             if i not in known:
                 continue
-            body = None
-            if self.bodies:
-                with open(f"{self.path}/{i}.json", encoding="utf-8") as f:
-                    body = json.load(f)["content"]
-            yield i, known[i], body
+            yield i, known[i], _read(self.path, f"{i}.json")["content"] if self.bodies else None
