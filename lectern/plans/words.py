@@ -9,6 +9,7 @@ from lectern.functions import text as X
 from lectern.functions.points import vowel_words
 from lectern.operators.readings import readings
 from lectern.operators.research import cited_pages
+from lectern.operators.respelling import respell
 from lectern.plans.views import TALKS, talks
 from lectern.registry import query
 
@@ -86,3 +87,13 @@ def research(t):
     cited = t("pages").select((F.col("page_id") % 40).alias("run"), F.col("page_id").alias("at"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.substring(text, (1 + F.col("page_id") % 50).cast("int"), F.lit(60)).alias("cited"))
     hosts = t("pages").select(X.host_of(F.col("url")).alias("host")).distinct().where("length(host) % 2 = 0").select("host", F.upper("host").alias("site"))
     return cited_pages(cited, hosts, 5, 300)
+
+
+LEXICON = [("the", "thuh", False), ("of the", "uv thuh", False), ("and", "und", False), ("in", "een", True), ("Was", "Wuz", True)]
+
+
+@query("respelled", "F41", None)
+def respelled(t):
+    """Every line of talk with a few words put as they are said."""
+    lines = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return respell(lines, t.values(LEXICON, "written string, say string, exact boolean"))

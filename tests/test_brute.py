@@ -176,3 +176,27 @@ def test_sun_of_known_days(spark):
     row = spark.createDataFrame([("2024-06-21", 31.778, 35.235), ("2024-06-21", 78.2, 15.6)], "d string, lat double, lon double").withColumn("t", day_times(F.to_date("d"), F.col("lat"), F.col("lon"))).orderBy("lat").collect()
     # Jerusalem at the solstice: 5:34 and 19:47 by summer time, three hours ahead; no sunset far in the north
     assert abs(row[0].t.sunrise - (2 * 60 + 34)) < 2 and abs(row[0].t.sunset - (16 * 60 + 47)) < 2 and row[1].t.sunset is None and row[1].t.chatzot is not None
+
+
+def test_respelling(spark):
+    """One pattern over each text, longest spelling first, gives the same."""
+    import regex
+
+    from lectern.operators.respelling import respell
+    from lectern.plans.words import LEXICON
+
+    by = {w.lower(): (w, say, exact) for w, say, exact in LEXICON}
+    pattern = regex.compile(r"(?<![\p{L}'-])(" + "|".join(regex.escape(w).replace("\\ ", r"\s+") for w in sorted(by, key=len, reverse=True)) + r")(?![\p{L}-])", regex.I)
+
+    def say(m):
+        w, said, exact = by[" ".join(m[0].lower().split())]
+        if exact and " ".join(m[0].split()) != w:
+            return m[0]
+        return " ".join(x[:1].upper() + x[1:] for x in said.lower().split(" ")) if m[0][:1].isupper() else said.lower()
+
+    own = ["", "The end of  the world's and-or AND in In was Was", "the the", "o'the of the-x of the", "\u00e9the the\u00e9 the.", None]
+    lines = [(r.conv_id * 1000 + r.turn, r.text) for r in table(spark, "conversations")] + list(enumerate(own, 10**7))
+    got = {r.id: r.text for r in respell(spark.createDataFrame(lines, "id long, text string"), spark.createDataFrame(LEXICON, "written string, say string, exact boolean")).collect()}
+    assert len(got) == len(lines)
+    for i, text in lines:
+        assert got[i] == (None if text is None else pattern.sub(say, text)), text
