@@ -179,10 +179,10 @@ def links_among(pairs: DataFrame, held: DataFrame, words: int = WORDS, percent:
 
 def _blocks(words: int, percent: int, miss: float):
     """Links between documents of different components in a block; of those only what joins components."""
-    names = ("node", "component", "side", "sig", "text")
+    names = ("node", "component", "side", "sig")
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, group, side, sigs, texts = zip(*rows, strict=True)
+        ids, group, side, sigs, sets = zip(*rows, strict=True)
         root = {c: c for c in group}
 
         def find(c: int) -> int:
@@ -192,8 +192,7 @@ def _blocks(words: int, percent: int, miss: float):
             return c
 
         sig = np.frombuffer(b"".join(sigs), dtype="<u2").reshape(len(rows), -1)
-        values, bounds = shingle_sets([(t or "").encode() for t in texts], words)
-        sizes, sides = np.diff(bounds), np.array(side)
+        sizes, sides = np.array(list(map(len, sets))), np.array(side)
         steps = [(hi, least_matches(hi, percent, miss)) for hi in range(60, sig.shape[1] + 1, 60)]
         across = sides.min() != sides.max()
         out = []
@@ -208,23 +207,24 @@ def _blocks(words: int, percent: int, miss: float):
                 agree = agree + (sig[other, lo:hi] == sig[x, lo:hi]).sum(axis=1)
                 stay = agree >= need
                 other, agree, lo = other[stay], agree[stay], hi
-            mine = values[bounds[x] : bounds[x + 1]]
             for y in other[np.argsort(-agree, kind="stable")].tolist():
                 a, b = find(group[x]), find(group[y])
-                if a != b and linked(mine, values[bounds[y] : bounds[y + 1]], percent):
+                if a != b and linked(sets[x], sets[y], percent):
                     root[max(a, b)] = min(a, b)
                     out.append((ids[x], ids[y]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a block's texts only their sets are kept
         key, held = None, []
         for batch in slices(batches, "text", 1 << 20):
+            values, bounds = shingle_sets(as_bytes(batch.column("text")), words)
             out: list[tuple[int, int]] = []
-            for k, row in zip(batch.column("block").to_pylist(), zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
+            for n, (k, *row) in enumerate(zip(batch.column("block").to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True)):
                 if k != key:
                     out += solve(held) if held else []
                     key, held = k, []
-                held.append(row)
+                held.append((*row, values[bounds[n] : bounds[n + 1]].copy()))
             yield _pairs(out)
         yield _pairs(solve(held) if held else [])
 
