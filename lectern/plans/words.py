@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import layout as Y
 from lectern.functions import text as X
 from lectern.functions.points import vowel_words
+from lectern.functions.segments import line_segments
 from lectern.operators.readings import readings
 from lectern.operators.research import cited_pages
 from lectern.operators.respelling import respell
@@ -97,3 +98,12 @@ def respelled(t):
     """Every line of talk with a few words put as they are said."""
     lines = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return respell(lines, t.values(LEXICON, "written string, say string, exact boolean"))
+
+
+@query("line_segments", "F51", """
+SELECT * FROM (VALUES (1, 0, 'gender', 'מוֹדֶה/מוֹדָה/', 'speaker'), (1, 1, 'text', ' אֲנִי', NULL), (2, 0, 'rise', '▴', NULL), (2, 1, 'text', 'Holy ', NULL), (2, 2, 'response', '(All: Amen)', 'All'),
+ (3, 0, 'text', 'a ', NULL), (3, 1, 'when', '/In winter: rain./', 'In winter'), (3, 2, 'text', ' b/c: d/', NULL), (4, 0, 'gender', 'בֶּן/בַּת', 'other')) v(id, n, kind, text, label)""")
+def segmented(t):
+    rows = t.values([(1, "מוֹדֶה/מוֹדָה/ אֲנִי"), (2, "▴Holy (All: Amen)"), (3, "a /In winter: rain./ b/c: d/"), (4, "בֶּן/בַּת"), (5, "")], "id int, line string")
+    each = rows.select("id", F.posexplode(line_segments(["In winter", "In summer"])("line")).alias("n", "s"))
+    return each.select("id", "n", "s.kind", "s.text", "s.label")

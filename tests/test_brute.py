@@ -200,3 +200,13 @@ def test_respelling(spark):
     assert len(got) == len(lines)
     for i, text in lines:
         assert got[i] == (None if text is None else pattern.sub(say, text)), text
+
+
+def test_segments_keep_the_line():
+    from lectern.functions.segments import gender_pair, segments
+
+    for line in ("", "/x", "\u25be\u05d1\u05e8\u05d5\u05da /On a day: said this/ (Cong.: Amen) end", "\u05d0\u05d1\u05d2/\u05d3\u05d4\u05d5 \u05d0\u05d1\u05d2/\u05d0\u05d1\u05d3", "a/b: c/d: e/"):
+        got = segments(line, {"On a day"})
+        assert "".join(x[1] for x in got) == line
+    assert [x[0] for x in segments("\u25be\u05d1\u05e8\u05d5\u05da /On a day: said this/ (Cong.: Amen) end", {"On a day"})] == ["bow", "text", "when", "text", "response", "text"]
+    assert gender_pair("\u05dc\u05d7\u05d5\u05dc\u05d4", "\u05dc\u05d7\u05d5\u05dc\u05d4") == "other" and gender_pair("\u05d0", "\u05d0") is None and gender_pair("\u05d0\u05d1\u05d2", "\u05d3\u05d4\u05d5") is None
