@@ -15,21 +15,25 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def gram_keys(words: Column, n: int) -> Column:
-    """All distinct runs of n words as pairs of 64-bit hashes; no run is spelt out."""
-    key = lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(words, i, n)).alias("g"))
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), key))).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>"))
+def hashed(run: Column) -> list[Column]:
+    """A run of words as two 64-bit hashes, which is what is shuffled."""
+    return [F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("g")]
+
+
+def runs_in(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, h, g), one row for each distinct run of n words of rows (key, w)."""
+    each = rows.select(key, F.explode(F.array_distinct(grams(F.col("w"), n))).alias("run"))
+    return each.select(key, *hashed(F.col("run")))
 
 
 def _holders(keys: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(item_id, doc_id) where a document (doc_id, w) has a run of n words that is a key (item_id, key).
+    """(item_id, doc_id) where a document (doc_id, w) has a run of n words that is a key (item_id, h, g).
 
     Of the documents' runs only those that are keys leave their task if the keys are few enough to go to every task.
     """
-    wanted = keys.select("key.*").distinct()
-    runs = docs.select("doc_id", F.explode(gram_keys(F.col("w"), n)).alias("key")).select("doc_id", "key.*")
-    met = runs.join(F.broadcast(wanted) if _small(wanted) else wanted, ["h", "g"], "left_semi")
-    return met.join(keys.select("item_id", "key.*"), ["h", "g"]).select("item_id", "doc_id").distinct()
+    wanted = keys.select("h", "g").distinct()
+    met = runs_in(docs, "doc_id", n).join(F.broadcast(wanted) if _small(wanted) else wanted, ["h", "g"], "left_semi")
+    return met.join(keys, ["h", "g"]).select("item_id", "doc_id").distinct()
 
 
 def quotes_in(quotes: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFrame:
@@ -43,9 +47,11 @@ def quotes_in(quotes: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFra
     d = docs.select("doc_id", squash(F.col("text")).alias("text"))
     split = d.select("doc_id", F.split("text", " ").alias("w"))
     # the first and last word of a quote may be cut inside a document's word
-    inner = lambda n: F.struct(F.xxhash64(F.slice("w", 2, n)).alias("h"), F.xxhash64(F.lit(n), F.slice("w", 2, n)).alias("g")).alias("key")
+    inner = lambda n: hashed(F.array_join(F.slice("w", 2, n), " "))
     long_, middle, short = (q.where(F.expr(c)) for c in (f"size(w) >= {key_words + 2}", f"size(w) between 3 and {key_words + 1}", "size(w) < 3"))
-    hits = _holders(long_.select("item_id", inner(key_words)), split, key_words).unionByName(_holders(middle.select("item_id", inner(1)), split, 1))
+    hits = _holders(long_.select("item_id", *inner(key_words)), split, key_words)
+    if not middle.isEmpty():
+        hits = hits.unionByName(_holders(middle.select("item_id", *inner(1)), split, 1))
     found = hits.join(q.select("item_id", "quote"), "item_id").join(d, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
     if short.isEmpty():
         return found
@@ -59,7 +65,7 @@ def sharing(quotes: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
     """
     q = quotes.select("item_id", squash(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
     d = docs.select("doc_id", squash(F.col("text")).alias("text"))
-    hits = _holders(q.select("item_id", F.explode(gram_keys(F.col("w"), run)).alias("key")), d.select("doc_id", F.split("text", " ").alias("w")), run)
+    hits = _holders(runs_in(q, "item_id", run), d.select("doc_id", F.split("text", " ").alias("w")), run)
     short = q.where(F.size("w") < run).select("item_id", "quote")
     return hits if short.isEmpty() else hits.unionByName(d.join(short, F.contains("text", "quote")).select("item_id", "doc_id"))
 
@@ -75,7 +81,7 @@ def twins(passages: DataFrame, run: int) -> DataFrame:
     Pairs come from runs held by two passages or more; a run as common as ``many`` passages would be paired out, so
     each run links its holders to the first of them, which keeps the groups and stays linear.
     """
-    runs = passages.select("ref", F.explode(gram_keys(F.col("words"), run)).alias("run")).select("ref", "run.*")
+    runs = runs_in(passages.withColumnRenamed("words", "w"), "ref", run)
     first = runs.groupBy("h", "g").agg(F.min("ref").alias("other"), F.count("*").alias("n")).where("n > 1")
     return runs.join(first, ["h", "g"]).where("ref <> other").groupBy("ref", "other").agg(F.count("*").alias("shared"))
 
