@@ -244,9 +244,11 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     classes = cut(classes.select("digest", "least.*", F.monotonically_increasing_id().alias("node")))
     where = ["digest", "doc_id", "raw"]
 
-    each = signed.select(*where, "bands").join(classes, where).dropDuplicates(where)
+    each = cut(signed.select(*where, "bands").join(classes, where).dropDuplicates(where).select("node", "bands"))
+    release(docs.sparkSession)
     # keys of different bands differ by their seed
     member = _mixed(each.select("node", F.explode("bands").alias("key")), "node")
+    del each
     release(docs.sparkSession)
     # only classes that share a bucket with another go on, with their signatures and texts
     some = cut(classes.join(member.select("node").distinct(), "node", "left_semi"))
@@ -282,9 +284,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: i
 
 
 def _mixed(member: DataFrame, by: str) -> DataFrame:
-    """The buckets whose members differ in ``by``, each member with the bucket's smallest node as ``pivot``."""
+    """The buckets whose members differ in ``by``, each member with the bucket's smallest node as ``pivot``.
+
+    A crowd of near copies shares its keys; the buckets are written before members join them, so that the crowd's rows
+    can be split.
+    """
     several = member.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.min("node").alias("pivot")).where("lo <> hi").select("key", "pivot")
-    return cut(member.join(several, "key"))
+    return cut(member.join(cut(several), "key"))
 
 
 def _across(member: DataFrame, held: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
