@@ -313,7 +313,8 @@ def read_shards(manifest: DataFrame, folder: str, at_once: int = 4 << 20) -> Dat
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return manifest.select("file", "start", "width", "shard").repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # as many tasks as shards: rows of a manifest are small, and dealt out by their size they would all go to one
+    return manifest.select("file", "start", "width", "shard").repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20) -> DataFrame:
