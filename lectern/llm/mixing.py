@@ -35,8 +35,8 @@ from lectern.llm.shingles import mix
 
 LENGTH, SEED, LIMIT = 128, 20_240, 3
 WEIGHTS = (1, 2, 3)
-#: Rows of a bucket, about.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, about, and buckets of a source, at least.
+BUCKET_ROWS, BUCKETS = 20_000, 256
 #: Slots of one output shard; the last shard may have fewer.
 SHARD = 1024
 #: Up to so many slots a split is drawn; beyond, its noise would be below a ten-thousandth and it is even.
@@ -159,7 +159,7 @@ class Mix:
     def __init__(self, docs: DataFrame, length: int = LENGTH, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = SEED, shard_blocks: int = SHARD):
         self.length, spark = length, docs.sparkSession
         narrow = cut(docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("digest")))
-        buckets = max(16, -(-narrow.count() // BUCKET_ROWS))
+        buckets = max(BUCKETS, -(-narrow.count() // BUCKET_ROWS))
         narrow = narrow.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
         dealt = cut(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("held")))
         self.sources = cut(targets(dealt.groupBy("source").agg(F.sum("held").alias("source_size")), weights, limit))
