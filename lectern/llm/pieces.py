@@ -148,9 +148,12 @@ class Encoder:
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_stretch = self.model.separable()
 
-    def _empty(self) -> dict[str, tuple[bytes, bool, bool]]:
-        """A marker alone, as after a space at the end, is a stretch without further characters."""
-        return {"": (b"".join(struct.pack("<I", i) for i, p in enumerate(self.model.pieces) if p[0] == MARK), True, True)}
+    def _empty(self) -> dict[str, bytes | tuple[bytes, bool, bool]]:
+        """A marker alone, as after a space at the end, is a stretch without further characters.
+
+        A stretch that passed both checks is kept as its ids alone, which is nearly all of them.
+        """
+        return {"": b"".join(struct.pack("<I", i) for i, p in enumerate(self.model.pieces) if p[0] == MARK)}
 
     def _whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,21 +173,25 @@ class Encoder:
         split = [stretches(t) if t else [] for t in texts]
         new = list({s for row in split for s in row} - self.known.keys())
         if new:
-            self.known |= zip(new, self._whole(new), strict=True)
+            self.known |= {s: got[0] if got[1] and got[2] else got for s, got in zip(new, self._whole(new), strict=True)}
         known, out = self.known, []
         for row in split:
             parts = [known[s] for s in row]
-            out.append((b"".join([p[0] for p in parts]), all([p[1] for p in parts]), all([p[2] for p in parts])))
+            try:
+                out.append((b"".join(parts), True, True))
+            except TypeError:  # some stretch failed a check
+                full = [p if isinstance(p, tuple) else (p, True, True) for p in parts]
+                out.append((b"".join([p[0] for p in full]), all(p[1] for p in full), all(p[2] for p in full)))
         return out
 
-    _kept: dict[tuple[int, int], Encoder] = {}
+    _kept: dict[tuple[int, int, int], Encoder] = {}
 
     @classmethod
-    def kept(cls, data: bytes) -> Encoder:
+    def kept(cls, data: bytes, room: int = 300_000) -> Encoder:
         """The encoder of a model in this process; tasks that follow each other share what it knows."""
-        key = (len(data), zlib.crc32(data))
+        key = (len(data), zlib.crc32(data), room)
         if key not in cls._kept:
-            cls._kept = {key: cls(data)}
+            cls._kept = {key: cls(data, room)}
         return cls._kept[key]
 
     def decode(self, ids: list[int]) -> str:
@@ -224,12 +231,15 @@ def encode_documents(docs: DataFrame, model: bytes, threads: int = 2) -> DataFra
     return restrict(docs, "doc_id", "text").mapInArrow(run, _OUT)
 
 
-def encoded(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
-    """``docs`` (doc_id, source, text) as (doc_id, source, ids array<int>): the operator's real output."""
+def encoded(docs: DataFrame, model: bytes, threads: int = 2, room: int = 100_000) -> DataFrame:
+    """``docs`` (doc_id, source, text) as (doc_id, source, ids array<int>): the operator's real output.
+
+    As the last of several stages it shares its workers' memory with them, so it remembers fewer stretches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        encoder = Encoder.kept(model)
+        encoder = Encoder.kept(model, room)
         for batch in slices(batches, "text"):
             got = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array([np.frombuffer(g[0], dtype="<u4").astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] and g[2] for g in got])], names=["doc_id", "source", "ids", "verified"])

@@ -109,7 +109,7 @@ class Featuriser:
     summed at once.
     """
 
-    def __init__(self, lexicon: dict[str, float], room: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], room: int = 100_000):
         self.lexicon, self.room = lexicon, room
         self.words, self.table = Words(lexicon), np.zeros((0, WORD_COLUMNS))
 
