@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, lang_id, mixing, near_dedup, page_text, pieces, ppm, prefix_prints, records, toxicity
+from lectern.llm import exact_dedup, lang_id, mixing, near_dedup, page_text, pieces, ppm, prefix_prints, records, toxicity, vector_codes, whitening
 from lectern.llm.common import table
 
 
@@ -60,13 +60,21 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, pipeline)
+_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, op12_whitening, op13_vector_codes, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op13_vector_codes": vector_codes.oracle()}
