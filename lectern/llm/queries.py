@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, lang_id, mixing, near_dedup, page_text, pieces, ppm, prefix_prints, records, toxicity, vector_codes, whitening
+from lectern.llm import cutting, exact_dedup, lang_id, mixing, near_dedup, page_text, pieces, ppm, prefix_prints, records, toxicity, vector_codes, whitening
 from lectern.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        return cutting.pack(table(spark, sf_dir, "documents"), f.read(), end_id=1)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, op12_whitening, op13_vector_codes, pipeline)
+_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, op11_cutting_stock, op12_whitening, op13_vector_codes, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
