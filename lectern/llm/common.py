@@ -61,12 +61,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: The setting that lets Spark's cleaner remove the files of checkpoints that nothing refers to any more.
+CLEANS = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; survives the loss of any executor."""
+    """``df`` computed once and kept in the shared folder; survives the loss of any executor.
+
+    Spark by default never removes the files of a checkpoint. It looks at the setting for that when it writes one, so
+    it is turned on here unless the application has set it.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing(CLEANS, "true")
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote and that no one will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files and checkpoints of steps that nothing refers to any more.
 

@@ -16,8 +16,8 @@ With 60 bands of 6 rows a pair at similarity 0.75 meets in no band with probabil
 Aggregates that a join by a hot key needs are written first, so that adaptive execution can split the hot key's rows.
 Texts move once for all documents and then only those of candidates.
 
-Defined results: a null or blank text has an empty set, is linked with nothing and is kept; a null doc_id is left out
-of links and is its own component; rows that repeat a doc_id with another text are linked by their own texts; repeated
+Defined results: a null or blank text has an empty set, is linked with nothing and is kept; a row with a null doc_id
+carries links like any other, and the smallest id reachable is null only where no row reached has one; rows that repeat a doc_id with another text are linked by their own texts; repeated
 rows and equal texts are one class; texts of any length are read whole, in batches by bytes; extra columns are ignored;
 an empty table gives no rows.
 """
@@ -235,13 +235,14 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     """(doc_id, raw, n_shingles, label, component_id), a row for each row of ``docs`` (doc_id, text).
 
     ``raw`` is a hash of the text as it is; ``label`` is the component's number, null for a row that is linked with nothing by
-    definition (no words, or no doc_id).
+    definition (no words).
     """
-    docs = restrict(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
+    docs = restrict(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("raw"))
     signed = cut(docs.mapInArrow(_sign(words, bands, rows), _SIG))
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("least"))
+    known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("least"), F.min(known).alias("named"))
     # numbers are given once and written, so that they are the same ever after
-    classes = cut(classes.select("digest", "least.*", F.monotonically_increasing_id().alias("node")))
+    classes = cut(classes.select("digest", "least.*", "named", F.monotonically_increasing_id().alias("node")))
     where = ["digest", "doc_id", "raw"]
 
     each = cut(signed.select(*where, "bands").join(classes, where).dropDuplicates(where).select("node", "bands"))
@@ -252,7 +253,7 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     release(docs.sparkSession)
     # only classes that share a bucket with another go on, with their signatures and texts
     some = cut(classes.join(member.select("node").distinct(), "node", "left_semi"))
-    sigs = signed.select(*where, "n_shingles", "sig").join(some, where).dropDuplicates(where).select("doc_id", "raw", "node", "n_shingles", "sig")
+    sigs = signed.select(*where, "n_shingles", "sig").join(some.drop("named"), where).dropDuplicates(where).select("doc_id", "raw", "node", "n_shingles", "sig")
     held = cut(docs.join(sigs, ["doc_id", "raw"]).dropDuplicates(["doc_id", "raw"]).select("node", "n_shingles", "sig", "text"))
     release(docs.sparkSession)
 
@@ -268,13 +269,12 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
         del joined, member, held
         release(docs.sparkSession)
         group = group if more.isEmpty() else components(found.unionByName(more))
-    least = cut(group.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    least = cut(group.join(classes, "node").groupBy("component").agg(F.min("named").alias("component_id")))
     group = group.join(least, "component")
-    of_class = cut(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    narrow = signed.select("doc_id", "raw", "n_shingles", "digest")
-    alone = "digest is null or doc_id is null"
-    linked_ = narrow.where(f"not ({alone})").join(of_class, "digest").select("doc_id", "raw", "n_shingles", "label", "component_id")
-    return linked_.unionByName(narrow.where(alone).select("doc_id", "raw", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
+    of_class = cut(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "named").alias("component_id")))
+    narrow = signed.select(known.alias("doc_id"), "raw", "n_shingles", "digest")
+    linked_ = narrow.where("digest is not null").join(of_class, "digest").select("doc_id", "raw", "n_shingles", "label", "component_id")
+    return linked_.unionByName(narrow.where("digest is null").select("doc_id", "raw", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, cut, fold_of, release, restrict, slices, text_bytes
-from lectern.llm.shingles import BASE, INVERSE, _table, mix
+from lectern.llm.shingles import span_hashes
 
 ORDER = 5
 #: What each distinct symbol of a context gives to the escape.
@@ -116,14 +116,11 @@ def words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): 64-bit hashes of each text's words in order and of its end."""
     data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     lengths = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", BASE, len(data))[: len(data)], out=prefix[1:])
-        stop = np.flatnonzero((data == 32) | (data == END))
-        start = np.r_[0, stop[:-1] + 1]
-        # the end of a text is a token too; an empty text has it alone
-        word = stop > start
-        value = mix((prefix[stop] - prefix[start]) * _table("down", INVERSE, len(data) + 1)[start])
+    stop = np.flatnonzero((data == 32) | (data == END))
+    start = np.r_[0, stop[:-1] + 1]
+    # the end of a text is a token too; an empty text has it alone
+    word = stop > start
+    value = span_hashes(data, start, stop)
     last = data[stop] == END
     order = np.argsort(np.r_[np.flatnonzero(word) * 2, np.flatnonzero(last) * 2 + 1], kind="stable")
     hashes = np.r_[value[word], np.zeros(int(last.sum()), dtype=np.uint64)][order]

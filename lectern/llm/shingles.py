@@ -1,33 +1,29 @@
 """Vectorised word shingles: 64-bit hashes of every run of k words of a batch of texts.
 
-Words are the runs without white space of the text with A-Z in lower case. A prefix polynomial over all bytes of the
-batch (modulo 2^64, odd base, so that shifts can be undone by the inverse base) gives the hash of any span of words
-with single spaces between; a finaliser then mixes the bits. No Python loop runs over words.
+Words are the runs without white space of the text with A-Z in lower case. Prefix polynomials over all bytes of the
+batch, modulo two primes of 31 bits, give the hash of any span of words with single spaces between; a finaliser then
+mixes the bits. (Modulo a power of two there are words that collide whatever the base.) No Python loop runs over words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+BASES = (1_402_024_253, 918_273_645)
+#: Bytes up to which sums of terms below 2^40 fit 64 bits; beyond it terms are reduced first.
+PLAIN = 1 << 23
 
+_CACHE: dict[tuple[int, int], np.ndarray] = {}
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_CACHE: dict[str, np.ndarray] = {}
 
-
-def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_CACHE.get(name, ())) < n:
-        _CACHE[name] = _powers(base, max(n, 1 << 16))
-    return _CACHE[name]
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """The first n powers of ``base`` or more, kept for the next batch."""
+    held = _CACHE.get((base, prime), np.ones(1, dtype=np.uint64))
+    while len(held) < n:
+        held = np.concatenate([held, held * np.uint64(pow(base, len(held), prime)) % np.uint64(prime)])
+    _CACHE[base, prime] = held
+    return held
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +34,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each span data[lo:hi] of bytes, which depends on these bytes alone."""
+    out = np.zeros(len(lo), dtype=np.uint64)
+    for prime, base in zip(PRIMES, BASES, strict=True):
+        term = (data.astype(np.uint64) + np.uint64(1)) * _powers(base, prime, len(data))[: len(data)]
+        if len(data) > PLAIN:
+            term %= np.uint64(prime)
+        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(term, out=prefix[1:])
+        back = _powers(pow(base, -1, prime), prime, len(data) + 1)[lo]
+        out = out << np.uint64(32) | (prefix[hi] - prefix[lo]) % np.uint64(prime) * back % np.uint64(prime)
+    return mix(out)
+
+
 def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingle hashes of text i, ascending, are hashes[bounds[i]:bounds[i + 1]].
 
@@ -47,9 +57,6 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
     data = np.frombuffer(b" ".join(bodies) + b" ", dtype=np.uint8)
     lengths = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
     offsets = np.cumsum(lengths + 1) - lengths - 1
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", BASE, len(data))[: len(data)], out=prefix[1:])
     blank = data == 32
     ends = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
     starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
@@ -61,8 +68,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
     begin = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
     end = begin + np.minimum(words[owner], k) - 1
     lo, hi = starts[begin] if len(begin) else begin, ends[end] if len(end) else end
-    with np.errstate(over="ignore"):
-        value = mix((prefix[hi] - prefix[lo]) * _table("down", INVERSE, len(data))[lo])
+    value = span_hashes(data, lo, hi)
     # sorted in place, document by document: owner is ascending already
     edges = np.r_[np.cumsum(count) - count, len(value)]
     for lo_, hi_ in zip(edges.tolist(), edges[1:].tolist(), strict=False):

@@ -205,3 +205,63 @@ def test_many_labels_meet_by_salt(spark, monkeypatch):
     plain = sorted(map(str, vector_codes.encode(vectors_of(spark, rows)).collect()))
     monkeypatch.setattr(vector_codes, "LABELS", 2)
     assert sorted(map(str, vector_codes.encode(vectors_of(spark, rows)).collect())) == plain
+
+
+# ---------------------------------------------------------------- hashes, links through rows without an id, checkpoints
+
+
+def complements(n):
+    """Two words of 2^n letters that agree under any polynomial hash modulo a power of two."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_complementary_words_stay_apart(spark):
+    from lectern.llm import near_dedup, ppm
+    from lectern.llm.shingles import shingle_sets
+
+    one, two = complements(11)
+    values, bounds = shingle_sets([one.encode(), two.encode(), b"x " + one.encode()])
+    assert len(set(values.tolist())) == 3
+    hashes, _ = ppm.words([one.encode() + bytes([ppm.END]), two.encode() + bytes([ppm.END])])
+    assert len(set(hashes.tolist())) == 3  # both words and the end
+    rows = near_dedup.near_groups(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()
+    assert all(r["kept"] for r in rows)
+
+
+def test_rows_without_an_id_carry_links(spark):
+    from lectern.llm import near_dedup
+
+    words = [f"w{i}" for i in range(120)]
+    chain = [words[:100], words[8:108], words[16:116]]
+    docs = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (2, " ".join(chain[2])), (None, "quite apart from these here"), (7, "another text on its own")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (2, 1, False), (None, None, True), (7, 7, True)], key=str)
+    left = near_dedup.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]) for r in left)) == ["1", "7", "None"]
+
+
+def test_checkpoints_do_not_pile_up(spark):
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from lectern.llm.common import cut, release, shared_dir
+
+    home = Path(urlparse(shared_dir(spark)).path)
+
+    def held():
+        return sum(p.stat().st_size for p in home.rglob("*") if p.is_file())
+
+    sizes = []
+    for _ in range(4):
+        before = cut(spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")))
+        assert before.count() == 200_000
+        del before
+        for _ in range(20):
+            release(spark)
+            time.sleep(0.2)
+        sizes.append(held())
+    assert max(sizes) - min(sizes) < 1_000_000
