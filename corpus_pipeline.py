@@ -1,8 +1,11 @@
 """The corpus pipeline: documents to token ids in five stages.
 
 Each stage takes what its predecessor kept, is written as Parquet in the folder that the session shares with its
-executors, and is read again. ``ORACLE_SQL`` is None: stages such as the classifier have no SQL form; the stages are
+executors, and is read again; a stage's table goes when the next one is written. ``ORACLE_SQL`` is None: stages such as the classifier have no SQL form; the stages are
 tested against brute-force versions instead.
+
+Defined results: what the operators state of null, empty and very long texts, ties, repeated rows and extra columns holds for
+each stage; a null doc_id is a document like any other in every stage; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from lectern.llm.common import shared_dir, small_batches, table
+from lectern.llm.common import release, remove, shared_dir, small_batches, table
 
 ORACLE_SQL = None
 
@@ -56,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{n}")
         docs = spark.read.parquet(f"{home}/{n}")
+        if n:
+            remove(spark, f"{home}/{n - 1}")
+        release(spark)
     return docs
