@@ -61,3 +61,12 @@ def order_linked(pairs: DataFrame, anchors: DataFrame, tier: Column, pos: Column
     pick = lambda table: F.element_at(F.array(*map(F.lit, table)), F.col("tier") + 1)
     scored = placed.withColumn("score", pick(BASE) + turn * pick(STEP))
     return scored.orderBy("score", "tier", "anchor_index", "pos", "seen", "key").limit(most).select("other", "tier", "score")
+
+
+def turns(tiered: DataFrame) -> DataFrame:
+    """(anchor, other, n): for every anchor the order in which to open its linked lines, by (tier, pos); lines of one book take turns."""
+    placed = tiered.withColumn("book", R.book_of(F.col("other"))).withColumn("key", R.place_key(R.place_of(F.col("other"))))
+    turn = F.row_number().over(Window.partitionBy("anchor", "book").orderBy("tier", "key", "other")) - 1
+    pick = lambda table: F.element_at(F.array(*map(F.lit, table)), F.col("tier") + 1)
+    scored = placed.withColumn("score", pick(BASE) + turn * pick(STEP))
+    return scored.select("anchor", "other", F.row_number().over(Window.partitionBy("anchor").orderBy("score", "tier", "pos", "other")).alias("n"))

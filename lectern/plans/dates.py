@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates as D
 from lectern.functions import hebrew_calendar as H
+from lectern.functions import portions as P
 from lectern.functions import sun as S
 from lectern.registry import query
 
@@ -49,7 +50,7 @@ def month_grid(t):
     return days.join(own, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("portions_by_day", "D14 D19 D20 D21 D22", """
+@query("portions_by_day", "D21 D22", """
 WITH p(d, portion) AS (VALUES (0, '1-9'), (1, '10-17'), (2, '18-22'), (3, '23-28'), (4, '29-34'))
 SELECT o_orderkey, portion, CASE WHEN extract(hour FROM o_orderdate) < 12 THEN 'morning' ELSE 'evening' END AS service FROM orders JOIN p ON extract(day FROM o_orderdate) % 5 = d""")
 def portions(t):
@@ -117,3 +118,64 @@ def day_times(t):
     places = F.broadcast(t.values([("Jerusalem", 31.778, 35.235), ("London", 51.5, -0.12)], "place string, lat double, lon double"))  # a fixed few
     days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().crossJoin(places).withColumn("s", S.day_times(F.col("day"), F.col("lat"), F.col("lon")))
     return days.select("day", "place", *[F.round(F.col(f"s.{x}"), 3).alias(x) for x in ("sunrise", "shma", "shma_mga", "chatzot", "plag", "sunset", "tzeit")])
+
+
+# The weekly portions as tables: Sabbaths of cycles cut into stretches, and portions dealt to them in order.
+_NAMES = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in P.PORTIONS) + "]"
+_PORTIONS = f"""
+s0 AS (SELECT y, m, start + i AS dn, i + 1 AS d FROM months, generate_series(0, 29) g(i) WHERE i < days AND (start + i) % 7 = 2),
+s1 AS (SELECT il, dn, y - (m = 7 AND d <= CASE WHEN il THEN 22 ELSE 23 END)::INT AS cyc,
+  CASE WHEN m = 7 AND d <= CASE WHEN il THEN 22 ELSE 23 END THEN 5 WHEN m >= 7 OR (m = 1 AND d < 15) THEN 1 WHEN m < 3 OR (m = 3 AND d < 6) THEN 2 WHEN m < 5 OR (m = 5 AND d <= 9) THEN 3 ELSE 4 END AS st,
+  NOT ((m = 7 AND d IN (1, 2, 10)) OR (m = 7 AND d BETWEEN 15 AND 22) OR (m = 1 AND d BETWEEN 15 AND 21) OR (m = 3 AND d = 6) OR (NOT il AND ((m = 7 AND d = 23) OR (m = 1 AND d = 22) OR (m = 3 AND d = 7)))) AS ord FROM s0, (VALUES (false), (true)) v(il)),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY il, cyc, st, ord ORDER BY dn) AS n FROM s1),
+c AS (SELECT il, cyc, (7 * cyc + 1) % 19 < 7 AS lp, count(*) FILTER (ord AND st = 1) AS c1, count(*) FILTER (ord AND st = 2) AS c2, count(*) FILTER (ord AND st = 3) AS c3, count(*) FILTER (ord AND st = 4) AS c4, count(*) FILTER (ord AND st = 5) AS c5 FROM s1 GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN lp THEN c1 ELSE 25 END AS e1, CASE WHEN lp THEN c1 + c2 ELSE 34 END AS e2, 51 + (c5 = 1)::INT AS e4 FROM c),
+sp AS (SELECT il, cyc, 1 AS st, 1 AS a, e1 AS b, c1 AS n FROM e UNION ALL SELECT il, cyc, 2, e1 + 1, e2, c2 FROM e UNION ALL SELECT il, cyc, 3, e2 + 1, 44, c3 FROM e UNION ALL SELECT il, cyc, 4, 45, e4, c4 FROM e UNION ALL SELECT il, cyc, 5, e4 + 1, 53, c5 FROM e),
+pr(st, pref, number) AS (VALUES (1, 1, 22), (2, 1, 27), (2, 2, 29), (2, 3, 32), (3, 1, 42), (3, 2, 39), (4, 1, 51)),
+nu AS (SELECT il, cyc, sp.st, g.number, coalesce(pref <= b - a + 1 - n, false) AS nxt FROM sp JOIN generate_series(1, 53) g(number) ON g.number BETWEEN a AND b LEFT JOIN pr ON pr.st = sp.st AND pr.number = g.number),
+nv AS (SELECT *, coalesce(lag(nxt) OVER (PARTITION BY il, cyc, st ORDER BY number), false) AS second FROM nu),
+rd AS (SELECT il, cyc, st, ({_NAMES})[number] || CASE WHEN nxt THEN '-' || ({_NAMES})[number + 1] ELSE '' END AS portion, row_number() OVER (PARTITION BY il, cyc, st ORDER BY number) AS n FROM nv WHERE NOT second),
+ws AS (SELECT il, dn, portion FROM s2 LEFT JOIN rd USING (il, cyc, st, n) WHERE ord UNION ALL SELECT il, dn, NULL FROM s2 WHERE NOT ord)"""
+
+
+@query("portion_of_week", "D14", f"""
+WITH {_MONTHS}, {_PORTIONS},
+o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT day, date_diff('day', DATE '1970-01-01', day) AS n FROM o), z AS (SELECT day, n + (9 - n % 7) % 7 AS dn FROM x)
+SELECT day, DATE '1970-01-01' + z.dn::INT AS sabbath, a.portion, b.portion AS portion_il FROM z JOIN ws a ON a.dn = z.dn AND NOT a.il JOIN ws b ON b.dn = z.dn AND b.il""")
+def portion_of_week(t):
+    """The portion of the coming Sabbath for each order's day, abroad and in Israel; null on a festival."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).where("day is not null").distinct()
+    span = days.agg(F.min(H.hebrew_date(F.col("day"))["year"]).alias("first"), F.max(H.hebrew_date(F.col("day"))["year"]).alias("last")).first()
+    ends = (span["first"] - 1, span["last"] + 1) if span["first"] else (5784, 5784)
+    days = days.withColumn("sabbath", F.date_add("day", F.pmod(7 - F.dayofweek("day"), F.lit(7))))
+    abroad, there = (P.readings(t.spark, *ends, israel).withColumnsRenamed({"day": "sabbath", "portion": name}) for israel, name in ((False, "portion"), (True, "portion_il")))
+    return days.join(abroad, "sabbath", "left").join(there, "sabbath", "left").select("day", "sabbath", "portion", "portion_il")
+
+
+@query("psalms_by_day", "D19", f"""
+WITH {_MONTHS}, f AS (SELECT days.day, days.d, months.days AS size FROM days JOIN months USING (y, m)), l(a) AS (SELECT ['1-9','10-17','18-22','23-28','29-34','35-38','39-43','44-48','49-54','55-59','60-65','66-68','69-71','72-76','77-78','79-82','83-87','88-89','90-96','97-103','104-105','106-107','108-112','113-118','119:1-96','119:97-176','120-134','135-139','140-144','145-150'])
+SELECT day, CASE WHEN d = 29 AND size = 29 THEN a[29] || ', ' || a[30] ELSE a[d::INT] END AS by_month, (['1-29','30-50','51-72','73-89','90-106','107-119','120-150'])[extract(dow FROM day) + 1] AS by_week FROM f, l""")
+def psalms_by_day(t):
+    """The day's psalms by the two divisions of the book."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("h", H.hebrew_date(F.col("day")))
+    return days.select("day", P.psalms_of_month(F.col("h.day"), P.month_size(F.col("h"))).alias("by_month"), P.psalms_of_week(F.col("day")).alias("by_week"))
+
+
+@query("omitted_days", "D20", f"""
+WITH {_MONTHS.replace("FROM orders)", "FROM orders UNION SELECT DISTINCT CAST(o_orderdate AS DATE) + 1, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 1 FROM orders)")},
+k AS (SELECT y, start FROM months WHERE m = 9),
+r AS (SELECT day, d, m, extract(dow FROM day) AS week, il,
+  CASE WHEN d = 30 OR (d = 1 AND m <> 7) THEN 'Rosh Chodesh' WHEN date_diff('day', DATE '1970-01-01', day) - k.start BETWEEN 24 AND 31 THEN 'Chanukah' WHEN m = 11 AND d = 15 THEN 'Tu BiShvat' WHEN leap AND m = 12 AND d IN (14, 15) THEN 'Purim Katan'
+    WHEN m = CASE WHEN leap THEN 13 ELSE 12 END AND d = 14 THEN 'Purim' WHEN m = CASE WHEN leap THEN 13 ELSE 12 END AND d = 15 THEN 'Shushan Purim' WHEN m = 2 AND ((d = 5 AND extract(dow FROM day) NOT IN (5, 6)) OR (d IN (3, 4) AND extract(dow FROM day) = 4)) THEN 'Yom HaAtzma''ut'
+    WHEN m = 2 AND d = 28 THEN 'Yom Yerushalayim' WHEN m = 2 AND d = 18 THEN 'Lag BaOmer' WHEN m = 5 AND ((d = 9 AND extract(dow FROM day) <> 6) OR (d = 10 AND extract(dow FROM day) = 0)) THEN 'Tisha B''Av' WHEN m = 5 AND d = 15 THEN 'Tu B''Av' END AS whole,
+  CASE WHEN m = 1 THEN 'Nisan' WHEN m = 2 AND d = 14 THEN 'Pesach Sheni' WHEN m = 3 AND (d = 6 OR (d = 7 AND NOT il)) THEN 'Shavuot' WHEN m = 3 AND d <= CASE WHEN il THEN 12 ELSE 8 END THEN 'the days around Shavuot'
+    WHEN m = 7 AND d = 9 THEN 'Erev Yom Kippur' WHEN m = 7 AND d = 10 THEN 'Yom Kippur' WHEN m = 7 AND d BETWEEN 11 AND CASE WHEN il THEN 30 ELSE 24 END THEN 'the days of Sukkot' WHEN m = 7 AND d <= 2 THEN 'Rosh HaShana' WHEN m = 6 AND d = 29 THEN 'Erev Rosh HaShana' END AS own,
+  (m = 7 AND d IN (1, 2, 10, 15, 22)) OR (m = 1 AND d IN (15, 21)) OR (m = 3 AND d = 6) OR (NOT il AND ((m = 7 AND d IN (16, 23)) OR (m = 1 AND d IN (16, 22)) OR (m = 3 AND d = 7))) AS feast
+  FROM days JOIN k USING (y), (VALUES (false), (true)) v(il))
+SELECT a.day, a.il, a.week <> 6 AND a.whole IS NULL AND a.own IS NULL AS morning, a.week NOT IN (5, 6) AND a.whole IS NULL AND a.own IS NULL AND NOT b.feast AND b.whole IS NULL AS afternoon,
+  CASE WHEN a.week = 6 THEN 'Shabbat' WHEN a.whole IS NOT NULL THEN a.whole WHEN a.own IS NOT NULL THEN a.own WHEN a.week = 5 THEN 'Erev Shabbat' WHEN b.feast THEN 'Erev Yom Tov' WHEN b.whole IS NOT NULL THEN 'the afternoon before ' || b.whole END AS why
+FROM r a JOIN r b ON b.day = a.day + 1 AND b.il = a.il WHERE a.day IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""")
+def omitted_days(t):
+    """Whether the supplication is said on each order's day, morning and afternoon, abroad and in Israel, and why not."""
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("il", F.explode(F.array(F.lit(False), F.lit(True))))
+    return days.select("day", "il", P.omission(F.col("day"), F.col("il")).alias("o")).select("day", "il", "o.*")
