@@ -33,10 +33,10 @@ def sabbaths(spark: SparkSession, first: int, last: int, israel: bool) -> DataFr
     year, 5 to the next Tabernacles' end. ordinary is false on festivals and their middle days.
     """
     years = spark.range(first, last + 2).select(F.col("id").alias("year"))
-    # the days 1 to 385 of each year, of which those of the year that are Sabbaths
-    own = years.select("year", H.new_year(F.col("year")).alias("start"), H.new_year(F.col("year") + 1).alias("next"))
-    days = own.select("year", F.explode(F.sequence("start", F.col("next") - 1)).alias("at")).where("pmod(at, 7) = 2").withColumn("day", F.date_from_unix_date(F.col("at").cast("int")))
-    h = days.withColumn("h", H.hebrew_date(F.col("day"))).select("day", "year", "h")
+    # months and days are rows, so that no date is worked out twice
+    months = years.select("year", F.explode(H.month_starts(F.col("year"))).alias("m")).select("year", F.col("m.month").alias("month"), F.col("m.start").alias("start"), F.col("m.days").alias("days"))
+    days = months.select("year", "month", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("days") - 1)).alias("at")).where("pmod(at, 7) = 2")
+    h = days.select(F.date_from_unix_date(F.col("at").cast("int")).alias("day"), "year", F.struct("month", (F.col("at") - F.col("start") + 1).alias("day")).alias("h"))
     month, day = F.col("h.month"), F.col("h.day")
     rest = H._on(F.col("h"), H.REST) | (F.lit(not israel) & H._on(F.col("h"), H.SECOND))
     middle = ((month == 7) & day.between(16, 21)) | ((month == 1) & day.between(16, 20))
