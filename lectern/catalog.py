@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
-from lectern.plans import aggregates, catalogue, dates, joins, lookup, matching, search, state, texts, transforms, windows, words  # noqa: F401
+from lectern.plans import aggregates, catalogue, dates, joins, lookup, matching, phrases, search, state, texts, transforms, windows, words  # noqa: F401
 
 
 def queries() -> dict:
