@@ -9,7 +9,43 @@ from lectern.operators import state as S
 from lectern.registry import query
 
 
-@query("rate_limited", "T1", None)
+# The window of a hit follows from the hit before it, so the plain form goes along each key.
+_LIMITED = """
+WITH RECURSIVE h AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+r AS (SELECT key, ms, id, i, ms AS start, 1::BIGINT AS n FROM h WHERE i = 1
+  UNION ALL SELECT h.key, h.ms, h.id, h.i, CASE WHEN r.start <= h.ms - 3600000 THEN h.ms ELSE r.start END, CASE WHEN r.start <= h.ms - 3600000 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.key = r.key AND h.i = r.i + 1)
+SELECT key, ms, id, n AS count, n <= 5 AS allowed FROM r"""
+
+
+@query("rate_limited_stream", "T1 T3", _LIMITED)
+def rate_limited_stream(t):
+    """The rate limit as a stream whose state expires with the windows."""
+    from lectern.sources.files import work_folder
+    from lectern.streaming.rates import drained, rate_limit
+
+    # a stream reads a table that is one file only by a pattern
+    events = t.spark.readStream.schema(t("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    hits = events.select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("id"))
+    return drained(rate_limit(hits, 5, 3_600_000), work_folder(t.spark))
+
+
+@query("tokens_stream", "T6 T3", """
+WITH u AS (SELECT user_id AS token, epoch_us(ts) // 1000 AS ms, event_id AS id, epoch_us(date_trunc('day', ts)) // 1000 AS issued FROM events),
+f AS (SELECT token, min(ROW(ms, id)) AS m FROM u WHERE ms < issued + 900000 GROUP BY 1)
+SELECT token, ms, id, coalesce(m[1] = ms AND m[2] = id, false) AS accepted FROM u LEFT JOIN f USING (token)""")
+def tokens_stream(t):
+    """Tokens that count once, within a quarter of an hour after they are given out, as a stream."""
+    from lectern.sources.files import work_folder
+    from lectern.streaming.rates import drained, one_time
+
+    events = t.spark.readStream.schema(t("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    uses = events.select(F.col("user_id").alias("token"), ms(F.col("ts")).alias("ms"), F.col("event_id").alias("id"), ms(F.date_trunc("day", "ts")).alias("issued"))
+    # a token here is one user, so it is remembered as long as the table spans
+    return drained(one_time(uses, 900_000), work_folder(t.spark))
+
+
+@query("rate_limited", "T1", _LIMITED)
 def rate_limited(t):
     e = t("events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("id"))
     return S.rate_limited(e, 5, 3_600_000)

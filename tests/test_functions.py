@@ -103,17 +103,41 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(seen) == list(range(8))
 
 
+def stream_in_steps(spark, tmp_path, make, steps, schema):
+    """The rows of a stream that gets each step as a batch, and how many keys it remembers after each."""
+    source, name = tmp_path / "in", f"steps_{tmp_path.name.replace('-', '_')}"
+    source.mkdir()
+    q = make(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("memory").queryName(name).outputMode("append").start()
+    held = []
+    for rows in steps:
+        spark.createDataFrame([(r[0], r[1] + 10_000, *r[2:]) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(source))
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    return [tuple(r) for r in spark.table(name).collect()], held
+
+
 def test_stream_rate_limit(spark, tmp_path):
     from lectern.streaming.rates import hourly, rate_limit
 
-    source = str(tmp_path / "hits")
-    spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (1, 5000)], "key long, ms long").write.parquet(source)
-    q = rate_limit(spark.readStream.schema("key long, ms long").parquet(source), 2, 1000).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.key, r.ms, r.allowed) for r in spark.table("limited").collect()) == [(1, 0, True), (1, 1, True), (1, 2, False), (1, 5000, True), (2, 0, True)]
+    steps = [[(1, 0, 1), (1, 2, 3), (1, 1, 2), (2, 0, 4)], [(1, 999, 5), (1, 5000, 6)], [(3, 9_000_000, 7)], [(3, 9_000_001, 8)], [(1, 9_000_500, 9)]]
+    rows, held = stream_in_steps(spark, tmp_path, lambda s: rate_limit(s, 2, 1000, "1 second"), steps, "key long, ms long, id long")
+    assert sorted((r[2], r[4]) for r in rows) == [(1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True), (8, True), (9, True)]
+    # keys 1 and 2 are forgotten once the watermark is past their windows
+    assert held[0] == 2 and held[3] == 1
     assert hourly(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).agg(F.sum("n")).first()[0] == 1000
 
 
+def test_stream_tokens(spark, tmp_path):
+    from lectern.streaming.rates import one_time
+
+    zero, far = 10_000, 9_010_000
+    steps = [[(1, 50, 1, zero), (1, 40, 2, zero), (2, 2000, 3, zero)], [(1, 1060, 4, zero), (3, 1500, 5, zero + 1000)], [(9, 9_000_000, 6, far)], [(8, 9_000_001, 7, far)]]
+    rows, held = stream_in_steps(spark, tmp_path, lambda s: one_time(s, 1000, "1 second"), steps, "token long, ms long, id long, issued long")
+    assert sorted((r[2], r[3]) for r in rows) == [(1, False), (2, True), (3, False), (4, False), (5, True), (6, True), (7, True)]
+    assert held[:2] == [1, 2] and held[3] == 2
+
+
 def test_footnotes_and_cleaning():
     assert udfs.without_notes('a<sup>1</sup><i class="footnote">x <i>y</i> z</i> b <i>c</i>') == "a b <i>c</i>"
     assert udfs.readable("<p>a&amp;b<br>c  d</p><script>x</script>") == "a&b\nc d"
