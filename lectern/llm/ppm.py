@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, cut, fold_of, release, restrict, slices, text_bytes
-from lectern.llm.shingles import span_hashes
+from lectern.llm.shingles import mix, word_hashes
 
 ORDER = 5
 #: What each distinct symbol of a context gives to the escape.
@@ -120,7 +120,8 @@ def words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.r_[0, stop[:-1] + 1]
     # the end of a text is a token too; an empty text has it alone
     word = stop > start
-    value = span_hashes(data, start, stop)
+    value = np.zeros(len(start), dtype=np.uint64)
+    value[word] = word_hashes(data, start[word], stop[word])
     last = data[stop] == END
     order = np.argsort(np.r_[np.flatnonzero(word) * 2, np.flatnonzero(last) * 2 + 1], kind="stable")
     hashes = np.r_[value[word], np.zeros(int(last.sum()), dtype=np.uint64)][order]
