@@ -53,7 +53,7 @@ def boxes(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("x0"), F.max(F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("x1"), F.min("l_suppkey").alias("y0"), F.max("l_suppkey").alias("y1"))
 
 
-@query("aligned_quotes", "L1 L2 L3 L5 F45", None)
+@query("aligned_quotes", "L2 L3", None)
 def aligned(t):
     """Each whole quote's best place in the whole text of the documents that share a run of four of its words, by semi-global alignment."""
     q = t("benchmark").select("item_id", F.col("text").alias("quote"))
@@ -71,7 +71,7 @@ def aligned(t):
     return j.select("item_id", "doc_id", place("quote", "text").alias("p")).select("item_id", "doc_id", "p.*")
 
 
-@query("chained_places", "L4 L7", None)
+@query("chained_places", "", None)
 def chained(t):
     """Of candidate places of a conversation's lines the chain that costs least and never goes back."""
 
