@@ -76,6 +76,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table (a few numbers each) that are written as one file, and files at least.
+FILE_ROWS, FILES = 250_000, 16
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a narrow table of about ``rows`` rows, in as many partitions as that needs instead of one for each partition of a shuffle.
+
+    Loops write such tables again and again; thousands of files of a few rows cost more than what is in them.
+    """
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that an operator wrote and that no one will read again."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -148,13 +160,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    rows = both.count()
+    label = cut(narrow(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), rows))
     while True:
         near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
         step = label.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        step = cut(step)
+        step = cut(narrow(step, rows))
         far = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = cut(step.join(far, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
+        jumped = cut(narrow(step.join(far, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"), rows))
         changed = jumped.where("component <> old").limit(1).count()
         label = jumped.select("node", "component")
         del near, step, far, jumped

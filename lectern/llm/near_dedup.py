@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, components, cut, release, restrict, slices
+from lectern.llm.common import as_bytes, components, cut, narrow, release, restrict, slices
 from lectern.llm.shingles import mix, shingle_sets
 
 WORDS, BANDS, ROWS = 5, 60, 6
@@ -161,17 +161,17 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def links_among(pairs: DataFrame, held: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+def links_among(pairs: DataFrame, held: DataFrame, rows: int, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """The candidate pairs (a, b) that are links: pruned by their signatures, then confirmed on full sets.
 
-    ``held`` has (node, n_shingles, sig, text) of every candidate.
+    ``held`` has (node, n_shingles, sig, text) of every candidate; there are about ``rows`` pairs.
     """
     sigs, texts = held.select("node", "n_shingles", "sig"), held.select("node", "text")
     sized = pairs.join(sigs.toDF("a", "n_a", "sig_a"), "a").join(sigs.toDF("b", "n_b", "sig_b"), "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     alive = cut(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(60, percent, miss), "a long, b long"))
     # each document's partners go out in groups of about TOGETHER, so that a hot document is spread over many tasks
-    many = cut(alive.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")))
-    dealt = cut(alive.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")))
+    many = cut(narrow(alive.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")), rows))
+    dealt = cut(narrow(alive.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")), rows))
     left = dealt.select("a", "part").distinct().join(texts.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     right = dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text")
     return left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(_confirm(words, percent), "a long, b long")
@@ -243,6 +243,7 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("least"), F.min(known).alias("named"))
     # numbers are given once and written, so that they are the same ever after
     classes = cut(classes.select("digest", "least.*", "named", F.monotonically_increasing_id().alias("node")))
+    count = classes.count()
     where = ["digest", "doc_id", "raw"]
 
     each = cut(signed.select(*where, "bands").join(classes, where).dropDuplicates(where).select("node", "bands"))
@@ -252,13 +253,13 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
     del each
     release(docs.sparkSession)
     # only classes that share a bucket with another go on, with their signatures and texts
-    some = cut(classes.join(member.select("node").distinct(), "node", "left_semi"))
+    some = cut(narrow(classes.join(member.select("node").distinct(), "node", "left_semi"), count))
     sigs = signed.select(*where, "n_shingles", "sig").join(some.drop("named"), where).dropDuplicates(where).select("doc_id", "raw", "node", "n_shingles", "sig")
     held = cut(docs.join(sigs, ["doc_id", "raw"]).dropDuplicates(["doc_id", "raw"]).select("node", "n_shingles", "sig", "text"))
     release(docs.sparkSession)
 
     pairs = cut(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    found = cut(links_among(pairs, held, words, percent, miss))
+    found = cut(links_among(pairs, held, pairs.count(), words, percent, miss))
     del pairs, sigs
     release(docs.sparkSession)
     group = components(found)
@@ -269,12 +270,12 @@ def _labelled(docs: DataFrame, words: int, bands: int, rows: int, percent: int,
         del joined, member, held
         release(docs.sparkSession)
         group = group if more.isEmpty() else components(found.unionByName(more))
-    least = cut(group.join(classes, "node").groupBy("component").agg(F.min("named").alias("component_id")))
+    least = cut(narrow(group.join(classes, "node").groupBy("component").agg(F.min("named").alias("component_id")), count))
     group = group.join(least, "component")
-    of_class = cut(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "named").alias("component_id")))
-    narrow = signed.select(known.alias("doc_id"), "raw", "n_shingles", "digest")
-    linked_ = narrow.where("digest is not null").join(of_class, "digest").select("doc_id", "raw", "n_shingles", "label", "component_id")
-    return linked_.unionByName(narrow.where("digest is null").select("doc_id", "raw", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
+    of_class = cut(narrow(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("label"), F.coalesce("component_id", "named").alias("component_id")), count))
+    brief = signed.select(known.alias("doc_id"), "raw", "n_shingles", "digest")
+    linked_ = brief.where("digest is not null").join(of_class, "digest").select("doc_id", "raw", "n_shingles", "label", "component_id")
+    return linked_.unionByName(brief.where("digest is null").select("doc_id", "raw", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
