@@ -54,7 +54,7 @@ def by_base(t):
 
 
 @query("dictionary_forms", "J10 J11 W4 F17", """
-WITH w AS (SELECT DISTINCT doc_id, lower(x) AS form FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS x FROM documents) WHERE length(x) >= 6),
+WITH w AS (SELECT DISTINCT doc_id, lower(x) AS form FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS x FROM documents) WHERE x <> ''),
 l AS (SELECT p_partkey, lower(w2) AS form FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w2 FROM part))
 SELECT form, doc_id FROM (SELECT form, doc_id, row_number() OVER (PARTITION BY form ORDER BY doc_id) AS n FROM w) WHERE n <= 2 AND form NOT IN (SELECT form FROM l)""")
 def dictionary(t):
@@ -63,7 +63,7 @@ def dictionary(t):
 
 
 def _new_forms(t, documents):
-    w = documents.select("doc_id", F.explode(F.split("text", " ")).alias("x")).where("length(x) >= 6").select("doc_id", F.lower("x").alias("form")).distinct()
+    w = documents.select("doc_id", F.explode(F.split("text", " ")).alias("x")).where("x <> ''").select("doc_id", F.lower("x").alias("form")).distinct()
     seen = t("part").select(F.explode(F.split("p_type", " ")).alias("x")).select(F.lower("x").alias("form")).distinct()
     return K.capped(w.join(seen, "form", "left_anti"), ["form"], ["doc_id"], 2).select("form", "doc_id")
 

@@ -105,10 +105,12 @@ def category_path(t):
     return part.crossJoin(F.broadcast(root)).where((F.slice("path", 1, 1) == F.array("root")) | F.col("p_type").rlike("S$")).select("p_partkey")
 
 
-@query("licences_open", "P18 M43", "SELECT v, bool_and(trim(lower(x)) IN ('cc0', 'cc-by', 'public domain')) AS open FROM (SELECT v, unnest(string_split(v, '/')) AS x FROM (VALUES ('CC0/CC-BY'), ('cc-by'), ('CC-BY-NC'), ('Public Domain / CC0'), ('CC0/unknown')) s(v)) GROUP BY 1")
+@query("licences_open", "P18 M43", """
+SELECT p_partkey, bool_and(trim(lower(x)) IN ('economy', 'brand#1', 'brand#2', 'brand#3', 'small')) AS open FROM (SELECT p_partkey, unnest(string_split(upper(p_type) || ' / ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '/' || p_name ELSE '' END, '/')) AS x FROM part) GROUP BY 1""")
 def licences(t):
-    rows = t.values([(v,) for v in ("CC0/CC-BY", "cc-by", "CC-BY-NC", "Public Domain / CC0", "CC0/unknown")], "v string")
-    return rows.select("v", F.forall(F.split("v", "/"), lambda x: F.trim(F.lower(x)).isin("cc0", "cc-by", "public domain")).alias("open"))
+    """Whether every licence of a list with slashes is an open one."""
+    v = F.concat(F.upper("p_type"), F.lit(" / "), "p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/"), "p_name")).otherwise(""))
+    return t("part").select("p_partkey", F.forall(F.split(v, "/"), lambda x: F.trim(F.lower(x)).isin("economy", "brand#1", "brand#2", "brand#3", "small")).alias("open"))
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '')"

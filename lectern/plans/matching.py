@@ -88,10 +88,14 @@ def chained(t):
 
 @query("abbreviations", "L12 F22", None)
 def abbreviations(t):
-    rows = t.values([("ibm", "international business machines"), ("abc", "all but done"), ("rsh", "rashi")], "short string, words string")
+    """Whether the first letters of an item's words, and the same with one letter wrong, stand for these words."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
+    groups = t("benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0)))).alias("at"), "w").select("item_id", "at", F.slice("w", F.col("at") + 1, 4).alias("w")).where("size(w) = 4")
+    first = lambda n: F.array_join(F.transform("w", lambda x, i: F.when(i == n, "#").otherwise(F.substring(x, 1, 1))), "")
+    rows = groups.select("item_id", "at", F.explode(F.array(first(-1), first(2))).alias("short"), F.array_join("w", " ").alias("words"))
 
     @F.pandas_udf("boolean")
     def test(short: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([is_abbreviation(a, b.split()) for a, b in zip(short, words, strict=True)])
+        return pd.Series([is_abbreviation(a, b.split()) for a, b in zip(short, words, strict=True)], dtype="bool")
 
-    return rows.select("short", "words", test("short", "words").alias("stands"))
+    return rows.select("item_id", "at", "short", test("short", "words").alias("stands"))

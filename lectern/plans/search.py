@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -38,10 +39,11 @@ def all_words(t):
 
 
 @query("query_words", "R6 R9 F9 F6", r"""
-SELECT q, array_to_string((list_filter(regexp_split_to_array(regexp_replace(lower(q), '["*^():{}+\-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 2))[1:8], ' ') AS w FROM (VALUES ('A "quick" test* of (words) in-line and one more for the road'), ('x y'), ('Rabbi Yitzchak')) v(q)""")
+SELECT conv_id, turn, array_to_string((list_filter(regexp_split_to_array(regexp_replace(lower('"' || substr(text, 1, 60) || '"* (' || role || ')'), '["*^():{}+\-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 2))[1:8], ' ') AS w FROM conversations""")
 def query_words(t):
-    v = t.values([('A "quick" test* of (words) in-line and one more for the road',), ("x y",), ("Rabbi Yitzchak",)], "q string")
-    return v.select("q", F.array_join(X.search_words(F.col("q")), " ").alias("w"))
+    """The words of what was typed, which here is how every turn begins."""
+    typed = F.concat(F.lit('"'), F.substring("text", 1, 60), F.lit('"* ('), "role", F.lit(")"))
+    return t("conversations").select("conv_id", "turn", F.array_join(X.search_words(typed), " ").alias("w"))
 
 
 @query("keyword_score", "R8 R19 R20", """
@@ -69,17 +71,18 @@ def fuzzy(t):
 
 @query("book_search", "R16 R17 R18 O8", None)
 def book_search(t):
-    """Names found however they are spelled: equal words, equal keys, beginnings, near spellings."""
-    books = t.values([(0, "Berakhot"), (1, "Shabbat"), (2, "Ketubot"), (3, "Kiddushin"), (4, "Genesis"), (5, "Genesis Rabbah"), (6, "Rashi on Genesis")], "ord int, title string")
-    asked = t.values([("Brachos",), ("Kesubos",), ("Kidushin",), ("genesis rabba",), ("Shabbos",)], "q string")
-    return S.search_books(books, asked, 3)
+    """Names found however they are spelled: all names of parts, asked for with other vowels, doubled letters and without their last letter."""
+    names = t("part").where("p_name is not null").select(F.col("p_name").alias("title")).distinct()
+    books = names.select(F.row_number().over(Window.orderBy("title")).alias("ord"), "title")  # as many as there are names
+    asked = [F.translate("title", "aeiou", "eaiuo"), F.regexp_replace("title", "([lrn])", "$1$1"), F.expr("substring(title, 1, length(title) - 1)")]
+    return S.search_books(books, names.select(F.explode(F.array(*asked)).alias("q")).distinct(), 3)
 
 
-@query("concordance", "R22 R23 M14 M15", """
+@query("concordance", "R22", """
 WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents)
-SELECT w AS form, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w WHERE starts_with(w, 'anti') GROUP BY 1""")
+SELECT w AS form, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1""")
 def concordance(t):
-    w = t("documents").select("doc_id", F.explode(S.words(F.col("text"))).alias("form")).where(F.col("form").startswith("anti"))
+    w = t("documents").select("doc_id", F.explode(S.words(F.col("text"))).alias("form"))
     return w.groupBy("form").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 

@@ -1,4 +1,4 @@
-"""Scalar text functions, over whole tables where they apply and over listed values where the corpus has none."""
+"""Scalar text functions over whole tables; where the corpus has no such texts they are made from its columns."""
 
 from __future__ import annotations
 
@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from lectern.functions import refs as R
 from lectern.functions import text as X
 from lectern.functions.udfs import clean_html, fnv1a, fold_name, nested_footnotes, paragraphs
-from lectern.plans.views import PASSAGES, passages
+from lectern.plans.views import PASSAGES, passages, talks
 from lectern.registry import query
 
 
-@query("plain_forms", "F4 F5 F6 F57", """
-SELECT v, lower(regexp_replace(regexp_replace(v, '[־׀׃׳״]', ' ', 'g'), '[֑-ׇֽֿׁׂׅׄ]', '', 'g')) AS plain, translate(regexp_replace(v, '[^א-ת]', '', 'g'), 'ךםןףץ', 'כמנפצ') AS letters
-FROM (VALUES ('בְּרֵאשִׁית־בָּרָא'), ('שָׁלוֹם׃'), ('Plain TEXT'), ('מלך ארץ')) s(v)""")
+# A part's name in other letters with a point after each, as a text with marks.
+_POINTED = "regexp_replace(translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', 'אבגדהוזחטיכלמנסעפצקרשתךםןף־'), '([א-ת])', '\\1ָ', 'g') || ' ' || p_type || '׃'"
+
+
+@query("plain_forms", "F4 F5 F6 F57", f"""
+SELECT p_partkey, lower(regexp_replace(regexp_replace(v, '[־׀׃׳״]', ' ', 'g'), '[֑-ׇֽֿׁׂׅׄ]', '', 'g')) AS plain, translate(regexp_replace(v, '[^א-ת]', '', 'g'), 'ךםןףץ', 'כמנפצ') AS letters
+FROM (SELECT p_partkey, {_POINTED} AS v FROM part)""")
 def plain_forms(t):
-    rows = t.values([("בְּרֵאשִׁית־בָּרָא",), ("שָׁלוֹם׃",), ("Plain TEXT",), ("מלך ארץ",)], "v string")
-    return rows.select("v", X.plain(F.col("v")).alias("plain"), X.letters(F.col("v")).alias("letters"))
+    v = F.concat(F.regexp_replace(F.translate("p_name", "abcdefghijklmnopqrstuvwxyz ", "אבגדהוזחטיכלמנסעפצקרשתךםןף־"), "([א-ת])", "$1ָ"), F.lit(" "), "p_type", F.lit("׃"))
+    return t("part").select("p_partkey", X.plain(v).alias("plain"), X.letters(v).alias("letters"))
 
 
 @query("normal_refs", "F7 M56 M55", "SELECT c_custkey, trim(regexp_replace(lower('  ' || c_name || '  X '), '\\s+', ' ', 'g')) AS ref FROM customer")
@@ -26,10 +30,10 @@ def normal_refs(t):
 
 
 @query("stems", "F8 F9", r"""
-WITH w AS (SELECT DISTINCT lower(x) AS w FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents WHERE lang = 'en') WHERE regexp_matches(lower(x), '^[a-z]{3,9}$'))
-SELECT w, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(ch|sh|s|x|z)es$') THEN substr(w, 1, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END AS stem FROM w""")
+WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE w <> '')
+SELECT w, CASE WHEN NOT regexp_matches(w, '^[a-z]+$') THEN w WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(ch|sh|s|x|z)es$') THEN substr(w, 1, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END AS stem FROM w""")
 def stems(t):
-    w = t("documents").where("lang = 'en'").select(F.explode(F.split("text", " ")).alias("x")).select(F.lower("x").alias("w")).where(F.col("w").rlike("^[a-z]{3,9}$")).distinct()
+    w = t("documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''").distinct()
     return w.select("w", X.stem(F.col("w")).alias("stem"))
 
 
@@ -49,10 +53,19 @@ def ref_parts(t):
 
 
 @query("ref_ranges", "F13 F15", """
-SELECT * FROM (VALUES ('Genesis 1:1-5', 'Genesis 1:1', 'Genesis 1:5', 'Genesis 1:1'), ('Genesis 1:1-2:3', 'Genesis 1:1', 'Genesis 2:3', 'Genesis 1:1'), ('Berakhot 2a:3–4', 'Berakhot 2a:3', 'Berakhot 2a:4', 'Berakhot 2a:3–4'), ('Genesis 1', 'Genesis 1', NULL, 'Genesis 1'), ('Exodus 1:1-6:1', 'Exodus 1:1', 'Exodus 6:1', 'Exodus 1:1'), ('Tanya', 'Tanya', NULL, 'Tanya')) v(ref, first, last, link)""")
+WITH n AS (SELECT DISTINCT l_linenumber % 4 AS k, 'Order ' || l_orderkey % 500 AS o, l_partkey % 20 + 1 AS a, l_suppkey % 9 + 1 AS b, l_suppkey % 9 + 1 + CAST(l_quantity AS BIGINT) AS c FROM lineitem)
+SELECT CASE k WHEN 0 THEN o || ' ' || a || ':' || b || '-' || c WHEN 1 THEN o || ' ' || a || ':' || b || '-' || (a + 1) || ':' || c WHEN 2 THEN o || ' ' || a || 'a:' || b || '–' || c ELSE o || ' ' || a END AS ref,
+  CASE k WHEN 2 THEN o || ' ' || a || 'a:' || b WHEN 3 THEN o || ' ' || a ELSE o || ' ' || a || ':' || b END AS first,
+  CASE k WHEN 0 THEN o || ' ' || a || ':' || c WHEN 1 THEN o || ' ' || (a + 1) || ':' || c WHEN 2 THEN o || ' ' || a || 'a:' || c END AS last,
+  CASE k WHEN 2 THEN o || ' ' || a || 'a:' || b || '–' || c WHEN 3 THEN o || ' ' || a ELSE o || ' ' || a || ':' || b END AS link FROM n""")
 def ref_ranges(t):
-    rows = t.values([(r,) for r in ("Genesis 1:1-5", "Genesis 1:1-2:3", "Berakhot 2a:3–4", "Genesis 1", "Exodus 1:1-6:1", "Tanya")], "ref string")
-    return rows.select("ref", R.range_start(F.col("ref")).alias("first"), R.range_end(F.col("ref")).alias("last"), R.link_start(F.col("ref")).alias("link"))
+    """References of four forms, ranges among them, with their ends."""
+    k, a, b = F.col("l_linenumber") % 4, F.col("l_partkey") % 20 + 1, F.col("l_suppkey") % 9 + 1
+    c = b + F.col("l_quantity").cast("long")
+    n = t("lineitem").select(k.alias("k"), F.concat(F.lit("Order "), F.col("l_orderkey") % 500).alias("o"), a.alias("a"), b.alias("b"), c.alias("c")).distinct()
+    ref = F.when(F.col("k") == 0, F.expr("concat(o, ' ', a, ':', b, '-', c)")).when(F.col("k") == 1, F.expr("concat(o, ' ', a, ':', b, '-', a + 1, ':', c)")).when(F.col("k") == 2, F.expr("concat(o, ' ', a, 'a:', b, '–', c)")).otherwise(F.expr("concat(o, ' ', a)"))
+    ref = n.select(ref.alias("ref"))
+    return ref.select("ref", R.range_start(F.col("ref")).alias("first"), R.range_end(F.col("ref")).alias("last"), R.link_start(F.col("ref")).alias("link"))
 
 
 @query("addresses", "F16 W10 M12", """
@@ -63,17 +76,21 @@ def addresses(t):
     return t("part").select("p_partkey", kind.alias("kind"), R.address(kind, F.col("p_partkey"), F.col("p_size")).alias("address"))
 
 
-@query("hebrew_numbers", "F23 F24 F22", "SELECT * FROM (VALUES (2, 'ב', 2), (15, 'טו', 15), (16, 'טז', 16), (34, 'לד', 34), (176, 'קעו', 176), (415, 'תטו', 415), (500, '500', NULL)) v(n, letters, back)")
+@query("hebrew_numbers", "F23 F24 F22", """
+WITH n AS (SELECT o_orderkey, (o_orderkey % 519 + 1)::INT AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n >= 500 THEN n::VARCHAR ELSE (['', 'ק', 'ר', 'ש', 'ת'])[n // 100 + 1] || CASE n % 100 WHEN 15 THEN 'טו' WHEN 16 THEN 'טז' ELSE (['', 'י', 'כ', 'ל', 'מ', 'נ', 'ס', 'ע', 'פ', 'צ'])[n % 100 // 10 + 1] || (['', 'א', 'ב', 'ג', 'ד', 'ה', 'ו', 'ז', 'ח', 'ט'])[n % 10 + 1] END END AS letters,
+  CASE WHEN n < 500 THEN n END AS back FROM n""")
 def hebrew(t):
-    rows = t.values([(n,) for n in (2, 15, 16, 34, 176, 415, 500)], "n int")
-    he = X.hebrew_numeral(F.col("n"))
-    return rows.select("n", he.alias("letters"), X.hebrew_number(he).alias("back"))
+    """Numbers written in letters and read again; from five hundred on they stay digits."""
+    he = X.hebrew_numeral((F.col("o_orderkey") % 519 + 1).cast("int"))
+    return t("orders").select("o_orderkey", he.alias("letters"), X.hebrew_number(he).alias("back"))
 
 
-@query("skeleton_keys", "F25 F27", "SELECT * FROM (VALUES ('Kiddushin', 'kd$n'), ('Kedushin', 'kd$n'), ('Berakhot', 'brht'), ('Brachos', 'brht'), ('Shabbat', '$bt'), ('Shabbos', '$bt'), ('Ketubot', 'ktbt'), ('Kesubos', 'ktbt')) v(word, key)")
+@query("skeleton_keys", "F25 F27", None)
 def skeletons(t):
-    rows = t.values([(w,) for w in ("Kiddushin", "Kedushin", "Berakhot", "Brachos", "Shabbat", "Shabbos", "Ketubot", "Kesubos")], "word string")
-    return rows.select("word", X.skeleton(F.col("word")).alias("key"))
+    """The spelling keys of all words of the items and of the parts' names."""
+    words = t("benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")).unionByName(t("part").select(F.explode(F.split("p_name", " ")).alias("word"))).distinct()
+    return words.select("word", X.skeleton(F.col("word")).alias("key"))
 
 
 @query("edit_distances", "F26 F27 F28 L13", "SELECT a.n_name AS a, b.n_name AS b, least(levenshtein(a.n_name, b.n_name), 6) AS d, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
@@ -83,10 +100,13 @@ def distances(t):
     return pairs.select("a", "b", X.edit_distance(F.col("a"), F.col("b"), 5).alias("d"), F.round(X.likeness(F.col("a"), F.col("b")), 6).alias("likeness"))
 
 
-@query("angle_brackets", "F3", "SELECT * FROM (VALUES ('a <b> c.', 'a c.'), ('a < b', NULL), ('x <y>. , z', 'x. z'), ('<all>', NULL), ('plain', 'plain')) v(v, out)")
+@query("angle_brackets", "F3", """
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name || ' ' || p_brand WHEN 2 THEN p_name || '. ' || p_brand WHEN 4 THEN p_name END AS out FROM part""")
 def angle(t):
-    rows = t.values([(v,) for v in ("a <b> c.", "a < b", "x <y>. , z", "<all>", "plain")], "v string")
-    return rows.select("v", X.without_insertions(F.col("v")).alias("out"))
+    """Text with insertions that pair off, that do not, that stand between two stops, that are all there is, and without any."""
+    k = F.col("p_size") % 5
+    v = F.expr("CASE p_size % 5 WHEN 0 THEN concat(p_name, ' <', p_type, '> ', p_brand) WHEN 1 THEN concat(p_name, ' < ', p_type) WHEN 2 THEN concat(p_name, ' <x>. , ', p_brand) WHEN 3 THEN concat('<', p_type, '>') ELSE p_name END")
+    return t("part").where(k.isNotNull()).select("p_partkey", X.without_insertions(v).alias("out"))
 
 
 @query("safe_titles", "F32", r"""
@@ -173,31 +193,27 @@ def parts_of_words(t):
     return t("documents").select("doc_id", F.posexplode(parts("text")).alias("n", "part"))
 
 
-@query("replies_parsed", "R10 F46 F47 F49 F18 F19 N12 T17", None)
+_REF = "'Conv ' || conv_id || ':' || turn"
+
+
+@query("replies_parsed", "R10 F46 F47 F49 F18 F19 N12 T17", f"""
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '{{"refs": ["' || {_REF} || '"], "english": ["' || role || '"]}}' WHEN 1 THEN '{{"' || {_REF} || '": "one ' || role || '", "B 2": "two\\nthree"}}'
+  WHEN 2 THEN '{{"GENERAL": ["whole ' || turn || '"], "WORDS": [["' || role || '", "b"]], "READINGS": [["x", "y", "' || {_REF} || '", "q"]]}}' ELSE '[["text", "see "], ["read", "' || {_REF} || '"], ["text", " there"]]' END AS value FROM conversations""")
 def replies_parsed(t):
-    """Plans in loose JSON, grouped replies, sectioned replies, entries and word forms, as (kind, value)."""
+    """Plans in loose JSON, grouped replies, sectioned replies and marked readings, one for each turn, read as JSON."""
     from lectern.functions import parse
 
-    rows = t.values(
-        [
-            ("plan", 'Here: {"refs": ["Genesis 1:1",], “english”: ["light"]} done'),
-            ("group", "[A 1]\none\n[B 2]\ntwo\nthree"),
-            ("gloss", "GENERAL: whole\nWORDS:\na | b\nREADINGS:\nx | y | R 1 | q"),
-            ("read", "see [[read Genesis 1:1]] there"),
-            ("entry", '{"headword": "h", "content": {"senses": [{"number": 1, "definition": "<b>d</b>"}]}}'),
-            ("forms", "והמלכים"),
-        ],
-        "kind string, raw string",
-    )
-
     @F.pandas_udf("string")
-    def read(kind: pd.Series, raw: pd.Series) -> pd.Series:
+    def read(kind: pd.Series, raw: pd.Series, ref: pd.Series) -> pd.Series:
         import json
 
         ways = {
-            "plan": parse.loose_object, "group": lambda x: parse.by_reference(x, {"A 1", "B 2"}), "gloss": parse.reply_sections,
-            "read": lambda x: parse.read_markers(x, {"genesis 1:1": "Genesis 1:1"}), "entry": lambda x: parse.entry_text(json.loads(x)), "forms": parse.word_forms,
+            0: lambda x, r: parse.loose_object(x), 1: lambda x, r: parse.by_reference(x, {r, "B 2"}),
+            2: lambda x, r: parse.reply_sections(x), 3: lambda x, r: parse.read_markers(x, {r.lower(): r}),
         }
-        return pd.Series([json.dumps(ways[k](x), ensure_ascii=False) for k, x in zip(kind, raw, strict=True)])
+        return pd.Series([json.dumps(ways[k](x, r), ensure_ascii=False) for k, x, r in zip(kind, raw, ref, strict=True)])
 
-    return rows.select("kind", read("kind", "raw").alias("value"))
+    raw = F.expr("""CASE turn % 4 WHEN 0 THEN concat('Here: {"refs": ["', ref, '",], “english”: ["', role, '"]} done') WHEN 1 THEN concat('[', ref, ']\\none ', role, '\\n[B 2]\\ntwo\\nthree')
+      WHEN 2 THEN concat('GENERAL: whole ', turn, '\\nWORDS:\\n', role, ' | b\\nREADINGS:\\nx | y | ', ref, ' | q') ELSE concat('see [[read ', ref, ']] there') END""")
+    rows = talks(t).select("conv_id", "turn", (F.col("turn") % 4).alias("kind"), raw.alias("raw"), "ref")
+    return rows.select("conv_id", "turn", read("kind", "raw", "ref").alias("value"))

@@ -12,17 +12,26 @@ from lectern.registry import query
 from lectern.sources import files as S
 
 
-@query("jagged_flattened", "N1 N2 N4 F16", "SELECT * FROM (VALUES ('Book 1:1', 'a'), ('Book 1:2', 'b'), ('Book 2:1:1', 'c'), ('Book 2:1:2', 'd'), ('Book 3:2', 'e')) v(ref, text)")
+@query("jagged_flattened", "N1 N2 N4 F16", """
+WITH v AS (SELECT DISTINCT l_orderkey, l_linestatus AS s, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE l_linenumber || '-' || l_partkey END AS x FROM lineitem),
+c AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY s) AS i, row_number() OVER (PARTITION BY l_orderkey, s ORDER BY x) AS j FROM v)
+SELECT 'Order ' || l_orderkey || ' ' || i || ':' || j AS ref, x AS text FROM c WHERE x <> ''""")
 def jagged(t):
-    """Arrays of any depth to references; empty places count but give no row."""
-    rows = t.values([("Book", '[["a","b"],[["c","d"]],["","e"]]')], "title string, body string")
-    return T.flatten(rows)
+    """Nested arrays kept as JSON to references; empty places count but give no row."""
+    x = F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.concat("l_linenumber", F.lit("-"), "l_partkey"))
+    inner = t("lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.sort_array(F.collect_set(x)).alias("x"))
+    whole = inner.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linestatus", "x"))).alias("c"))
+    return T.flatten(whole.select(F.concat(F.lit("Order "), "l_orderkey").alias("title"), F.to_json(F.col("c.x")).alias("body")))
 
 
-@query("contents_tree", "N14 J28 M80", "SELECT * FROM (VALUES ('root', 0, 'root'), ('a', 1, 'root/a'), ('b', 1, 'root/b'), ('c', 2, 'root/a/c'), ('d', 3, 'root/a/c/d')) v(node, depth, path)")
+@query("contents_tree", "N14 J28 M80", """
+WITH RECURSIVE c AS (SELECT DISTINCT p_type AS node, 'root' AS parent FROM part UNION SELECT p_type || '.' || p_brand, p_type FROM part UNION SELECT p_type || '.' || p_brand || '.' || p_name, p_type || '.' || p_brand FROM part),
+w(node, depth, path) AS (SELECT 'root', 0, 'root' UNION ALL SELECT c.node, w.depth + 1, w.path || '/' || c.node FROM c JOIN w ON c.parent = w.node) SELECT node, depth, path FROM w""")
 def contents(t):
     """A table of contents walked level by level with a recursive query."""
-    t.values([("a", "root"), ("b", "root"), ("c", "a"), ("d", "c")], "node string, parent string").createOrReplaceTempView("lectern_toc")
+    p = t("part").select("p_type", F.concat_ws(".", "p_type", "p_brand").alias("b"), F.concat_ws(".", "p_type", "p_brand", "p_name").alias("n"))
+    toc = p.select(F.col("p_type").alias("node"), F.lit("root").alias("parent")).union(p.select("b", "p_type")).union(p.select("n", "b")).distinct()
+    toc.createOrReplaceTempView("lectern_toc")
     return t.spark.sql("WITH RECURSIVE w(node, depth, path) AS (SELECT 'root', 0, 'root' UNION ALL SELECT c.node, w.depth + 1, concat(w.path, '/', c.node) FROM lectern_toc c JOIN w ON c.parent = w.node) SELECT node, depth, path FROM w")
 
 
@@ -32,11 +41,11 @@ def clamped(t):
     return t("events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(50), k)).cast("long").alias("k"), k.between(0, 50).alias("ok"))
 
 
-@query("json_columns", "N9 N10 N13 F56 N5", "SELECT * FROM (VALUES ('[\"a\",\"b\"]', 2), ('not json', 0), (NULL, 0), ('[]', 0)) v(raw, n)")
+@query("json_columns", "N9 N10 N13 F56 N5", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM events")
 def json_columns(t):
-    """Lists kept as JSON; what cannot be read is empty."""
-    rows = t.values([('["a","b"]',), ("not json",), (None,), ("[]",)], "raw string")
-    return rows.select("raw", F.size(F.coalesce(F.from_json("raw", "array<string>"), F.array().cast("array<string>"))).alias("n"))
+    """Lists kept as JSON; what cannot be read, and what is no list, is empty."""
+    raw = F.expr("CASE event_id % 5 WHEN 0 THEN to_json(array(event_type, string(user_id))) WHEN 1 THEN to_json(array(event_type)) WHEN 2 THEN concat('not json ', event_type) WHEN 3 THEN '[]' END")
+    return t("events").select("event_id", F.size(F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))).alias("n"))
 
 
 @query("files_by_folder", "N13 S2 M71", "SELECT source || '/' || lang AS folder, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -146,34 +155,41 @@ def block_moved(t):
     return t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(key, "turn")).alias("n"))
 
 
-@query("layouts_checked", "L18 P11", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(id, ok)")
+@query("layouts_checked", "L18 P11", """
+WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_suppkey) // 10 AS y, min(l_partkey) % 6 AS w FROM lineitem GROUP BY 1, 2), k AS (SELECT *, lag(y) OVER (PARTITION BY l_orderkey ORDER BY n) AS before FROM l)
+SELECT l_orderkey, l_orderkey % 11 <> 0 AND bool_and(coalesce(y > before, true) AND w < 5) AS ok FROM k GROUP BY 1""")
 def layouts_checked(t):
-    """Layout records that can be read, with lines in order inside the page and words that exist."""
-    rows = t.values([(1, '{"words": 3, "lines": [{"y": 1, "w": [0, 1]}, {"y": 2, "w": [2]}]}'), (2, '{"words": 3, "lines": [{"y": 2, "w": [0]}, {"y": 1, "w": [1]}]}'), (3, '{"words": 1, "lines": [{"y": 1, "w": [5]}]}'), (4, "not json")], "id int, raw string")
-    r = rows.select("id", F.from_json("raw", "words int, lines array<struct<y: double, w: array<int>>>").alias("r")).select("id", "r.words", "r.lines")
+    """Layout records that can be read, with lines in order down the page and words that exist."""
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.min("l_suppkey") / 10).alias("y"), F.array((F.min("l_partkey") % 6)).alias("w"))
+    kept = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "y", "w"))).alias("s"))
+    raw = F.when(F.col("l_orderkey") % 11 == 0, "not json").otherwise(F.to_json(F.struct(F.lit(5).alias("words"), F.transform("s", lambda x: F.struct(x["y"].alias("y"), x["w"].alias("w"))).alias("lines"))))
+    r = kept.select("l_orderkey", F.from_json(raw, "words int, lines array<struct<y: double, w: array<int>>>").alias("r")).select("l_orderkey", "r.words", "r.lines")
     ordered = F.forall(F.sequence(F.lit(1), F.greatest(F.size("lines") - 1, F.lit(1))), lambda i: (i >= F.size("lines")) | (F.get("lines", i)["y"] > F.get("lines", i - 1)["y"]))
     known = F.forall("lines", lambda x: F.forall(x["w"], lambda w: (w >= 0) & (w < F.col("words"))))
-    return r.select("id", F.coalesce(ordered & known, F.lit(False)).alias("ok"))
+    return r.select("l_orderkey", F.coalesce(ordered & known, F.lit(False)).alias("ok"))
 
 
-@query("author_notes", "M69", "SELECT * FROM (VALUES (1, '1. a|2. b'), (2, ''), (3, '')) v(id, notes)")
+@query("author_notes", "M69", """
+SELECT conv_id, CASE WHEN conv_id % 5 IN (0, 1) THEN '' ELSE string_agg(n || '. ' || role || ' ' || turn, '|' ORDER BY turn) END AS notes FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
 def author_notes(t):
-    """Notes kept as JSON in an article's metadata, numbered; none if it cannot be read."""
-    rows = t.values([(1, '{"footnotes": ["a", "b"]}'), (2, "{}"), (3, "broken")], "id int, meta string")
-    notes = F.coalesce(F.from_json("meta", "footnotes array<string>")["footnotes"], F.array().cast("array<string>"))
-    return rows.select("id", F.array_join(F.transform(notes, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "|").alias("notes"))
+    """Notes kept as JSON in an article's metadata, numbered; none if it cannot be read or has none."""
+    kept = t("conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit(" "), x["turn"])).alias("n"))
+    meta = F.when(F.col("conv_id") % 5 == 0, "broken").when(F.col("conv_id") % 5 == 1, "{}").otherwise(F.to_json(F.struct(F.col("n").alias("footnotes"))))
+    notes = F.coalesce(F.from_json(meta, "footnotes array<string>")["footnotes"], F.array().cast("array<string>"))
+    return kept.select("conv_id", F.array_join(F.transform(notes, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "|").alias("notes"))
 
 
-@query("first_senses", "F44", None)
+@query("first_senses", "F44", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN p_name ELSE '' END AS sense FROM part")
 def first_senses(t):
+    """The first sense of entries with groups in brackets, several sentences, and nothing before the first stop."""
     from lectern.functions.parse import first_sense
 
-    rows = t.values([("bread (pl. breads; also [loaf; x]) food; money",), ("light. Also lamp",), ("",)], "entry string")
     @F.pandas_udf("string")
     def sense(entry: pd.Series) -> pd.Series:
         return entry.map(first_sense, na_action="ignore")
 
-    return rows.select("entry", sense("entry").alias("sense"))
+    entry = F.expr("CASE p_size % 3 WHEN 0 THEN concat(p_name, ' (pl. ', p_type, '; also [', p_brand, '; x]) ', p_brand, '; ', p_type) WHEN 1 THEN concat(p_name, '. Also ', p_type) ELSE concat('; ', p_name) END")
+    return t("part").select("p_partkey", sense(entry).alias("sense"))
 
 
 @query("bson_entries", "S5", "SELECT n_name AS dictionary, count(*) AS entries, sum(length(s_name))::BIGINT AS letters FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE 'A%' OR n_name LIKE 'F%' GROUP BY 1")

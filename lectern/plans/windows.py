@@ -44,7 +44,7 @@ def fair(t):
 @query("interleave_lists", "W7", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) ORDER BY r, source LIMIT 30")
 def interleave(t):
     r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return t("documents").select("source", "doc_id", r.alias("r")).orderBy("r", "source").limit(30).select("source", "doc_id")
+    return t("documents").select("source", "doc_id", r.alias("r")).where("r <= 30").orderBy("r", "source").limit(30).select("source", "doc_id")
 
 
 @query("keep_newest_per_class", "W11", "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 5 OR o_orderstatus = 'P'")
@@ -56,8 +56,8 @@ def keep_newest(t):
 @query("byte_budget_cut", "W12 O12", "SELECT doc_id FROM (SELECT doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id DESC) AS held, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) WHERE held <= 20000 AND n <= 12")
 def budget(t):
     w = Window.partitionBy("source").orderBy(F.desc("doc_id"))
-    d = t("documents").withColumn("held", F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w))
-    return d.where("held <= 20000 and n <= 12").select("doc_id")
+    newest = t("documents").select("source", "doc_id", F.octet_length("text").alias("bytes")).withColumn("n", F.row_number().over(w)).where("n <= 12")
+    return newest.withColumn("held", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("held <= 20000").select("doc_id")
 
 
 @query("spans_to_next_heading", "W15 M27 M28", """

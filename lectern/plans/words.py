@@ -23,10 +23,18 @@ def word_readings(t):
     return readings(numbers.unionByName(some))
 
 
-@query("vowels_transferred", "F43", "SELECT * FROM (VALUES (1, 'בְּרֵאשִׁית,|בָּרָא||אֵת'), (2, NULL), (3, '||שָׁלוֹם')) v(id, words)")
+@query("vowels_transferred", "F43", r"""
+WITH w AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: translate(regexp_replace(x, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'אבגדהוזחטיכלמנסעפצקרשתאבגד')), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT item_id, list_transform(w, lambda x, i: x || chr((1488 + (i - 1) % 8)::INT)) AS w FROM w)
+SELECT item_id, CASE WHEN len(w) > 1 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN '' ELSE regexp_replace(x, '([א-ת])', '\1ָ', 'g') END), '|') END AS words FROM k""")
 def vowels(t):
-    rows = t.values([(1, "בראשית, ברא אלקים את", "בְּרֵאשִׁית בָּרָא אֱלֹהִים אֵת"), (2, "אחד", "שְׁנַיִם"), (3, "ה' יברך שלום", "שָׁלוֹם")], "id int, text string, copy string")
-    return rows.select("id", F.array_join(vowel_words("text", "copy"), "|").alias("words"))
+    """Words of the items in other letters, with the points of a copy that lacks every fifth word."""
+    letters = F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.translate(F.regexp_replace(x, "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתאבגד"))
+    # each word has a letter of its own among its neighbours at its end
+    own = F.transform(F.filter(letters, lambda x: x != ""), lambda x, i: F.concat(x, F.get(F.array(*map(F.lit, "אבגדהוזח")), i % 8)))
+    rows = t("benchmark").select("item_id", own.alias("w"))
+    copy = F.array_join(F.filter(F.transform("w", lambda x, i: F.when(i % 5 != 0, F.regexp_replace(x, "([א-ת])", "$1ָ"))), lambda x: x.isNotNull()), " ")
+    return rows.select("item_id", F.array_join("w", " ").alias("text"), copy.alias("copy")).select("item_id", F.array_join(vowel_words("text", "copy"), "|").alias("words"))
 
 
 @query("phrase_glossary", "M16", f"""
@@ -101,9 +109,12 @@ def respelled(t):
 
 
 @query("line_segments", "F51", """
-SELECT * FROM (VALUES (1, 0, 'gender', 'מוֹדֶה/מוֹדָה/', 'speaker'), (1, 1, 'text', ' אֲנִי', NULL), (2, 0, 'rise', '▴', NULL), (2, 1, 'text', 'Holy ', NULL), (2, 2, 'response', '(All: Amen)', 'All'),
- (3, 0, 'text', 'a ', NULL), (3, 1, 'when', '/In winter: rain./', 'In winter'), (3, 2, 'text', ' b/c: d/', NULL), (4, 0, 'gender', 'בֶּן/בַּת', 'other')) v(id, n, kind, text, label)""")
+SELECT p_partkey, n, kind, text, label FROM part, LATERAL (
+  SELECT * FROM (VALUES (0, 0, 'rise', '▴', NULL), (0, 1, 'text', p_name || ' ', NULL), (0, 2, 'response', '(All: ' || p_brand || ')', 'All'),
+    (1, 0, 'text', p_name || ' ', NULL), (1, 1, 'when', '/In winter: ' || p_type || './', 'In winter'), (1, 2, 'text', ' b/c: d/', NULL),
+    (2, 0, 'gender', 'מוֹדֶה/מוֹדָה/', 'speaker'), (2, 1, 'text', ' ' || p_name, NULL), (3, 0, 'gender', 'בֶּן/בַּת', 'other')) v(k, n, kind, text, label) WHERE k = p_size % 4)""")
 def segmented(t):
-    rows = t.values([(1, "מוֹדֶה/מוֹדָה/ אֲנִי"), (2, "▴Holy (All: Amen)"), (3, "a /In winter: rain./ b/c: d/"), (4, "בֶּן/בַּת"), (5, "")], "id int, line string")
-    each = rows.select("id", F.posexplode(line_segments(["In winter", "In summer"])("line")).alias("n", "s"))
-    return each.select("id", "n", "s.kind", "s.text", "s.label")
+    """Lines with marks to rise, answers, words for a season and forms for men and women, cut into segments."""
+    line = F.expr("CASE p_size % 4 WHEN 0 THEN concat('▴', p_name, ' (All: ', p_brand, ')') WHEN 1 THEN concat(p_name, ' /In winter: ', p_type, './ b/c: d/') WHEN 2 THEN concat('מוֹדֶה/מוֹדָה/ ', p_name) ELSE 'בֶּן/בַּת' END")
+    each = t("part").select("p_partkey", line.alias("line")).select("p_partkey", F.posexplode(line_segments(["In winter", "In summer"])("line")).alias("n", "s"))
+    return each.select("p_partkey", "n", "s.kind", "s.text", "s.label")
