@@ -7,7 +7,8 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 (of the whole body if there is none) is decoded, its white space folded, and its blocks joined by line feeds.
 
 Prose elements of an article (paragraphs, headings, list items) stay even where they recur, since articles quote each
-other; on pages without an article element every element may be a template. Copies of one article count once, so that a syndicated or repeated article is not taken for a template. A hash needs
+other; a section or div of an article that recurs as a whole goes. A name in a class or id counts on blocks alone, not on
+words inside a sentence. On pages without an article element every element may be a template. Copies of one article count once, so that a syndicated or repeated article is not taken for a template. A hash needs
 ``MANY`` different articles and the share ``SHARE`` of the host's articles.
 
 Defined results: null html gives an empty text; a null or unreadable url is a host of its own name ''; repeated rows
@@ -63,6 +64,10 @@ NOT_ARTICLE = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th a abbr b cite code em i mark q s small span strong sub sup u".split())
 
 
+#: Of these such as stand inside a sentence.
+INLINE = PROSE - BLOCK - {"td", "th"}
+
+
 class Element:
     __slots__ = ("tag", "drop", "below", "text", "hash")
 
@@ -116,7 +121,7 @@ def parse(page: str) -> Element:
                 break
             if stack[depth].tag in HOLD:
                 break
-        e = Element(tag, tag in DROP or bool(m[4]) and tag not in ("html", "body", "article", "main") and _names(m[4]))
+        e = Element(tag, tag in DROP or bool(m[4]) and tag not in ("html", "body", "article", "main") and tag not in INLINE and _names(m[4]))
         stack[-1].below.append(e)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(e)

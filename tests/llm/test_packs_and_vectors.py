@@ -265,3 +265,13 @@ def test_checkpoints_do_not_pile_up(spark):
             time.sleep(0.2)
         sizes.append(held())
     assert max(sizes) - min(sizes) < 1_000_000
+
+
+def test_words_of_a_sentence_stay(spark):
+    from lectern.llm import page_text
+
+    quoted = "<p>A paragraph that six articles quote.</p>"
+    box = '<div class="x1"><span>Read more</span> <a href="/">here</a></div>'
+    pages = [(i, f"http://a.org/{i}", f'<body><div class="menu">Menu</div><article><h1>T{i}</h1><p>Own text {i}, <span class="notice">notice word</span> here.</p>{quoted}{box}<div class="notice">Old notice</div></article></body>') for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in page_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nOwn text {i}, notice word here.\nA paragraph that six articles quote." for i in range(6)}
