@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, cut, release, restrict, slices, squeeze
+from lectern.llm.common import as_bytes, cut, narrow, release, restrict, slices, squeeze
 
 PRIME = (1 << 31) - 1
 #: Bases of the two polynomials; any two residues that are not small do.
@@ -118,7 +118,8 @@ def _grouped(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     docs = restrict(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
     marks = cut(docs.mapInArrow(_MARK, _MARKS))
     group, counts = ["n_bytes", "fp"], (F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    groups = cut(marks.groupBy(*group).agg(*counts).where("n > 1"))
+    rows = marks.count()
+    groups = cut(narrow(marks.groupBy(*group).agg(*counts).where("n > 1"), rows))
     release(docs.sparkSession)
     # a shared fingerprint is only a claim: the texts themselves are compared, chunk by chunk
     whose = marks.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "raw", *group).distinct().join(groups, group)
@@ -131,7 +132,7 @@ def _grouped(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         flagged = marks.join(differ.withColumn("split", F.lit(True)), group, "left")
         marks = cut(flagged.withColumn("split", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))))
         group = [*group, "split"]
-        groups = cut(marks.groupBy(*group).agg(*counts).where("n > 1"))
+        groups = cut(narrow(marks.groupBy(*group).agg(*counts).where("n > 1"), rows))
     return marks.join(groups, group, "left").select("doc_id", "raw", "text_sha256", "n", "least")
 
 
@@ -148,7 +149,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     every = _grouped(docs, 1 << 16).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("raw").alias("_raw"), "text_sha256", "n", F.coalesce("least", F.lit(NO_ID)).alias("least"))
     several = every.where("n is not null and _id = least").groupBy("text_sha256").agg(F.min(F.struct("_id", "_raw")).alias("row")).select("row.*")
-    kept = cut(every.where("n is null").select("_id", "_raw").unionByName(several))
+    kept = every.where("n is null").select("_id", "_raw").unionByName(several)
+    kept = cut(narrow(kept, docs.count()))
     release(docs.sparkSession)
     rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_raw", F.xxhash64("text"))
     return rows.join(kept, ["_id", "_raw"], "left_semi").dropDuplicates(["_id", "_raw"]).select(*docs.columns)
