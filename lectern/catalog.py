@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
-from lectern.plans import aggregates, catalogue, dates, joins, layout, lookup, matching, phrases, search, sinks, state, texts, transforms, windows, words  # noqa: F401
+from lectern.plans import aggregates, catalogue, dates, joins, layout, lookup, matching, outlines, phrases, search, sinks, state, texts, transforms, windows, words  # noqa: F401
 
 
 def queries() -> dict:

@@ -97,7 +97,7 @@ def whitelist(t):
     return nested.where(F.forall("editions", lambda e: e["o_orderstatus"].isin("O", "P")) & F.exists("editions", lambda e: e["o_orderpriority"] == "1-URGENT")).select("o_custkey", F.size("editions").cast("long").alias("n"))
 
 
-@query("category_path_matches", "P17 N3", """
+@query("category_path_matches", "P17", """
 SELECT p_partkey FROM part WHERE split_part(p_type, ' ', 1) = (SELECT split_part(min(p_type), ' ', 1) FROM part) OR regexp_matches(p_type, 'S$')""")
 def category_path(t):
     part = t("part").withColumn("path", F.split("p_type", " "))

@@ -48,7 +48,7 @@ def stream(t):
     return t("conversations").select("conv_id", "turn", n.alias("n"), (F.sum(n).over(w) - n).alias("start"))
 
 
-@query("boxes_united", "M82 M83", "SELECT l_orderkey, min(l_partkey) AS x0, max(l_partkey + l_quantity::BIGINT) AS x1, min(l_suppkey) AS y0, max(l_suppkey) AS y1 FROM lineitem GROUP BY 1")
+@query("boxes_united", "M82", "SELECT l_orderkey, min(l_partkey) AS x0, max(l_partkey + l_quantity::BIGINT) AS x1, min(l_suppkey) AS y0, max(l_suppkey) AS y1 FROM lineitem GROUP BY 1")
 def boxes(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("x0"), F.max(F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("x1"), F.min("l_suppkey").alias("y0"), F.max("l_suppkey").alias("y1"))
 

@@ -9,7 +9,7 @@ from lectern.sources import sinks
 from lectern.sources.files import work_folder
 
 
-@query("calendar_round_trip", "S23 S17", r"""
+@query("calendar_round_trip", "S23", r"""
 SELECT 'e' || event_id || '@lectern' AS uid, event_type || ', user ' || user_id || '; ' || props || chr(10) || 'end' AS title,
   CASE WHEN event_id % 5 = 0 THEN 'VALUE=DATE:' || strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y%m%dT%H%M00') END AS start,
   CASE WHEN event_id % 5 = 0 THEN 'VALUE=DATE:' || strftime(ts + INTERVAL 1 DAY, '%Y%m%d') ELSE strftime(ts + to_minutes(CASE WHEN event_id % 3 = 0 THEN 15 ELSE 10 + event_id % 50 END), '%Y%m%dT%H%M00') END AS "end",

@@ -141,7 +141,7 @@ def js_words(t):
     return t("documents").select("doc_id", F.size(F.filter(F.split("text", space), lambda x: x != "")).cast("long").alias("n"))
 
 
-@query("conditions_by_rules", "F52 D18 M78 M79 M35 M36", """
+@query("conditions_by_rules", "F52 D18 M78 M79", """
 WITH r(n, pattern, label) AS (VALUES (1, 'version', 'licence'), (2, '\\|', 'table'), (3, 'the', 'english'), (4, ' de ', 'romance'))
 SELECT doc_id, coalesce((SELECT arg_min(label, n) FROM r WHERE regexp_matches(lower(text), pattern)), 'unknown') AS label FROM documents""")
 def conditions(t):
