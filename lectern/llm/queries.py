@@ -35,6 +35,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output shards of the mix, slot by slot, as ``op4_mix_sources`` draws them."""
+    return mixing.mixed_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, op11_cutting_stock, op12_whitening, op13_vector_codes, pipeline)
+_ALL = (op1_language_id, op2_ppm_score, op3_binary_records, op4_mix_sources, op5_toxicity, op6_exact_dedup, op7_near_dedup, op8_sentencepiece, op9_fingerprints, op10_page_text, op11_cutting_stock, op12_whitening, op13_vector_codes, pipeline, mixed_shards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
