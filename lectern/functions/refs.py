@@ -64,3 +64,9 @@ def address(kind: Column, index: Column, offset: Column) -> Column:
 
 def normal_ref(ref: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(ref), r"\s+", " "))
+
+
+def offset_for(offsets: Column, depth: Column, parents: Column) -> Column:
+    """What is added to a place of ``depth`` below ``parents`` (array of indices), by a JSON object of nested lists under each depth; 0 if it says nothing."""
+    path = F.concat(F.lit("$."), depth.cast("string"), F.array_join(F.transform(parents, lambda p: F.concat(F.lit("["), p.cast("string"), F.lit("]"))), ""))
+    return F.coalesce(F.call_function("get_json_object", offsets, path).try_cast("int"), F.lit(0))

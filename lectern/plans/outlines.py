@@ -47,3 +47,15 @@ def rows_checked(t):
     docs = t("documents").select("doc_id", "lang", "source", "n_chars", "text", F.sha2("text", 256).alias("digest"))
     checked = O.failing(docs, "doc_id", rules, [("no label", "doc_id", t("labels").select("doc_id"))], ["digest"])
     return checked.withColumn("reason", F.when(F.col("reason") == "digest twice", "text twice").otherwise(F.col("reason")))
+
+
+@query("nested_offsets", "N3", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 ELSE 0 END WHEN 2 THEN CASE WHEN p_partkey % 3 = 0 THEN p_size + 2 + p_partkey % 2 WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN p_size + 4 ELSE 0 END ELSE 0 END AS place FROM part""")
+def nested_offsets(t):
+    """Offsets of places at four depths; two of these have none, and some parents lie outside of the lists."""
+    from lectern.functions.refs import offset_for
+
+    n = F.col("p_partkey")
+    offsets = F.expr("concat('{\"2\": [', p_size, ', ', p_size + 1, '], \"3\": [[', p_size + 2, ', ', p_size + 3, '], [', p_size + 4, ']]}')")
+    parents = F.when(n % 4 == 0, F.array().cast("array<bigint>")).when(n % 4 == 1, F.array(n % 3)).otherwise(F.array(n % 3, n % 2))
+    return t("part").select("p_partkey", offset_for(offsets, n % 4 + 1, parents).alias("place"))
