@@ -6,7 +6,9 @@ rows: ``p_host = (n_host + K p_suffix) / (N_host + K)``, with counts by grouped
 texts alone say, each row left out of its own prior. How far declarations and suffixes can be trusted is likewise
 counted, not assumed. All sources of evidence may be missing.
 
-The trigram models are fitted on about ``SAMPLE`` labelled rows of each language, picked by a hash of doc_id.
+The trigram models are fitted on about ``SAMPLE`` labelled rows of each language, picked by a hash of doc_id. The log
+likelihood of a text of more than ``EFFECTIVE`` trigrams is scaled to that many, as neighbours depend on each other; all of
+them are read.
 
 Defined results: a null or empty text has no likelihood and is decided by the rest; null markup, address or host gives
 no evidence (rows without a host share the prior of all); repeated rows count each; of languages with equal evidence the
