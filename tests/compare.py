@@ -51,5 +51,6 @@ def differences(df, sf_dir: str, sql: str) -> str:
     theirs = rows_of(columns, rows)
     if mine == theirs:
         return ""
-    a, b = [x for x in mine if x not in set(theirs)][:3], [x for x in theirs if x not in set(mine)][:3]
+    ours, others = set(mine), set(theirs)
+    a, b = [x for x in mine if x not in others][:3], [x for x in theirs if x not in ours][:3]
     return f"{len(mine)} rows against {len(theirs)}; only here {str(a)[:400]}; only there {str(b)[:400]}"
