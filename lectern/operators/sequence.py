@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.files import work_folder
+
 
 def running_number(rows: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
     """``rows`` numbered from 1 in ``order``: ranges are numbered within, then moved by the rows before them.
 
-    One row for each range is summed along, so no task sees all rows. The order must name every row.
+    Ranges are cut by all columns of the order, of any type, and written once with their number, so that no later step can
+    cut them elsewhere. One row for each range is summed along; no task sees all rows. The order must name every row.
     """
-    n = partitions or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = rows.select(*order).approxQuantile(order[0], [i / n for i in range(1, n)], 0.01) if dict(rows.dtypes)[order[0]] in ("int", "bigint", "double") else []
-    cut = sorted({e for e in edges})
-    place = F.lit(0)
-    for e in cut:
-        place = place + F.when(F.col(order[0]) >= e, 1).otherwise(0)
-    dealt = rows.withColumn("_range", place)
+    spark = rows.sparkSession
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    home = work_folder(spark)
+    rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(home)
+    dealt = spark.read.parquet(home)
     size = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = size.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
 
 
+def neighbours_in_order(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``rows`` with the ``value`` of the row before and after each in ``order``, by their running numbers."""
+    numbered = running_number(rows, order, "_seq")
+    near = lambda step, name: numbered.select((F.col("_seq") + step).alias("_seq"), F.col(value).alias(name))
+    return numbered.join(near(1, "before"), "_seq", "left").join(near(-1, "after"), "_seq", "left").drop("_seq")
+
+
 def fill_gaps(rows: DataFrame, key: str, order: str, value: str, most: int) -> DataFrame:
     """Runs of at most ``most`` rows without a value take the value before them, or after them if that is nearer."""
     w = Window.partitionBy(key).orderBy(order)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import refs as R
 from lectern.operators import links as K
+from lectern.operators.sequence import neighbours_in_order
 from lectern.plans.views import EDGES, PASSAGES, TALKS, edges, passages, talks
 from lectern.registry import query
 
@@ -81,8 +81,7 @@ def section(t):
 SELECT section, lag(section) OVER (ORDER BY s0) AS before, lead(section) OVER (ORDER BY s0) AS after FROM (SELECT regexp_replace(ref, ':[^:]*$', '') AS section, min(seq) AS s0 FROM {TALKS} GROUP BY 1)""")
 def neighbours(t):
     s = talks(t).groupBy(R.section_of(F.col("ref")).alias("section")).agg(F.min("seq").alias("first_seq"))
-    w = Window.orderBy("first_seq")  # one row for each section of one title
-    return s.select("section", F.lag("section").over(w).alias("before"), F.lead("section").over(w).alias("after"))
+    return neighbours_in_order(s, ["first_seq"], "section").select("section", "before", "after")
 
 
 @query("quote_containment", "J18 J19 M68", "WITH d AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents), b AS MATERIALIZED (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS q FROM benchmark) SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)")

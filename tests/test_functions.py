@@ -242,3 +242,14 @@ def test_posts_source(spark, tmp_path):
 
 def test_registry():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and set(registry.COVERS) == set(catalog.queries())
+
+
+def test_running_numbers_of_any_keys(spark):
+    from lectern.operators.sequence import neighbours_in_order, running_number
+
+    rows = spark.createDataFrame([(w, i) for i in range(40) for w in ("b", "a", None, "é")], "w string, i int")
+    got = running_number(rows.repartition(6), ["w", "i"], "n", 5).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 161)) and [(r["w"], r["i"]) for r in got] == sorted(((w, i) for i in range(40) for w in ("b", "a", None, "é")), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    near = neighbours_in_order(spark.createDataFrame([("x", 3), ("y", 1), ("z", 2)], "v string, k int"), ["k"], "v").collect()
+    assert sorted((r["v"], r["before"], r["after"]) for r in near) == [("x", "z", None), ("y", None, "z"), ("z", "y", "x")]
+    assert running_number(rows.where("false"), ["w"], "n").count() == 0
