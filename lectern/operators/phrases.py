@@ -1,8 +1,8 @@
 """Phrases in texts: several words in a row, each as written or by how it begins, the first with or without a letter before it.
 
-Words and patterns meet by equality: a word gives itself and those of its beginnings whose length some pattern has. A phrase
-stands where all its places are met at one start, which a count of (text, phrase, start) tells; so phrases of any
-number and length take one pass over the words, and no text is compared with every phrase.
+Words and patterns meet by equality: a word gives itself and those of its beginnings whose length some pattern has. The most
+telling word of a phrase finds its candidates; a phrase stands where all its places are met at one start, which a count of (text,
+phrase, start) tells. So no text is compared with every phrase, and common beginnings such as "th*" make no candidates.
 """
 
 from __future__ import annotations
@@ -45,8 +45,18 @@ def found(words: DataFrame, key: str, phrases: DataFrame, lead: str = "") -> Dat
     if lead:
         both = plain.unionByName(words.where(F.startswith("word", F.lit(lead)) & (F.length("word") > len(lead))).select(key, "pos", F.expr(f"substring(word, {len(lead) + 1})").alias("w"), F.lit(True).alias("cut")))
     keyed = both.select(key, "pos", "cut", F.explode(F.filter(starts, lambda s: s["fits"])).alias("s")).select(key, "pos", "cut", "s.open", "s.form")
-    met = keyed.join(patterns, ["open", "form"]).where("not cut or place = 0")
-    at = met.groupBy(key, "phrase", "rank", "size", (F.col("pos") - F.col("place")).alias("start")).agg(F.count_distinct("place").alias("n"))
+    # a phrase is looked for by its most telling word alone: one as written before one that is open, then the longest
+    telling = F.struct("open", (-F.length("form")).alias("short"), "place")
+    anchors = patterns.groupBy("phrase", "rank").agg(F.min_by("place", telling).alias("place"))
+    met = keyed.join(patterns.join(anchors, ["phrase", "rank", "place"]), ["open", "form"]).where("not cut or place = 0")
+    starts_at = met.select(key, "phrase", "rank", "size", (F.col("pos") - F.col("place")).alias("start")).distinct()
+    # then every word of it must stand where it would
+    rest = starts_at.join(patterns.drop("size"), ["phrase", "rank"]).withColumn("pos", F.col("start") + F.col("place")).join(words.select(key, "pos", "word"), [key, "pos"])
+    fits = lambda w: F.when(F.col("open"), F.startswith(w, F.col("form")) & (F.length(w) > F.length("form"))).otherwise(w == F.col("form"))
+    good = fits(F.col("word"))
+    if lead:
+        good = good | ((F.col("place") == 0) & F.startswith("word", F.lit(lead)) & (F.length("word") > len(lead)) & fits(F.expr(f"substring(word, {len(lead) + 1})")))
+    at = rest.where(good).groupBy(key, "phrase", "rank", "size", "start").agg(F.count_distinct("place").alias("n"))
     return at.where("n = size").select(key, "phrase", "rank", "start", (F.col("start") + F.col("size") - 1).alias("end"))
 
 
