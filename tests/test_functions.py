@@ -253,3 +253,17 @@ def test_running_numbers_of_any_keys(spark):
     near = neighbours_in_order(spark.createDataFrame([("x", 3), ("y", 1), ("z", 2)], "v string, k int"), ["k"], "v").collect()
     assert sorted((r["v"], r["before"], r["after"]) for r in near) == [("x", "z", None), ("y", None, "z"), ("z", "y", "x")]
     assert running_number(rows.where("false"), ["w"], "n").count() == 0
+
+
+def broadcasts(df):
+    """The plan below each broadcast of a query, as text."""
+    return df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[1:]
+
+
+def test_respelled_texts_stay_apart_and_are_not_broadcast(spark, tmp_path):
+    """Turns beyond 1,000 make ids that are not unique; the texts, small as files, are large as pieces and never a broadcast side."""
+    rows = [(1, 1000, "the end"), (2, 0, "no end and the end"), (2, 1, None), (3, 1, "the end"), (3, 2, "end")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.queries()["respelled"](spark, str(tmp_path))
+    assert sorted((r.id, r.text or "") for r in got.collect()) == [(2000, "no end und thuh end"), (2000, "thuh end"), (2001, ""), (3001, "thuh end"), (3002, "end")]
+    assert not any("regexp_extract_all(text" in "\n".join(x.split("\n")[:4]) for x in broadcasts(got))
