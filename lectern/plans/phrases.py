@@ -36,7 +36,7 @@ def _forms(t):
 @query("phrases_found", "R23", f"WITH {_SQL} SELECT doc_id, phrase, start, stop AS \"end\" FROM hit")
 def phrases_found(t):
     """Every place of every phrase in all documents, with open forms and a letter that may stand before a phrase."""
-    words = P.words_of(t("documents").where("text is not null").select("doc_id", "text"), "doc_id")
+    words = P.words_in(t("documents").where("text is not null").select("doc_id", "text"), "doc_id")
     return P.found(words, "doc_id", _phrases(t), "o").select("doc_id", "phrase", "start", "end")
 
 

@@ -267,3 +267,19 @@ def test_respelled_texts_stay_apart_and_are_not_broadcast(spark, tmp_path):
     got = catalog.queries()["respelled"](spark, str(tmp_path))
     assert sorted((r.id, r.text or "") for r in got.collect()) == [(2000, "no end und thuh end"), (2000, "thuh end"), (2001, ""), (3001, "thuh end"), (3002, "end")]
     assert not any("regexp_extract_all(text" in "\n".join(x.split("\n")[:4]) for x in broadcasts(got))
+
+
+def test_phrases_leave_words_where_they_are(spark, monkeypatch):
+    """No word is shuffled to find phrases or to tag words, and both ways to meet the phrases give the same places."""
+    from lectern.operators import phrases
+
+    every = {}
+    for small in (phrases.SMALL, 0):
+        monkeypatch.setattr(phrases, "SMALL", small)
+        for name in ("phrases_found", "tokens_tagged", "words_studied"):
+            df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+            if small:
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert not any("pos#" in line.split("Inner")[0].split("LeftOuter")[0] for line in plan.split("\n") if "MergeJoin [" in line), name
+            every.setdefault(name, []).append(sorted(map(repr, df.collect())))
+    assert all(a == b for a, b in every.values())
