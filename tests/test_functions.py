@@ -283,3 +283,26 @@ def test_phrases_leave_words_where_they_are(spark, monkeypatch):
                 assert not any("pos#" in line.split("Inner")[0].split("LeftOuter")[0] for line in plan.split("\n") if "MergeJoin [" in line), name
             every.setdefault(name, []).append(sorted(map(repr, df.collect())))
     assert all(a == b for a, b in every.values())
+
+
+def exchanges(df):
+    """What a query deals its rows out by, from the plan."""
+    return [line.split("Exchange ")[1] for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_runs_are_shuffled_once(spark):
+    rows = [(1, "a b c d"), (2, "x b c d"), (3, "b c d b c d"), (4, "q")]
+    got = matching.twins(spark.createDataFrame(rows, "ref long, text string").select("ref", F.split("text", " ").alias("words")), 2)
+    assert sum("h#" in x for x in exchanges(got)) == 1
+    assert sorted(map(tuple, got.collect())) == [(2, 1, 2), (3, 1, 2)]
+
+
+def test_phrases_are_counted_beside_their_texts(spark):
+    """Overlaps, words of one letter, marks between words; no word leaves its task, which the one shuffle by doc_id shows."""
+    docs = [(1, "The the THE"), (2, "a.b, a b-a"), (3, "xthe the thex"), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = lambda p: {r.doc_id: r.f for r in df.select("doc_id", search._times(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "  ")), F.lit(" ")), p).alias("f")).collect()}
+    assert counts(["the", "the"]) == {1: 2, 2: 0, 3: 0, 4: None, 5: 0} and counts(["a", "b", "a"])[2] == 2 and counts(["the"])[3] == 1
+    top = search.rank_phrases(df, ["the the", "a b a", "the"], 9)
+    assert {r.doc_id for r in top.collect()} == {1, 2, 3}
+    assert not any("pos" in x or "start" in x for x in exchanges(top))
