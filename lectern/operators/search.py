@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources.files import work_folder
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -27,25 +28,33 @@ def update_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
 def rank_phrases(docs: DataFrame, phrases: list[str], most: int) -> DataFrame:
     """(doc_id, score) of the best documents, ascending: each phrase counts as one term.
 
-    Only words of the phrases leave the scan as postings; successive positions are found by grouping on where a phrase
-    would begin, so the index is never joined with itself.
+    Phrases are counted where their texts lie: a text is cut into words once, and what is kept of it is its length and a
+    count for each phrase, which is all that is read again.
     """
     spark = docs.sparkSession
-    parts = [(n, i, w, len(p.split())) for n, p in enumerate(phrases) for i, w in enumerate(p.split())]
-    terms = F.broadcast(spark.createDataFrame(parts, "phrase int, i int, token string, size int"))
-    sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    wanted = sorted({p[2] for p in parts})
-    hits = sized.select("doc_id", F.posexplode("w").alias("pos", "token")).where(F.col("token").isin(wanted)).join(terms, "token")
-    starts = hits.groupBy("doc_id", "phrase", "size", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
-    freq = starts.groupBy("doc_id", "phrase").agg(F.count("*").cast("double").alias("f"))
-    lengths = sized.select("doc_id", F.size("w").cast("double").alias("len"))
-    whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    idf = freq.groupBy("phrase").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole)).select("phrase", "mean", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"))
-    scored = freq.join(F.broadcast(idf), "phrase").join(lengths, "doc_id")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    # words with two spaces between them, so that each has its own on both sides
+    line = F.trim(F.regexp_replace(X.plain(F.col("text")), r"[^\p{L}\p{N}]+", "  "))
+    lines = docs.select("doc_id", line.alias("line"))
+    length = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit("  "), F.lit(" "))) + 1)
+    names = [f"f{n}" for n in range(len(phrases))]
+    counts = lines.select("doc_id", length.cast("double").alias("len"), *[_times(F.concat(F.lit(" "), "line", F.lit(" ")), p.split()).alias(f) for f, p in zip(names, phrases)])
+    home = work_folder(spark)
+    counts.write.parquet(home)  # narrow, and read twice
+    counts = spark.read.parquet(home)
+    whole = counts.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count(F.when(F.col(f) > 0, 1)).alias(f"n_{f}") for f in names])
+    terms = F.array(*[F.struct(F.lit(i).alias("phrase"), F.col(f).alias("f"), F.col(f"n_{f}").alias("n")) for i, f in enumerate(names)])
+    scored = counts.crossJoin(F.broadcast(whole)).select("doc_id", "len", "docs", "mean", F.explode(F.filter(terms, lambda x: x["f"] > 0)).alias("x")).select("doc_id", "len", "docs", "mean", "x.*")
+    idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("score")).orderBy(F.round("score", 9), "doc_id").limit(most)
 
 
+def _times(line: Column, phrase: list[str]) -> Column:
+    """How often the words of a phrase follow each other in a line whose words have a space of their own on both sides; places may overlap."""
+    first, *rest = (rf" \Q{w}\E " for w in phrase)
+    return F.regexp_count(line, F.lit(first + (f"(?={''.join(rest)})" if rest else ""))).cast("double")
+
+
 # What a typed word is worth against a word of a name. Two numbers: the least, and what likeness adds.
 SAME, KEY, SHORT_KEY, BEGINS, KEY_BEGINS, WITHIN, ONE_SLIP, NEAR_KEY = 3.0, (2.2, 0.4), (1.0, 0.5), 1.5, 1.4, 1.2, 1.4, (1.0, 0.4)
 # From how many letters on each way of matching counts, and how far keys of a length may differ.
