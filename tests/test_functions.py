@@ -306,3 +306,23 @@ def test_phrases_are_counted_beside_their_texts(spark):
     top = search.rank_phrases(df, ["the the", "a b a", "the"], 9)
     assert {r.doc_id for r in top.collect()} == {1, 2, 3}
     assert not any("pos" in x or "start" in x for x in exchanges(top))
+
+
+def test_words_get_their_lines_in_one_shuffle_of_pages(spark, tmp_path, monkeypatch):
+    from lectern.operators import layout
+
+    lines = [(page, n, n * 2 + page, 1 + n % 2, 5.0, 0.25 * n) for page in range(20) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(layout, "CLAIMS", 5, raising=False)
+    for name in ("words_on_lines", "pages_whole"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        dealt = exchanges(got)
+        assert not any("word#" in x for x in dealt) and any(", 12)" in x or ", 12," in x for x in dealt), dealt
+
+
+def test_citations_are_dealt_by_number_and_nulls_come_last(spark, tmp_path):
+    lines = [(None, 7, 1), (5, 7, 2), (5, 7, 1), (6, None, 1), (4, None, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["citations_once"](spark, str(tmp_path))
+    assert all("REPARTITION_BY_NUM" in x for x in exchanges(got))
+    assert {(r.block, r.ref, r.pos, r.first_anywhere) for r in got.collect()} == {(None, 7, 1, False), (5, 7, 1, True), (6, None, 1, False), (4, None, 3, True)}
