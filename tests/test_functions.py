@@ -326,3 +326,11 @@ def test_citations_are_dealt_by_number_and_nulls_come_last(spark, tmp_path):
     got = catalog.queries()["citations_once"](spark, str(tmp_path))
     assert all("REPARTITION_BY_NUM" in x for x in exchanges(got))
     assert {(r.block, r.ref, r.pos, r.first_anywhere) for r in got.collect()} == {(None, 7, 1, False), (5, 7, 1, True), (6, None, 1, False), (4, None, 3, True)}
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    """The tables of every query bound what goes to a Python worker at once, by rows and by bytes."""
+    own = spark.newSession()
+    registry.Tables(own, "/root/testdata/sf0.001")("pages")
+    held = [int(own.conf.get(f"spark.sql.execution.arrow.max{x}PerBatch").rstrip("b")) for x in ("Records", "Bytes")]
+    assert 0 < held[0] <= 1000 and 0 < held[1] <= 4 << 20
